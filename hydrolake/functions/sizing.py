@@ -1,0 +1,26 @@
+"""Size-checked broadcast.
+
+A side is broadcast only when its size is known to be bounded.  Static
+dimensions (a literal list) are bounded by construction; for tables whose
+size could grow with the data we measure first, with a bounded probe
+(``limit(max_rows + 1).count()`` never reads more than ``max_rows + 1``
+rows), and fall back to a plain join — a sort-merge join that adaptive
+execution may still turn into a broadcast at run time — beyond the bound.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# 1M narrow dimension rows stay well under a broadcast's memory budget.
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def small_enough(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df
