@@ -100,11 +100,16 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- quality ------------------------------------------------------------------
 def quality_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 14-parameter reading per lineitem row, located at its supplier."""
-    li = read_table(spark, sf_dir, "lineitem").select(
+    return readings_from_lines(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "supplier"))
+
+
+def readings_from_lines(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The reading projection over any lineitem frame (batch or stream)."""
+    li = lineitem.select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_shipdate",
     )
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    sup = supplier.select("s_suppkey", "s_nationkey")
     q, d, t, p = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice")
     return li.join(sup, li.l_suppkey == sup.s_suppkey).select(
         "l_orderkey",
@@ -179,8 +184,13 @@ def quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- distribution -------------------------------------------------------------
 def distribution_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution readings (demand, supply, population) with injected model outputs."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return inputs_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
+
+
+def inputs_from_orders(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """The distribution-reading projection over any orders frame (batch or stream)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    c = customer.select("c_custkey", "c_nationkey")
     demand = F.col("o_totalprice") / F.lit(1000.0)
     ratio = F.lit(0.3) + (F.col("o_orderkey") % F.lit(80)) / F.lit(100.0)
     return o.join(c, o.o_custkey == c.c_custkey).select(
@@ -215,6 +225,16 @@ def distribution_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training table: 7 features (capped midpoints), ``Rule_WQI`` and a status."""
+    s = quality_scored(spark, sf_dir)
+    return s.select(
+        "Temperature", "pH", "BOD", "Faecal_Coliform", "Total_Coliform", F.col("Nitrate_N").alias("Nitrate"),
+        "Conductivity", "Rule_WQI",
+        F.when(injected_anomaly() == -1, F.lit(K.ANOMALY)).otherwise(F.lit(K.NORMAL)).alias("Anomaly_Status"),
+    )
+
+
 # -- dirty text ---------------------------------------------------------------
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings as text with junk: bad numbers, unit suffixes, bad dates, null hubs."""

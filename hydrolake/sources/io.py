@@ -157,5 +157,5 @@ QUALITY_READING_TYPES = {
 }
 DISTRIBUTION_READING_TYPES = {
     "MC_Code": "string", "Hub_ID": "string", "Total_Demand_MLD": "double", "Current_Supply_MLD": "double",
-    "Population": "int",
+    "Population": "long",  # an unbounded integer in the reading form
 }

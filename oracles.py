@@ -594,3 +594,141 @@ ORACLES["yearly_distribution_trend"] = with_views(
     "FROM ywin2 y JOIN hubl2 h ON y.MC_Code = h.MC_Code AND y.Hub_ID = h.Hub_ID",
     "distribution_records", ctes=YD_WIN)
 ORACLES["latest_distribution"] = with_views(LATEST_SQL, "distribution_records")
+
+# ------------------------------------------------------ sorts, limits, sets --
+REC_COLS = ["l_orderkey", "l_linenumber", "MC_Code", "Hub_ID", "Temperature", "pH", "BOD", "Faecal_Coliform",
+            "Total_Coliform", "Nitrate", "Conductivity", "WQI", "Anomaly_Status", "Created_At", "Used_For_Training",
+            "Category"]
+ORACLES["quality_records"] = with_views("SELECT * FROM quality_records", "quality_records")
+_TIE = ", ".join(f"{c} ASC NULLS FIRST" for c in REC_COLS if c not in ("MC_Code", "Created_At"))
+ORACLES["quality_history_top10"] = with_views(
+    f"SELECT {', '.join(REC_COLS)} FROM (SELECT *, row_number() OVER (PARTITION BY MC_Code "
+    f"ORDER BY Created_At DESC NULLS LAST, {_TIE}) AS rk FROM quality_records) z WHERE rk <= 10",
+    "quality_records")
+ORACLES["anomaly_summary"] = with_views(
+    "SELECT a.*, c.n AS Total_Anomalies, '⚠️ ' || CAST(c.n AS VARCHAR) || ' anomalies detected' AS Message "
+    f"FROM (SELECT MC_Code, Hub_ID, WQI, Anomaly_Status, Created_At FROM quality_records "
+    f"WHERE Anomaly_Status = {q(K.ANOMALY)}) a JOIN (SELECT MC_Code, count(*) AS n FROM quality_records "
+    f"WHERE Anomaly_Status = {q(K.ANOMALY)} GROUP BY MC_Code) c ON a.MC_Code = c.MC_Code", "quality_records")
+ORACLES["anomaly_counts"] = with_views(
+    "SELECT m.MC_Code, coalesce(c.n, 0) AS Total_Anomalies, CASE WHEN coalesce(c.n, 0) = 0 THEN "
+    f"{q(K.NO_ANOMALIES)} ELSE '⚠️ ' || CAST(c.n AS VARCHAR) || ' anomalies detected' END AS Message "
+    f"FROM municipal_data m LEFT JOIN (SELECT MC_Code, count(*) AS n FROM quality_records "
+    f"WHERE Anomaly_Status = {q(K.ANOMALY)} GROUP BY MC_Code) c ON m.MC_Code = c.MC_Code",
+    "municipal_data", "quality_records")
+ORACLES["critical_summary"] = with_views(
+    "SELECT a.*, c.n AS Total_Critical_Instances, "
+    "'⚠️ ' || CAST(c.n AS VARCHAR) || ' critical risk events recorded' AS Message "
+    "FROM (SELECT MC_Code, Hub_ID, Predicted_Supply_Efficiency, Critical_Risk, Recommended_Action, Created_At "
+    "FROM distribution_records WHERE Critical_Risk = 1) a JOIN (SELECT MC_Code, count(*) AS n "
+    "FROM distribution_records WHERE Critical_Risk = 1 GROUP BY MC_Code) c ON a.MC_Code = c.MC_Code",
+    "distribution_records")
+ORACLES["municipal_list"] = with_views(
+    "SELECT MC_Code, MC_Name, (SELECT count(*) FROM municipal_data) AS Total_Municipals FROM municipal_data",
+    "municipal_data")
+ORACLES["ordered_history"] = with_views(
+    "SELECT MC_Code, Hub_ID, WQI, Anomaly_Status, Created_At FROM quality_records", "quality_records")
+ORACLES["last_updated"] = with_views(
+    "SELECT max(c) AS Last_Updated FROM (SELECT max(Created_At) AS c FROM quality_records UNION "
+    "SELECT max(Created_At) AS c FROM distribution_records) u", "quality_records", "distribution_records")
+ORACLES["merged_measurements"] = with_views(
+    "SELECT WQI, NULL::DOUBLE AS Predicted_Supply_Efficiency, Created_At FROM quality_records UNION ALL "
+    "SELECT NULL::DOUBLE AS WQI, Predicted_Supply_Efficiency, Created_At FROM distribution_records",
+    "quality_records", "distribution_records")
+
+# ------------------------------------------------------------------- nested --
+W1_CTE = f"""{YQ_AGG},
+  keys AS (SELECT DISTINCT MC_Code, Hub_ID FROM agg),
+  spine AS (SELECT MC_Code, Hub_ID, CAST(y AS INT) AS Year FROM keys, range({K.FIRST_REPORT_YEAR}, 2025) t(y)),
+  grid AS (SELECT s.MC_Code, s.Hub_ID, s.Year, g.a, g.n FROM spine s LEFT JOIN agg g
+    ON s.MC_Code = g.MC_Code AND s.Hub_ID = g.Hub_ID AND s.Year = g.Year),
+  w1 AS (SELECT MC_Code, Hub_ID, Year, CASE WHEN n IS NOT NULL THEN a ELSE 0.0 END AS Average_WQI FROM grid)"""
+ORACLES["year_map_rows"] = with_views(
+    "SELECT MC_Code, Hub_ID, CAST(Year AS VARCHAR) AS year, Average_WQI FROM w1", "quality_records", ctes=W1_CTE)
+ORACLES["hub_lookup"] = with_views(
+    "SELECT m.MC_Code, m.Hub_ID, CAST(coalesce(c.n, 0) AS INT) AS Years_Found FROM mc_hub_mapping m LEFT JOIN "
+    "(SELECT MC_Code, Hub_ID, count(*) AS n FROM w1 GROUP BY MC_Code, Hub_ID) c "
+    "ON m.MC_Code = c.MC_Code AND m.Hub_ID = c.Hub_ID", "quality_records", "mc_hub_mapping", ctes=W1_CTE)
+
+# --------------------------------------------------------- sources and sinks --
+ORACLES["scan_municipal_csv"] = with_views(
+    "SELECT MC_Code, MC_Name, Population, Total_Demand_MLD, Current_Supply_MLD FROM municipal_data", "municipal_data")
+ORACLES["scan_table_params"] = with_views(
+    "SELECT Hub_ID, WQI, Anomaly_Status, Created_At FROM quality_records WHERE MC_Code = 'MC007'", "quality_records")
+
+P1_CTE = f"""p1a AS (SELECT *, {ML_WQI} AS ml_wqi, {ANOM_PRED} AS anomaly_pred FROM quality_scored),
+  p1b AS (SELECT *, {RN('ml_wqi*0.7 + Rule_WQI*0.3')} AS WQI FROM p1a),
+  p1c AS (SELECT *, {quality_band_sql('WQI', 1)} AS Category, {quality_band_sql('WQI', 2)} AS Emoji_Status,
+    {quality_band_sql('WQI', 3)} AS Interpretation, {quality_band_sql('WQI', 4)} AS Recommended_Action,
+    {HIT} AS hit FROM p1b),
+  p1d AS (SELECT * REPLACE (
+      CASE WHEN hit THEN least(WQI, {K.SAFETY_WQI_CEILING!r}) ELSE WQI END AS WQI,
+      CASE WHEN hit THEN {q(K.SAFETY_CATEGORY)} ELSE Category END AS Category,
+      CASE WHEN hit THEN {q(K.SAFETY_EMOJI)} ELSE Emoji_Status END AS Emoji_Status,
+      CASE WHEN hit THEN {q(K.SAFETY_INTERPRETATION)} ELSE Interpretation END AS Interpretation,
+      CASE WHEN hit THEN {q(K.SAFETY_ACTION)} ELSE Recommended_Action END AS Recommended_Action),
+    CASE WHEN hit AND WQI > {K.SAFETY_WQI_CEILING!r} THEN '35' ELSE CAST(WQI AS VARCHAR) END AS WQI_Text FROM p1c),
+  p1 AS (SELECT * REPLACE (
+      CASE WHEN anomaly_pred = -1 THEN {q(K.ANOMALY_EMOJI)} ELSE Emoji_Status END AS Emoji_Status,
+      CASE WHEN anomaly_pred = -1 THEN Recommended_Action || {q(K.ANOMALY_ACTION_SUFFIX)}
+           ELSE Recommended_Action END AS Recommended_Action),
+    CASE WHEN anomaly_pred = -1 THEN {q(K.ANOMALY)} ELSE {q(K.NORMAL)} END AS Anomaly_Status FROM p1d)"""
+
+ORACLES["predict_quality"] = with_views(
+    "SELECT l_orderkey, l_linenumber, Created_At, MC_Code, Hub_ID, WQI AS Final_WQI, Category, Emoji_Status, "
+    f"Anomaly_Status, Interpretation, Recommended_Action, {RN('ml_wqi')} AS ML_WQI, Rule_WQI, "
+    f"{q(K.HYBRID_MODEL_TEXT)} AS Hybrid_Model, Temperature, pH, BOD, Faecal_Coliform, Total_Coliform, Nitrate_N, "
+    "Conductivity, Emoji_Status || ' The AI predicts a WQI of ' || WQI_Text || ' (' || Category || '). ' || "
+    "Interpretation || ' Recommended action: ' || Recommended_Action AS AI_Summary, "
+    "'✅ Record saved successfully for Hub ' || Hub_ID || '.' AS Message FROM p1", "quality_scored", ctes=P1_CTE)
+QREC_SQL = ("SELECT MC_Code, Hub_ID, Temperature, pH, BOD, Faecal_Coliform, Total_Coliform, Nitrate_N AS Nitrate, "
+            "Conductivity, WQI, Category, Anomaly_Status, date_trunc('second', Created_At) AS Created_At, "
+            "0 AS Used_For_Training FROM p1")
+ORACLES["append_quality"] = with_views(QREC_SQL, "quality_scored", ctes=P1_CTE)
+ORACLES["stream_quality"] = ORACLES["append_quality"]
+DREC_SQL = ("SELECT MC_Code, Hub_ID, Total_Demand_MLD, Current_Supply_MLD, Population, Deficit_MLD, PerCapita_LPCD, "
+            "Predicted_Supply_Efficiency, Critical_Risk, Recommended_Action, date_trunc('second', Created_At) "
+            "AS Created_At FROM distribution_records")
+ORACLES["append_distribution"] = with_views(DREC_SQL, "distribution_records")
+ORACLES["stream_distribution"] = ORACLES["append_distribution"]
+ORACLES["predict_distribution"] = with_views(
+    "SELECT o_orderkey, Created_At, Total_Demand_MLD, Current_Supply_MLD, Population, Predicted_Supply_Efficiency, "
+    "Advice, MC_Code, Hub_ID, Predicted_Supply_Efficiency AS Final_Efficiency, Performance_Grade, "
+    "Risk_Label AS Status, Emoji_Status, Critical_Risk_B AS Critical_Risk, Deficit_MLD, PerCapita_LPCD, "
+    "Interpretation, Emoji_Status || ' Hub ' || Hub_ID || ' operates at ' || "
+    "CAST(Predicted_Supply_Efficiency AS VARCHAR) || '% efficiency (' || Performance_Grade || '). ' || "
+    "Interpretation || ' Recommended next action: ' || Advice AS AI_Commentary, Advice AS Recommended_Action, "
+    "Emoji_Status || ' ' || Performance || ' performance with ' || CAST(Predicted_Supply_Efficiency AS VARCHAR) || "
+    "'% efficiency. ' || Interpretation AS Summary, "
+    "'✅ AI-enhanced distribution prediction saved for Hub ' || Hub_ID AS Message FROM distribution_scored",
+    "distribution_scored")
+ORACLES["mark_used_for_training"] = with_views(
+    "SELECT MC_Code, Hub_ID, WQI, Created_At, CASE WHEN Used_For_Training = 0 THEN 1 ELSE Used_For_Training END "
+    "AS Used_For_Training FROM quality_records", "quality_records")
+ORACLES["scan_training"] = with_views(
+    "SELECT Temperature, pH, BOD, Faecal_Coliform, Total_Coliform, Nitrate_N AS Nitrate, Conductivity, "
+    f"Rule_WQI AS WQI, CASE WHEN {ANOM_PRED} = -1 THEN {q(K.ANOMALY)} ELSE {q(K.NORMAL)} END AS Anomaly_Status "
+    "FROM quality_scored", "quality_scored")
+
+# ----------------------------------------------------------------------- ML --
+_F = list(K.ML_FEATURES)
+_NN = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in _F + ["WQI"])
+TRAIN_CTE = (f"ts AS (SELECT {', '.join(_F)}, WQI, Anomaly_Status FROM quality_records "
+             f"WHERE Temperature IS NOT NULL AND Anomaly_Status IS NOT NULL AND {_NN})")
+ORACLES["training_set"] = with_views("SELECT * FROM ts", "quality_records", ctes=TRAIN_CTE)
+ORACLES["scaler_stats"] = with_views(
+    "SELECT " + ", ".join(f"avg({f}) AS mean_{f}, stddev_pop({f}) AS std_{f}" for f in _F) + " FROM ts",
+    "quality_records", ctes=TRAIN_CTE)
+_STATS = "st AS (SELECT " + ", ".join(
+    f"avg({f}) AS m_{f}, CASE WHEN coalesce(stddev_pop({f}), 0) = 0 THEN 1.0 ELSE stddev_pop({f}) END AS s_{f}"
+    for f in _F) + " FROM ts)"
+ORACLES["scaled_features"] = with_views(
+    "SELECT " + ", ".join(f"(ts.{f} - st.m_{f}) / st.s_{f} AS z_{f}" for f in _F) + ", ts.WQI FROM ts, st",
+    "quality_records", ctes=TRAIN_CTE + ",\n" + _STATS)
+ORACLES["anomaly_target"] = with_views(
+    f"SELECT Hub_ID, Anomaly_Status, CASE WHEN Anomaly_Status = {q(K.ANOMALY)} THEN -1 ELSE 1 END AS anomaly_target "
+    "FROM quality_records", "quality_records")
+ORACLES["regression_eval"] = with_views(
+    "SELECT 1.0 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(Rule_WQI) FROM quality_scored)) * "
+    "(y - (SELECT avg(Rule_WQI) FROM quality_scored))) AS R2, avg(abs(y - p)) AS MAE, count(*) AS N "
+    f"FROM (SELECT Rule_WQI AS y, {ML_WQI} AS p FROM quality_scored) z", "quality_scored")
