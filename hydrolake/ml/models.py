@@ -89,8 +89,8 @@ def score_distribution_models(df: DataFrame, eff_model: PipelineModel, risk_mode
 
 # M10 ------------------------------------------------------------------------
 def regression_eval(df: DataFrame, label: str = "WQI", pred: str = "ml_wqi") -> DataFrame:
-    """R² = 1 − Σe²/Σ(y−ȳ)² and MAE, in one aggregate pass (plus ȳ)."""
-    mean_y = df.agg(F.avg(label)).scalar()
+    """R² = 1 − Σe²/Σ(y−ȳ)² and MAE: one pass for ȳ (a single number), one for the sums."""
+    mean_y = F.lit(df.agg(F.avg(label)).first()[0]).cast("double")
     e = F.col(label) - F.col(pred)
     return df.agg(
         (F.lit(1.0) - F.sum(e * e) / F.sum((F.col(label) - mean_y) * (F.col(label) - mean_y))).alias("R2"),
