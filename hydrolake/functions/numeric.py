@@ -35,16 +35,17 @@ def is_nonfinite(x: ColumnOrName) -> Column:
 def py_min(x: ColumnOrName, cap: float) -> Column:
     """``min(x, cap)`` with Python's NaN behaviour: NaN stays NaN.
 
-    Spark's ``least`` treats NaN as the largest value and would return ``cap``.
+    Spark's ``least`` treats NaN as the largest value and would return ``cap``;
+    ``-greatest(-x, -cap)`` keeps NaN (the largest value wins) and is exact
+    for every other input.  ``x`` is referenced once, so the expression stays
+    linear in size when Catalyst inlines it into a pushed-down filter.
     """
-    c = _c(x)
-    return F.when(F.isnan(c), c).otherwise(F.least(c, F.lit(float(cap))))
+    return -F.greatest(-_c(x), F.lit(-float(cap)))
 
 
 def py_max0(x: ColumnOrName) -> Column:
-    """``max(0, x)`` with Python's NaN behaviour: NaN gives 0."""
-    c = _c(x)
-    return F.when(F.isnan(c), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), c))
+    """``max(0, x)`` with Python's NaN behaviour: NaN gives 0 (one reference to ``x``)."""
+    return F.greatest(F.lit(0.0), F.nanvl(_c(x), F.lit(0.0)))
 
 
 def nonfinite_to_null(x: ColumnOrName, digits: int | None = 3) -> Column:
