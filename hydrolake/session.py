@@ -27,6 +27,16 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Runtime SQL settings applied to any session (the cluster's too) unless the
+# operator already chose a value.  HotSpot does not JIT-compile methods over
+# 8000 bytes of bytecode; the scoring rules inline into large generated
+# methods (a filter on a derived score gets no common-subexpression
+# elimination), so whole-stage codegen should fall back at the size the JIT
+# will still compile rather than at the 64 KB class-file limit.
+RUNTIME_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": ("65535", "8000"),
+}
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "hydrolake") -> SparkSession:
     """A local session for tests and the bench (the cluster supplies its own)."""
@@ -44,12 +54,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Apply :data:`RUNTIME_CONF` where the session still has Spark's default."""
+    for key, (default, value) in RUNTIME_CONF.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is absent
     (tests, a laptop) do we create a scratch folder for it.
     """
+    tune_session(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="hydrolake-ckpt-")
