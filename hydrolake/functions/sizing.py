@@ -24,3 +24,17 @@ def small_enough(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Materialise a side that is expected to be small (typically an aggregate
+    keyed by tenant) and broadcast it when the measurement confirms it.
+
+    The side is checkpointed to the shared checkpoint folder first, so it is
+    computed once, its size is measured on the stored rows, and the join
+    reads it back without recomputing it.  Beyond ``max_rows`` the join stays
+    a shuffle join.  Use it where the optimizer cannot size the side (an
+    aggregate's output) and a shuffle of the large side would be the cost.
+    """
+    stored = df.checkpoint(eager=True)
+    return F.broadcast(stored) if small_enough(stored, max_rows) else stored

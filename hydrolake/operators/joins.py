@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake import constants as K
-from hydrolake.functions.sizing import checked_broadcast
+from hydrolake.functions.sizing import checked_broadcast, small_side
 
 
 # J1 -------------------------------------------------------------------------
@@ -24,7 +24,7 @@ def hubs_for_mc(mapping: DataFrame, hubs: DataFrame, mc_code: str | None = None)
     if mc_code:
         mapping = mapping.filter(F.col("MC_Code") == F.lit(mc_code))
     joined = mapping.join(hubs, "Hub_ID")
-    counts = joined.groupBy("MC_Code").agg(F.count(F.lit(1)).alias("Total_Hubs"))
+    counts = small_side(joined.groupBy("MC_Code").agg(F.count(F.lit(1)).alias("Total_Hubs")))
     return joined.join(counts, "MC_Code").select("MC_Code", "Hub_ID", "Hub_Name", "Total_Hubs")
 
 
@@ -61,7 +61,7 @@ def latest_by_subquery(records: DataFrame, mc_code: str | None = None) -> DataFr
     """
     if mc_code:
         records = records.filter(F.col("MC_Code") == F.lit(mc_code))
-    latest = records.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At"))
+    latest = small_side(records.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At")))
     return records.join(latest, ["MC_Code", "Created_At"], "left_semi").select(
         "MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Recommended_Action", "Created_At"
     )

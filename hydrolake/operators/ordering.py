@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hydrolake import constants as K
 from hydrolake.operators import aggregates as A
 from hydrolake.operators import filters as FL
+from hydrolake.functions.sizing import small_side
 from hydrolake.operators.clean import count_message
 
 QUALITY_RECORD_ORDER = (
@@ -47,7 +48,7 @@ def quality_history_top(records: DataFrame, k: int = 10, mc_code: str | None = N
 
 
 def _with_count(df: DataFrame, name: str) -> DataFrame:
-    counts = df.groupBy("MC_Code").agg(F.count(F.lit(1)).alias(name))
+    counts = small_side(df.groupBy("MC_Code").agg(F.count(F.lit(1)).alias(name)))
     return df.join(counts, "MC_Code")
 
 

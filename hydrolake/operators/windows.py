@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.functions.numeric import nonfinite_to_null, rn
+from hydrolake.functions.sizing import small_side
 from hydrolake.operators import aggregates as A
 from hydrolake.operators.clean import lower_na_text, na_text
 from hydrolake.operators.distribution import nullable_grade_expr
-from hydrolake.operators.joins import hub_year_spine
 
 HUB_KEYS = ("MC_Code", "Hub_ID")
 
@@ -39,29 +39,38 @@ def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
     are skipped); the first year and empty years get 'N/A' (null delta).
     A year whose WQI values are all null keeps a null mean and does not
     become the next year's baseline.
+
+    Plan: one partial aggregate per (MC, hub, year), one exchange of those
+    aggregated rows by hub, one window pass.  Present years carry their
+    delta; each hub's first row also emits its missing in-range years
+    (``sequence`` minus the hub's present years — bounded by the report's
+    year range).  No spine join, no second scan of the records.
     """
     agg = A.yearly_quality_agg(quality)
-    keys = agg.select(*HUB_KEYS).distinct()
-    spine = hub_year_spine(keys, first_year, as_of_year)
-    in_range = agg.filter(F.col("Year").between(first_year, as_of_year))
-    grid = spine.join(in_range, [*HUB_KEYS, "Year"], "left")
-
-    w_prev = Window.partitionBy(*HUB_KEYS).orderBy("Year").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last("Average_WQI", ignorenulls=True).over(w_prev)
-    delta = rn(F.col("Average_WQI") - prev, 2)
-    present = F.col("Total_Records").isNotNull()
-    zero_d, zero_l = F.lit(0.0), F.lit(0).cast("long")
-    return grid.select(
-        *HUB_KEYS,
-        "Year",
-        F.when(present, F.col("Average_WQI")).otherwise(zero_d).alias("Average_WQI"),
-        F.when(present, F.col("Max_WQI")).otherwise(zero_d).alias("Max_WQI"),
-        F.when(present, F.col("Min_WQI")).otherwise(zero_d).alias("Min_WQI"),
-        F.coalesce("Total_Records", zero_l).alias("Total_Records"),
-        F.coalesce("Anomaly_Count", zero_l).alias("Anomaly_Count"),
+    in_range = F.col("Year").between(first_year, as_of_year)
+    w_hub = Window.partitionBy(*HUB_KEYS)
+    w_year = w_hub.orderBy("Year")
+    w_prev = w_year.rowsBetween(Window.unboundedPreceding, -1)
+    x = agg.select(
+        "*",
+        F.last(F.when(in_range, F.col("Average_WQI")), ignorenulls=True).over(w_prev).alias("_prev"),
+        F.collect_set(F.when(in_range, F.col("Year"))).over(w_hub).alias("_present"),
+        (F.row_number().over(w_year) == 1).alias("_first"),
+    )
+    delta = rn(F.col("Average_WQI") - F.col("_prev"), 2)
+    present = x.filter(in_range).select(
+        *HUB_KEYS, "Year", "Average_WQI", "Max_WQI", "Min_WQI", "Total_Records", "Anomaly_Count",
         _trend(delta, K.YEARLY_TREND_STEP, K.NOT_AVAILABLE).alias("Trend"),
         delta.alias("Yearly_Delta"),
     )
+    missing = F.array_except(F.sequence(F.lit(first_year), F.lit(as_of_year)), F.col("_present"))
+    zero_d, zero_l = F.lit(0.0), F.lit(0).cast("long")
+    empty = x.filter(F.col("_first")).select(*HUB_KEYS, F.explode(missing).alias("Year")).select(
+        *HUB_KEYS, "Year", zero_d.alias("Average_WQI"), zero_d.alias("Max_WQI"), zero_d.alias("Min_WQI"),
+        zero_l.alias("Total_Records"), zero_l.alias("Anomaly_Count"), F.lit(K.NOT_AVAILABLE).alias("Trend"),
+        F.lit(None).cast("double").alias("Yearly_Delta"),
+    )
+    return present.unionByName(empty)
 
 
 # W2–W6 ------------------------------------------------------------------------
@@ -179,7 +188,7 @@ def latest_distribution(distribution: DataFrame) -> DataFrame:
     planned as a partial max plus a semi join so no municipality's rows have
     to sit in a single window task.
     """
-    latest = distribution.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At"))
+    latest = small_side(distribution.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At")))
     return distribution.join(latest, ["MC_Code", "Created_At"], "left_semi").select(
         "MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Recommended_Action", "Created_At"
     )
