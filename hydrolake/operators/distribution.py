@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.functions.numeric import rn, safe_divide
-from hydrolake.functions.text import band, num_text, template
+from hydrolake.functions import sqltext as S
+from hydrolake.functions.text import num_text
 
 
 # D1 -------------------------------------------------------------------------
@@ -66,24 +67,25 @@ def distribution_rounding(df: DataFrame, eff_col: str = "eff_pred", risk_col: st
 
 
 # D4 -------------------------------------------------------------------------
-def _perf_band(eff: Column, idx: int, texts: list[Column] | None = None) -> Column:
-    edges = [b[0] for b in K.PERFORMANCE_BANDS]
-    outs = texts if texts is not None else [b[idx] for b in K.PERFORMANCE_BANDS]
-    last = outs[-1] if isinstance(outs[-1], Column) else F.lit(outs[-1])
-    return F.when(F.isnan(eff), last).otherwise(band(eff, edges, outs))
+def perf_band_sql(eff: str, idx: int, texts: list[str] | None = None) -> str:
+    """Band field ``idx`` on the rounded efficiency ``eff`` (SQL); NaN falls to the last band."""
+    outs = texts if texts is not None else [S.s(b[idx]) for b in K.PERFORMANCE_BANDS]
+    return S.band(eff, [b[0] for b in K.PERFORMANCE_BANDS], outs, null_out=None)
 
 
 def performance_band(df: DataFrame, eff_col: str = "Predicted_Supply_Efficiency") -> DataFrame:
     """Five bands on the rounded efficiency; the interpretation quotes the numbers."""
-    eff = F.col(eff_col)
-    slots = {"eff": num_text(eff), "deficit": num_text(F.col("Deficit_MLD")), "lpcd": num_text(F.col("PerCapita_LPCD"))}
-    interp = [template(b[3], **{k: v for k, v in slots.items() if "{" + k + "}" in b[3]}) for b in K.PERFORMANCE_BANDS]
+    eff = f"`{eff_col}`"
+    slots = {"eff": f"CAST({eff} AS STRING)", "deficit": "CAST(`Deficit_MLD` AS STRING)",
+             "lpcd": "CAST(`PerCapita_LPCD` AS STRING)"}
+    interp = [S.template(b[3], **{k: v for k, v in slots.items() if "{" + k + "}" in b[3]})
+              for b in K.PERFORMANCE_BANDS]
     return df.withColumns(
         {
-            "Performance": _perf_band(eff, 1),
-            "Emoji_Status": _perf_band(eff, 2),
-            "Interpretation": _perf_band(eff, 3, interp),
-            "Advice": _perf_band(eff, 4),
+            "Performance": F.expr(perf_band_sql(eff, 1)),
+            "Emoji_Status": F.expr(perf_band_sql(eff, 2)),
+            "Interpretation": F.expr(perf_band_sql(eff, 3, interp)),
+            "Advice": F.expr(perf_band_sql(eff, 4)),
         }
     )
 
@@ -91,36 +93,40 @@ def performance_band(df: DataFrame, eff_col: str = "Predicted_Supply_Efficiency"
 # D5 -------------------------------------------------------------------------
 def risk_label(df: DataFrame, risk_col: str = "Critical_Risk") -> DataFrame:
     """Risk label, and one of two sentences appended to the advice."""
-    crit = F.col(risk_col).cast("boolean")
+    crit = f"CAST(`{risk_col}` AS BOOLEAN)"
     return df.withColumns(
         {
-            "Risk_Label": F.when(crit, F.lit(K.RISK_LABEL_CRITICAL)).otherwise(F.lit(K.RISK_LABEL_STABLE)),
-            "Advice": F.concat(
-                F.col("Advice"),
-                F.when(crit, F.lit(K.RISK_ADVICE_CRITICAL)).otherwise(F.lit(K.RISK_ADVICE_STABLE)),
-            ),
+            "Risk_Label": F.expr(f"CASE WHEN {crit} THEN {S.s(K.RISK_LABEL_CRITICAL)} "
+                                 f"ELSE {S.s(K.RISK_LABEL_STABLE)} END"),
+            "Advice": F.expr(f"concat(`Advice`, CASE WHEN {crit} THEN {S.s(K.RISK_ADVICE_CRITICAL)} "
+                             f"ELSE {S.s(K.RISK_ADVICE_STABLE)} END)"),
         }
     )
 
 
 # D6 / D7 --------------------------------------------------------------------
-def grade_expr(eff: Column) -> Column:
+def grade_sql(eff: str) -> str:
     """A..E on 85/70/55/40 (NaN falls through to E, as in the rule)."""
-    return _perf_band(eff, 5)
+    return perf_band_sql(eff, 5)
+
+
+def grade_expr(eff: str) -> Column:
+    return F.expr(grade_sql(f"`{eff}`"))
 
 
-def nullable_grade_expr(eff: Column) -> Column:
+def nullable_grade_expr(eff: str) -> Column:
     """Grade with null → Unknown; NaN is not null and grades E (Critical)."""
-    return F.when(eff.isNull(), F.lit(K.GRADE_UNKNOWN)).otherwise(grade_expr(eff))
+    e = f"`{eff}`"
+    return F.expr(f"CASE WHEN {e} IS NULL THEN {S.s(K.GRADE_UNKNOWN)} ELSE {grade_sql(e)} END")
 
 
 def performance_grade(df: DataFrame, eff_col: str = "Predicted_Supply_Efficiency",
                       out: str = "Performance_Grade") -> DataFrame:
-    return df.withColumn(out, grade_expr(F.col(eff_col)))
+    return df.withColumn(out, grade_expr(eff_col))
 
 
 def nullable_grade(df: DataFrame, eff_col: str, out: str = "Performance_Grade") -> DataFrame:
-    return df.withColumn(out, nullable_grade_expr(F.col(eff_col)))
+    return df.withColumn(out, nullable_grade_expr(eff_col))
 
 
 # D8 -------------------------------------------------------------------------

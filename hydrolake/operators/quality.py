@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake import constants as K
-from hydrolake.functions.numeric import py_max0, py_min, rn
+from hydrolake.functions import sqltext as S
+from hydrolake.functions.numeric import rn
 from hydrolake.functions.text import band, num_text
 
 FEATURE_COLUMNS = K.PARAMS  # midpoint columns, rule naming (Nitrate_N)
@@ -21,7 +22,7 @@ FEATURE_COLUMNS = K.PARAMS  # midpoint columns, rule naming (Nitrate_N)
 # Q1 -------------------------------------------------------------------------
 def midpoints(df: DataFrame, keep_bounds: bool = False) -> DataFrame:
     """(min + max) / 2 for the seven parameters; drops the bounds by default."""
-    cols = {p: (F.col(f"{p}_Min") + F.col(f"{p}_Max")) / F.lit(2.0) for p in K.READING_PARAMS}
+    cols = {p: F.expr(f"(`{p}_Min` + `{p}_Max`) / 2.0D") for p in K.READING_PARAMS}
     out = df.withColumns(cols)
     if not keep_bounds:
         out = out.drop(*[f"{p}_{s}" for p in K.READING_PARAMS for s in ("Min", "Max")])
@@ -45,44 +46,49 @@ def ml_feature_columns() -> list[str]:
 # Q2 -------------------------------------------------------------------------
 def cap_params(df: DataFrame) -> DataFrame:
     """Upper caps only; a NaN parameter stays NaN (it later scores 0)."""
-    return df.withColumns({p: py_min(p, cap) for p, cap in K.CAPS.items()})
+    return df.withColumns({p: F.expr(S.py_min(f"`{p}`", cap)) for p, cap in K.CAPS.items()})
 
 
 # Q3 -------------------------------------------------------------------------
-def subscore_exprs() -> dict[str, Column]:
-    hundred = F.lit(100.0)
-    t, ph = F.col("Temperature"), F.col("pH")
+def subscore_sql() -> dict[str, str]:
+    """The seven sub-scores as Spark SQL over the (capped) parameter columns."""
     return {
-        "Temperature_Score": py_max0(hundred - F.abs(t - F.lit(K.STANDARD_TEMPERATURE)) * F.lit(4.0)),
-        "pH_Score": py_max0(hundred - F.abs(ph - F.lit(K.STANDARD_PH)) * F.lit(10.0)),
-        "Conductivity_Score": py_max0(hundred - F.col("Conductivity") / F.lit(100.0)),
-        "BOD_Score": py_max0(hundred - F.col("BOD") * F.lit(10.0)),
-        "Faecal_Coliform_Score": py_max0(hundred - F.col("Faecal_Coliform") / F.lit(10.0)),
-        "Total_Coliform_Score": py_max0(hundred - F.col("Total_Coliform") / F.lit(10.0)),
-        "Nitrate_N_Score": py_max0(hundred - F.col("Nitrate_N") * F.lit(5.0)),
+        "Temperature_Score": S.py_max0(f"100.0D - abs(`Temperature` - {S.d(K.STANDARD_TEMPERATURE)}) * 4.0D"),
+        "pH_Score": S.py_max0(f"100.0D - abs(`pH` - {S.d(K.STANDARD_PH)}) * 10.0D"),
+        "Conductivity_Score": S.py_max0("100.0D - `Conductivity` / 100.0D"),
+        "BOD_Score": S.py_max0("100.0D - `BOD` * 10.0D"),
+        "Faecal_Coliform_Score": S.py_max0("100.0D - `Faecal_Coliform` / 10.0D"),
+        "Total_Coliform_Score": S.py_max0("100.0D - `Total_Coliform` / 10.0D"),
+        "Nitrate_N_Score": S.py_max0("100.0D - `Nitrate_N` * 5.0D"),
     }
 
 
+def subscore_exprs() -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in subscore_sql().items()}
+
+
 def subscores(df: DataFrame) -> DataFrame:
     """Seven sub-scores floored at 0 (negative inputs can exceed 100)."""
     return df.withColumns(subscore_exprs())
 
 
 # Q4 -------------------------------------------------------------------------
-def rule_wqi_expr(scores: dict[str, Column] | None = None) -> Column:
-    scores = scores or {f"{p}_Score": F.col(f"{p}_Score") for p in K.PARAMS}
-    total = None
-    for p in K.PARAMS:  # summed left to right in the rule's order
-        term = scores[f"{p}_Score"] * F.lit(K.WEIGHTS[p])
-        total = term if total is None else total + term
-    return rn(total, 2)
+def rule_wqi_sql(scores: dict[str, str] | None = None) -> str:
+    """Σ weight · score, summed left to right in the rule's order, rounded to 2."""
+    scores = scores or {f"{p}_Score": f"`{p}_Score`" for p in K.PARAMS}
+    terms = [f"({scores[f'{p}_Score']}) * {S.d(K.WEIGHTS[p])}" for p in K.PARAMS]
+    return S.rn(" + ".join(terms), 2)
+
+
+def rule_wqi_expr(scores: dict[str, str] | None = None) -> Column:
+    return F.expr(rule_wqi_sql(scores))
 
 
 def rule_wqi(df: DataFrame, keep_subscores: bool = False) -> DataFrame:
     """Weighted sum of the sub-scores, rounded to 2 decimals → ``Rule_WQI``."""
     if keep_subscores:
         return subscores(df).withColumn("Rule_WQI", rule_wqi_expr())
-    return df.withColumn("Rule_WQI", rule_wqi_expr(subscore_exprs()))
+    return df.withColumn("Rule_WQI", rule_wqi_expr(subscore_sql()))
 
 
 def score_rule(df: DataFrame) -> DataFrame:
@@ -93,59 +99,44 @@ def score_rule(df: DataFrame) -> DataFrame:
 # Q5 -------------------------------------------------------------------------
 def hybrid_wqi(df: DataFrame, ml_col: str = "ml_wqi", rule_col: str = "Rule_WQI", out: str = "WQI") -> DataFrame:
     """round(0.7 · model + 0.3 · rounded rule, 2)."""
-    expr = F.col(ml_col) * F.lit(K.ML_SHARE) + F.col(rule_col) * F.lit(K.RULE_SHARE)
-    return df.withColumn(out, rn(expr, 2))
+    return df.withColumn(out, F.expr(S.rn(f"`{ml_col}` * {S.d(K.ML_SHARE)} + `{rule_col}` * {S.d(K.RULE_SHARE)}", 2)))
 
 
 # Q6 -------------------------------------------------------------------------
-def _quality_band(w: Column, idx: int) -> Column:
-    edges = [b[0] for b in K.QUALITY_BANDS]
-    outs = [b[idx] for b in K.QUALITY_BANDS]
-    # NaN compares as the largest value in Spark; the rule sends it to the last band.
-    return F.when(w.isNull(), F.lit(None).cast("string")).when(F.isnan(w), F.lit(outs[-1])).otherwise(
-        band(w, edges, outs)
-    )
+def quality_band_sql(w: str, idx: int) -> str:
+    """Band field ``idx`` of the rounded WQI ``w`` (SQL); null stays null, NaN is Very Poor."""
+    return S.band(w, [b[0] for b in K.QUALITY_BANDS], [S.s(b[idx]) for b in K.QUALITY_BANDS])
 
 
 def categorize5(df: DataFrame, wqi_col: str = "WQI") -> DataFrame:
     """Five bands on the rounded WQI with emoji, interpretation and action."""
-    w = F.col(wqi_col)
-    return df.withColumns(
-        {
-            "Category": _quality_band(w, 1),
-            "Emoji_Status": _quality_band(w, 2),
-            "Interpretation": _quality_band(w, 3),
-            "Recommended_Action": _quality_band(w, 4),
-        }
-    )
+    w = f"`{wqi_col}`"
+    names = ("Category", "Emoji_Status", "Interpretation", "Recommended_Action")
+    return df.withColumns({n: F.expr(quality_band_sql(w, i + 1)) for i, n in enumerate(names)})
 
 
-def category5_expr(w: Column) -> Column:
-    return _quality_band(w, 1)
+def category5_expr(w: str) -> Column:
+    """Category of the WQI column named ``w``."""
+    return F.expr(quality_band_sql(f"`{w}`", 1))
 
 
 # Q7 -------------------------------------------------------------------------
-def categorize3_expr(w: Column) -> Column:
-    edges = [b[0] for b in K.QUALITY_BANDS3]
-    outs = [b[1] for b in K.QUALITY_BANDS3]
-    return F.when(w.isNull(), F.lit(None).cast("string")).when(F.isnan(w), F.lit(outs[-1])).otherwise(
-        band(w, edges, outs)
-    )
+def categorize3_expr(w: str) -> Column:
+    """≥70 Good, ≥50 Moderate, else Poor, on the WQI column named ``w``."""
+    return F.expr(S.band(f"`{w}`", [b[0] for b in K.QUALITY_BANDS3], [S.s(b[1]) for b in K.QUALITY_BANDS3]))
 
 
 def categorize3(df: DataFrame, wqi_col: str = "WQI", out: str = "Category3") -> DataFrame:
     """≥70 Good, ≥50 Moderate, else Poor."""
-    return df.withColumn(out, categorize3_expr(F.col(wqi_col)))
+    return df.withColumn(out, categorize3_expr(wqi_col))
 
 
 # Q8 -------------------------------------------------------------------------
-def safety_condition(ph: Column, bod: Column, fc: Column) -> Column:
+def safety_condition_sql(ph: str, bod: str, fc: str) -> str:
     # NaN is never below or above a threshold in the rule; Spark says NaN > x.
-    return (
-        (~F.isnan(ph) & (ph < F.lit(K.SAFETY_PH_BELOW)))
-        | (~F.isnan(bod) & (bod > F.lit(K.SAFETY_BOD_ABOVE)))
-        | (~F.isnan(fc) & (fc > F.lit(K.SAFETY_FC_ABOVE)))
-    )
+    return (f"((NOT isnan({ph}) AND {ph} < {S.d(K.SAFETY_PH_BELOW)}) OR "
+            f"(NOT isnan({bod}) AND {bod} > {S.d(K.SAFETY_BOD_ABOVE)}) OR "
+            f"(NOT isnan({fc}) AND {fc} > {S.d(K.SAFETY_FC_ABOVE)}))")
 
 
 def safety_downgrade(df: DataFrame, wqi_col: str = "WQI", use_raw: bool = False) -> DataFrame:
@@ -156,20 +147,24 @@ def safety_downgrade(df: DataFrame, wqi_col: str = "WQI", use_raw: bool = False)
     ``use_raw=True`` it reads ``raw_pH``/``raw_BOD``/``raw_Faecal_Coliform``.
     """
     p = "raw_" if use_raw else ""
-    hit = safety_condition(F.col(f"{p}pH"), F.col(f"{p}BOD"), F.col(f"{p}Faecal_Coliform"))
-    w = F.col(wqi_col)
+    hit = safety_condition_sql(f"`{p}pH`", f"`{p}BOD`", f"`{p}Faecal_Coliform`")
+    w = f"`{wqi_col}`"
+    ceiling = S.d(K.SAFETY_WQI_CEILING)
+
+    def pick(value: str, col: str) -> Column:
+        return F.expr(f"CASE WHEN {hit} THEN {value} ELSE `{col}` END")
+
     return df.withColumns(
         {
-            "Safety_Downgrade": hit,
+            "Safety_Downgrade": F.expr(hit),
             # the rule's min(wqi, 35) returns the integer 35 when it bites
-            "WQI_Text": F.when(hit & ~F.isnan(w) & (w > F.lit(K.SAFETY_WQI_CEILING)), F.lit("35")).otherwise(
-                num_text(w)
-            ),
-            wqi_col: F.when(hit, py_min(w, K.SAFETY_WQI_CEILING)).otherwise(w),
-            "Category": F.when(hit, F.lit(K.SAFETY_CATEGORY)).otherwise(F.col("Category")),
-            "Emoji_Status": F.when(hit, F.lit(K.SAFETY_EMOJI)).otherwise(F.col("Emoji_Status")),
-            "Interpretation": F.when(hit, F.lit(K.SAFETY_INTERPRETATION)).otherwise(F.col("Interpretation")),
-            "Recommended_Action": F.when(hit, F.lit(K.SAFETY_ACTION)).otherwise(F.col("Recommended_Action")),
+            "WQI_Text": F.expr(f"CASE WHEN {hit} AND NOT isnan({w}) AND {w} > {ceiling} THEN '35' "
+                               f"ELSE CAST({w} AS STRING) END"),
+            wqi_col: pick(S.py_min(w, K.SAFETY_WQI_CEILING), wqi_col),
+            "Category": pick(S.s(K.SAFETY_CATEGORY), "Category"),
+            "Emoji_Status": pick(S.s(K.SAFETY_EMOJI), "Emoji_Status"),
+            "Interpretation": pick(S.s(K.SAFETY_INTERPRETATION), "Interpretation"),
+            "Recommended_Action": pick(S.s(K.SAFETY_ACTION), "Recommended_Action"),
         }
     )
 
@@ -177,14 +172,13 @@ def safety_downgrade(df: DataFrame, wqi_col: str = "WQI", use_raw: bool = False)
 # Q9 -------------------------------------------------------------------------
 def anomaly_label(df: DataFrame, pred_col: str = "anomaly_pred") -> DataFrame:
     """−1 → "Anomaly Detected" (overrides emoji, extends the action), else Normal."""
-    is_anom = F.col(pred_col) == F.lit(-1)
+    is_anom = f"`{pred_col}` = -1"
     return df.withColumns(
         {
-            "Anomaly_Status": F.when(is_anom, F.lit(K.ANOMALY)).otherwise(F.lit(K.NORMAL)),
-            "Emoji_Status": F.when(is_anom, F.lit(K.ANOMALY_EMOJI)).otherwise(F.col("Emoji_Status")),
-            "Recommended_Action": F.when(
-                is_anom, F.concat(F.col("Recommended_Action"), F.lit(K.ANOMALY_ACTION_SUFFIX))
-            ).otherwise(F.col("Recommended_Action")),
+            "Anomaly_Status": F.expr(f"CASE WHEN {is_anom} THEN {S.s(K.ANOMALY)} ELSE {S.s(K.NORMAL)} END"),
+            "Emoji_Status": F.expr(f"CASE WHEN {is_anom} THEN {S.s(K.ANOMALY_EMOJI)} ELSE `Emoji_Status` END"),
+            "Recommended_Action": F.expr(f"CASE WHEN {is_anom} THEN concat(`Recommended_Action`, "
+                                         f"{S.s(K.ANOMALY_ACTION_SUFFIX)}) ELSE `Recommended_Action` END"),
         }
     )
 
@@ -192,22 +186,15 @@ def anomaly_label(df: DataFrame, pred_col: str = "anomaly_pred") -> DataFrame:
 # Q10 ------------------------------------------------------------------------
 def quality_text(df: DataFrame, ml_col: str = "ml_wqi") -> DataFrame:
     """Summary and message sentences plus the model/rule details."""
-    wqi_text = F.col("WQI_Text") if "WQI_Text" in df.columns else num_text(F.col("WQI"))
+    wqi_text = "`WQI_Text`" if "WQI_Text" in df.columns else "CAST(`WQI` AS STRING)"
     return df.withColumns(
         {
-            "AI_Summary": F.concat(
-                F.col("Emoji_Status"),
-                F.lit(" The AI predicts a WQI of "),
-                wqi_text,
-                F.lit(" ("),
-                F.col("Category"),
-                F.lit("). "),
-                F.col("Interpretation"),
-                F.lit(" Recommended action: "),
-                F.col("Recommended_Action"),
+            "AI_Summary": F.expr(
+                f"concat(`Emoji_Status`, ' The AI predicts a WQI of ', {wqi_text}, ' (', `Category`, '). ', "
+                "`Interpretation`, ' Recommended action: ', `Recommended_Action`)"
             ),
-            "Message": F.concat(F.lit("✅ Record saved successfully for Hub "), F.col("Hub_ID"), F.lit(".")),
-            "ML_WQI": rn(F.col(ml_col), 2),
+            "Message": F.expr("concat('✅ Record saved successfully for Hub ', `Hub_ID`, '.')"),
+            "ML_WQI": F.expr(S.rn(f"`{ml_col}`", 2)),
             "Hybrid_Model": F.lit(K.HYBRID_MODEL_TEXT),
         }
     )

@@ -90,7 +90,7 @@ def yearly_distribution_windows(distribution: DataFrame) -> DataFrame:
         F.avg(a).over(w3).alias("Rolling_3yr_Avg"),
         delta.alias("Yearly_Delta"),
         _trend(delta, K.YEARLY_TREND_STEP, K.STABLE).alias("Trend"),
-        nullable_grade_expr(a).alias("Performance_Grade"),
+        nullable_grade_expr("Average_Efficiency").alias("Performance_Grade"),
         vol.alias("Volatility_Index"),
     )
 

@@ -120,30 +120,35 @@ def readings_from_lines(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
         "l_shipdate",
     )
     sup = supplier.select("s_suppkey", "s_nationkey")
-    q, d, t, p = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice")
     return li.join(sup, li.l_suppkey == sup.s_suppkey).select(
         "l_orderkey",
         "l_linenumber",
         mc_code(F.col("s_nationkey")).alias("MC_Code"),
         hub_code(F.col("l_suppkey")).alias("Hub_ID"),
-        (F.lit(12.0) + q * F.lit(0.6)).alias("Temperature_Min"),
-        (F.lit(14.0) + q * F.lit(0.6)).alias("Temperature_Max"),
-        (F.lit(5.0) + d * F.lit(40.0)).alias("pH_Min"),
-        (F.lit(5.4) + d * F.lit(40.0)).alias("pH_Max"),
-        (p / F.lit(20.0)).alias("Conductivity_Min"),
-        (p / F.lit(10.0)).alias("Conductivity_Max"),
-        (t * F.lit(280.0)).alias("BOD_Min"),
-        (t * F.lit(320.0)).alias("BOD_Max"),
-        (p / F.lit(25.0)).alias("Faecal_Coliform_Min"),
-        (p / F.lit(15.0)).alias("Faecal_Coliform_Max"),
-        (p / F.lit(30.0)).alias("Total_Coliform_Min"),
-        (p / F.lit(20.0)).alias("Total_Coliform_Max"),
-        (q * F.lit(0.3)).alias("Nitrate_N_Min"),
-        (q * F.lit(0.5)).alias("Nitrate_N_Max"),
+        *[F.expr(f"{sql} AS {name}") for name, sql in READING_SQL],
         shifted("l_shipdate").alias("Created_At"),
     )
 
 
+# Reading parameters derived from a line: (column, Spark SQL).
+READING_SQL = (
+    ("Temperature_Min", "12.0D + l_quantity * 0.6D"),
+    ("Temperature_Max", "14.0D + l_quantity * 0.6D"),
+    ("pH_Min", "5.0D + l_discount * 40.0D"),
+    ("pH_Max", "5.4D + l_discount * 40.0D"),
+    ("Conductivity_Min", "l_extendedprice / 20.0D"),
+    ("Conductivity_Max", "l_extendedprice / 10.0D"),
+    ("BOD_Min", "l_tax * 280.0D"),
+    ("BOD_Max", "l_tax * 320.0D"),
+    ("Faecal_Coliform_Min", "l_extendedprice / 25.0D"),
+    ("Faecal_Coliform_Max", "l_extendedprice / 15.0D"),
+    ("Total_Coliform_Min", "l_extendedprice / 30.0D"),
+    ("Total_Coliform_Max", "l_extendedprice / 20.0D"),
+    ("Nitrate_N_Min", "l_quantity * 0.3D"),
+    ("Nitrate_N_Max", "l_quantity * 0.5D"),
+)
+
+
 def injected_ml_wqi() -> Column:
     """Stand-in model output for exact checks: ((ok·13 + ln·7) mod 10000) / 100."""
     return ((F.col("l_orderkey") * F.lit(13) + F.col("l_linenumber") * F.lit(7)) % F.lit(10000)) / F.lit(100.0)
@@ -187,7 +192,7 @@ def quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "Created_At",
             F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(F.lit(0)).alias("Used_For_Training"),
         )
-        .withColumn("Category", Q.category5_expr(F.col("WQI")))
+        .withColumn("Category", Q.category5_expr("WQI"))
     )
 
 

@@ -139,13 +139,10 @@ def split_valid(df: DataFrame, schema: dict[str, str]) -> tuple[DataFrame, DataF
     A value is valid when present and castable to its type; rejected rows go
     to a quarantine sink and never reach scoring.
     """
-    casts = {c: F.col(c).try_cast(t) for c, t in schema.items()}
-    ok_cond = None
-    for c in schema:
-        cond = F.col(c).isNotNull() & casts[c].isNotNull()
-        ok_cond = cond if ok_cond is None else ok_cond & cond
-    flagged = df.withColumn("_valid", ok_cond)
-    ok = flagged.filter(F.col("_valid")).withColumns(casts).drop("_valid")
+    casts = {c: f"try_cast(`{c}` AS {t})" for c, t in schema.items()}
+    ok_sql = " AND ".join(f"(`{c}` IS NOT NULL AND {casts[c]} IS NOT NULL)" for c in schema)
+    flagged = df.withColumn("_valid", F.expr(ok_sql))
+    ok = flagged.filter(F.col("_valid")).withColumns({c: F.expr(e) for c, e in casts.items()}).drop("_valid")
     bad = flagged.filter(~F.col("_valid")).drop("_valid")
     return ok, bad
 
