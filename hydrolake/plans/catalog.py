@@ -393,6 +393,11 @@ def distribution_trend(spark, sf):
     return A.distribution_trend(X.distribution_records(spark, sf))
 
 
+@register("distribution_trend_records")
+def distribution_trend_records(spark, sf):
+    return A.distribution_trend_records(X.distribution_records(spark, sf))
+
+
 @register("yearly_quality_agg")
 def yearly_quality_agg(spark, sf):
     return A.yearly_quality_agg(X.quality_records(spark, sf))

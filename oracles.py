@@ -732,3 +732,6 @@ ORACLES["regression_eval"] = with_views(
     "SELECT 1.0 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(Rule_WQI) FROM quality_scored)) * "
     "(y - (SELECT avg(Rule_WQI) FROM quality_scored))) AS R2, avg(abs(y - p)) AS MAE, count(*) AS N "
     f"FROM (SELECT Rule_WQI AS y, {ML_WQI} AS p FROM quality_scored) z", "quality_scored")
+ORACLES["distribution_trend_records"] = with_views(
+    "SELECT MC_Code, Hub_ID, Predicted_Supply_Efficiency, Critical_Risk, Created_At FROM distribution_records "
+    "WHERE Hub_ID IS NOT NULL", "distribution_records")
