@@ -47,7 +47,10 @@ def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
     year range).  No spine join, no second scan of the records.
     """
     agg = A.yearly_quality_agg(quality)
-    in_range = F.col("Year").between(first_year, as_of_year)
+    # a record without a hub matches no hub (a null key equals nothing): its
+    # hub entry is all empty years, as a key-equality lookup would give
+    keyed = F.col("MC_Code").isNotNull() & F.col("Hub_ID").isNotNull()
+    in_range = F.col("Year").between(first_year, as_of_year) & keyed
     w_hub = Window.partitionBy(*HUB_KEYS)
     w_year = w_hub.orderBy("Year")
     w_prev = w_year.rowsBetween(Window.unboundedPreceding, -1)

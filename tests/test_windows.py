@@ -85,3 +85,34 @@ def test_empty_input_gives_empty_frames_with_schema(spark):
     b = W.yearly_distribution_trend(d)
     assert a.count() == 0 and "Trend" in a.columns
     assert b.count() == 0 and "Long_Term_Trend" in b.columns
+
+
+def test_null_hub_gets_only_empty_years(spark):
+    rows = [("MC1", None, 50.0, "Normal", ts(2019)), ("MC1", "H1", 60.0, "Normal", ts(2019))]
+    df = spark.createDataFrame(rows, Q_SCHEMA)
+    out = W.yearly_quality_trend(df, as_of_year=2020).collect()
+    nulls = [r for r in out if r["Hub_ID"] is None]
+    assert sorted(r["Year"] for r in nulls) == [2018, 2019, 2020]
+    assert all(r["Total_Records"] == 0 and r["Trend"] == "N/A" for r in nulls)
+
+
+def test_hot_hub_with_a_third_of_rows(spark):
+    """One hub holds a third of all rows; results equal a brute-force pass."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(3000):
+        hub = "HOT" if i % 3 == 0 else f"H{i % 40}"
+        w = None if i % 97 == 0 else round(rnd.uniform(20, 90), 2)
+        rows.append(("MC1", hub, w, K.ANOMALY if i % 50 == 0 else "Normal", ts(2018 + i % 6, 1 + i % 12)))
+    df = spark.createDataFrame(rows, Q_SCHEMA).repartition(8)
+    got = {(r["Hub_ID"], r["Year"]): r for r in W.yearly_quality_trend(df, as_of_year=2024).collect()}
+    hot = [r for r in rows if r[1] == "HOT"]
+    for year in range(2018, 2025):
+        ws = [r[2] for r in hot if r[4].year == year and r[2] is not None]
+        n = sum(1 for r in hot if r[4].year == year)
+        g = got[("HOT", year)]
+        assert g["Total_Records"] == n
+        if ws:
+            assert abs(g["Average_WQI"] - sum(ws) / len(ws)) < 1e-9 and g["Max_WQI"] == max(ws)
