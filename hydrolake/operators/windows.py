@@ -41,10 +41,10 @@ def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
     become the next year's baseline.
 
     Plan: one partial aggregate per (MC, hub, year), one exchange of those
-    aggregated rows by hub, one window pass.  Present years carry their
-    delta; each hub's first row also emits its missing in-range years
-    (``sequence`` minus the hub's present years — bounded by the report's
-    year range).  No spine join, no second scan of the records.
+    aggregated rows by hub, one window pass, one generator.  Present years
+    carry their delta; each hub's first row also emits its missing in-range
+    years (``sequence`` minus the hub's present years — bounded by the
+    report's year range).  No spine join, no second scan of the records.
     """
     agg = A.yearly_quality_agg(quality)
     # a record without a hub matches no hub (a null key equals nothing): its
@@ -61,19 +61,26 @@ def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
         (F.row_number().over(w_year) == 1).alias("_first"),
     )
     delta = rn(F.col("Average_WQI") - F.col("_prev"), 2)
-    present = x.filter(in_range).select(
-        *HUB_KEYS, "Year", "Average_WQI", "Max_WQI", "Min_WQI", "Total_Records", "Anomaly_Count",
-        _trend(delta, K.YEARLY_TREND_STEP, K.NOT_AVAILABLE).alias("Trend"),
-        delta.alias("Yearly_Delta"),
+    present = F.struct(
+        F.col("Year").alias("Year"), F.col("Average_WQI").alias("Average_WQI"), F.col("Max_WQI").alias("Max_WQI"),
+        F.col("Min_WQI").alias("Min_WQI"), F.col("Total_Records").alias("Total_Records"),
+        F.col("Anomaly_Count").alias("Anomaly_Count"),
+        _trend(delta, K.YEARLY_TREND_STEP, K.NOT_AVAILABLE).alias("Trend"), delta.alias("Yearly_Delta"),
     )
     missing = F.array_except(F.sequence(F.lit(first_year), F.lit(as_of_year)), F.col("_present"))
     zero_d, zero_l = F.lit(0.0), F.lit(0).cast("long")
-    empty = x.filter(F.col("_first")).select(*HUB_KEYS, F.explode(missing).alias("Year")).select(
-        *HUB_KEYS, "Year", zero_d.alias("Average_WQI"), zero_d.alias("Max_WQI"), zero_d.alias("Min_WQI"),
-        zero_l.alias("Total_Records"), zero_l.alias("Anomaly_Count"), F.lit(K.NOT_AVAILABLE).alias("Trend"),
-        F.lit(None).cast("double").alias("Yearly_Delta"),
+    empty = F.transform(
+        F.when(F.col("_first"), missing).otherwise(F.slice(missing, 1, 0)),
+        lambda y: F.struct(
+            y.alias("Year"), zero_d.alias("Average_WQI"), zero_d.alias("Max_WQI"), zero_d.alias("Min_WQI"),
+            zero_l.alias("Total_Records"), zero_l.alias("Anomaly_Count"), F.lit(K.NOT_AVAILABLE).alias("Trend"),
+            F.lit(None).cast("double").alias("Yearly_Delta"),
+        ),
     )
-    return present.unionByName(empty)
+    # one row stream: a present in-range year yields itself; a hub's first row
+    # also yields its empty years — a single branch, so one scan and one shuffle
+    own = F.slice(F.array(present), 1, F.when(in_range, F.lit(1)).otherwise(F.lit(0)))
+    return x.select(*HUB_KEYS, F.explode(F.concat(own, empty)).alias("_e")).select(*HUB_KEYS, "_e.*")
 
 
 # W2–W6 ------------------------------------------------------------------------
