@@ -45,18 +45,20 @@ def train_models(spark: SparkSession, training: DataFrame, path: str | None = No
     """S6/M8 → M1 → M2 → M3 → S7 → M10.
 
     ``training`` is either the training table (features + ``Rule_WQI``) or
-    records with ``WQI``.  The cleaned, scaled set is checkpointed to the
-    shared checkpoint folder so the several passes (stats, forest levels,
-    isolation sampling, evaluation) do not recompute the scan and a lost
-    executor does not replay the whole lineage.
+    records with ``WQI``.  The cleaned set is checkpointed to the shared
+    checkpoint folder so the several passes (stats, forest levels, isolation
+    sampling, evaluation) do not recompute the scan and a lost executor does
+    not replay the whole lineage.
     """
     if "Rule_WQI" in training.columns and "WQI" not in training.columns:
         training = io.scan_training(training)
     ts = training_set(training)
+    if checkpoint:
+        # one pass over the records: the stats, the fits and the evaluation all
+        # read the stored, cleaned rows (scaling is a projection on top)
+        ts = ts.checkpoint(eager=True)
     stats = SC.fit_scaler(ts, K.ML_FEATURES)
     scaled = SC.scaled_features(ts, stats, prefix="z_")
-    if checkpoint:
-        scaled = scaled.checkpoint(eager=True)
     zf = [f"z_{f}" for f in K.ML_FEATURES]
     reg = M.train_wqi_regressor(scaled, zf, "WQI", num_trees, max_depth, seed)
     forest = ISO.fit_isolation_forest(scaled, zf, n_trees=forest_trees, seed=seed)
