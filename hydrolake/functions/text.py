@@ -1,11 +1,8 @@
-"""Text helpers: numbers inside sentences and band lookups as ``when`` chains."""
+"""Text helpers for numbers inside sentences (band lookups are SQL text: see ``sqltext``)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def num_text(x: Column) -> Column:
@@ -15,35 +12,3 @@ def num_text(x: Column) -> Column:
     keeps them inside the range where Spark and Python print the same digits.
     """
     return x.cast("string")
-
-
-def band(value: Column, edges: Sequence[float | None], outputs: Sequence[Column | str]) -> Column:
-    """``outputs[i]`` for the first ``value >= edges[i]``; the last edge is None (else).
-
-    Built as a ``when`` chain so it stays a codegen'd expression.
-    """
-    out = None
-    for edge, res in zip(edges, outputs):
-        res_col = res if isinstance(res, Column) else F.lit(res)
-        if edge is None:
-            return res_col if out is None else out.otherwise(res_col)
-        cond = value >= F.lit(float(edge))
-        out = F.when(cond, res_col) if out is None else out.when(cond, res_col)
-    return out
-
-
-def template(fmt: str, **cols: Column) -> Column:
-    """Fill ``{name}`` slots of ``fmt`` with columns, as one ``concat``."""
-    parts: list[Column] = []
-    rest = fmt
-    while rest:
-        i = rest.find("{")
-        if i < 0:
-            parts.append(F.lit(rest))
-            break
-        j = rest.index("}", i)
-        if i:
-            parts.append(F.lit(rest[:i]))
-        parts.append(cols[rest[i + 1 : j]])
-        rest = rest[j + 1 :]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.functions import sqltext as S
-from hydrolake.functions.numeric import rn
-from hydrolake.functions.text import band, num_text
 
 FEATURE_COLUMNS = K.PARAMS  # midpoint columns, rule naming (Nitrate_N)
 
