@@ -21,6 +21,17 @@ def _is_anomaly():
     return F.when(F.col("Anomaly_Status") == F.lit(K.ANOMALY), F.lit(1)).otherwise(F.lit(0))
 
 
+def _coerce_created(df: DataFrame) -> DataFrame:
+    """C3 on ``Created_At``: text that is not a timestamp becomes null.
+
+    A column already typed as a timestamp passes through unchanged (the
+    coercion is the identity there), so no per-row string round trip.
+    """
+    if dict(df.dtypes)["Created_At"] in ("timestamp", "timestamp_ntz"):
+        return df.withColumn("Created_At", F.col("Created_At").cast("timestamp_ntz"))
+    return df.withColumn("Created_At", F.col("Created_At").cast("string").try_cast("timestamp_ntz"))
+
+
 def _collapse(*frames: DataFrame) -> DataFrame:
     """Merge one-row aggregate frames into one row (union + max), no cross join."""
     u = frames[0]
@@ -31,16 +42,37 @@ def _collapse(*frames: DataFrame) -> DataFrame:
 
 
 # A1 -------------------------------------------------------------------------
-def public_overall_stats(municipal: DataFrame, quality: DataFrame, distribution: DataFrame) -> DataFrame:
-    """Municipality count and population, average WQI and efficiency (C8 rounding)."""
-    m = municipal.agg(
+def _quality_metrics(quality: DataFrame, full: bool) -> DataFrame:
+    aggs = [default_zero_round(F.avg("WQI"), 2).alias("Average_WQI")]
+    if full:
+        aggs += [F.sum(_is_anomaly()).cast("long").alias("Total_Anomalies"),
+                 F.max("Created_At").alias("_q_last")]
+    return quality.agg(*aggs)
+
+
+def _distribution_metrics(distribution: DataFrame, full: bool) -> DataFrame:
+    aggs = [default_zero_round(F.avg("Predicted_Supply_Efficiency"), 2).alias("Average_Distribution_Efficiency")]
+    if full:
+        aggs += [F.count_distinct(F.when(F.col("Critical_Risk") == F.lit(1), F.col("Hub_ID")))
+                 .alias("Total_Critical_Hubs"),
+                 F.max("Created_At").alias("_d_last")]
+    return distribution.agg(*aggs)
+
+
+def _municipal_metrics(municipal: DataFrame) -> DataFrame:
+    return municipal.agg(
         F.count(F.lit(1)).alias("Total_Municipal_Corporations"),
         F.sum("Population").alias("Total_Population"),
     )
-    q = quality.agg(default_zero_round(F.avg("WQI"), 2).alias("Average_WQI"))
-    d = distribution.agg(default_zero_round(F.avg("Predicted_Supply_Efficiency"), 2)
-                         .alias("Average_Distribution_Efficiency"))
-    return _collapse(m, q, d)
+
+
+def public_overall_stats(municipal: DataFrame, quality: DataFrame, distribution: DataFrame) -> DataFrame:
+    """Municipality count and population, average WQI and efficiency (C8 rounding).
+
+    One aggregate pass per table, merged into one row.
+    """
+    return _collapse(_municipal_metrics(municipal), _quality_metrics(quality, False),
+                     _distribution_metrics(distribution, False))
 
 
 # U1 -------------------------------------------------------------------------
@@ -53,15 +85,20 @@ def last_updated(quality: DataFrame, distribution: DataFrame) -> DataFrame:
 
 # A2 -------------------------------------------------------------------------
 def overall_stats(municipal: DataFrame, quality: DataFrame, distribution: DataFrame) -> DataFrame:
-    """A1 plus anomaly count, distinct critical hubs and last update."""
-    base = public_overall_stats(municipal, quality, distribution)
-    qa = quality.agg(F.sum(_is_anomaly()).cast("long").alias("Total_Anomalies"))
-    crit = distribution.agg(
-        F.count_distinct(F.when(F.col("Critical_Risk") == F.lit(1), F.col("Hub_ID"))).alias("Total_Critical_Hubs")
+    """A1 plus anomaly count, distinct critical hubs and last update.
+
+    Still one aggregate pass per table: every metric of a table is computed
+    in the same aggregate, and the last update (U1: the maximum of the two
+    tables' maxima) is the greater of the two per-table maxima.
+    """
+    out = _collapse(_municipal_metrics(municipal), _quality_metrics(quality, True),
+                    _distribution_metrics(distribution, True))
+    return out.select(
+        "Total_Municipal_Corporations", "Total_Population", "Average_WQI", "Average_Distribution_Efficiency",
+        F.coalesce(F.col("Total_Anomalies"), F.lit(0).cast("long")).alias("Total_Anomalies"),
+        "Total_Critical_Hubs",
+        F.greatest("_q_last", "_d_last").alias("Last_Updated"),
     )
-    lu = last_updated(quality, distribution)
-    out = _collapse(base, qa, crit, lu)
-    return out.withColumn("Total_Anomalies", F.coalesce(F.col("Total_Anomalies"), F.lit(0).cast("long")))
 
 
 # A3 -------------------------------------------------------------------------
@@ -85,8 +122,7 @@ def distribution_summary(distribution: DataFrame) -> DataFrame:
 # A4 -------------------------------------------------------------------------
 def quality_trend_input(quality: DataFrame) -> DataFrame:
     """C3 → C1 → C2 → C4 on (MC_Code, Hub_ID, WQI, Anomaly_Status, Created_At)."""
-    df = quality.select("MC_Code", "Hub_ID", "WQI", "Anomaly_Status", "Created_At")
-    df = df.withColumn("Created_At", F.col("Created_At").cast("string").try_cast("timestamp_ntz"))
+    df = _coerce_created(quality.select("MC_Code", "Hub_ID", "WQI", "Anomaly_Status", "Created_At"))
     df = C.drop_nulls_subset(df, ["Created_At", "WQI"])
     df = df.withColumn("WQI", F.col("WQI").try_cast("double"))
     return C.nonfinite_to_zero(df)
@@ -151,8 +187,9 @@ def yearly_distribution_agg(distribution: DataFrame) -> DataFrame:
     Created_At goes through the lenient timestamp parse first (C3); rows
     whose time does not parse, and rows without a hub, are left out.
     """
-    df = distribution.select("MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Created_At")
-    df = df.withColumn("Created_At", F.col("Created_At").cast("string").try_cast("timestamp_ntz"))
+    df = _coerce_created(
+        distribution.select("MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Created_At")
+    )
     df = df.filter(F.col("Created_At").isNotNull() & F.col("Hub_ID").isNotNull())
     eff = F.col("Predicted_Supply_Efficiency")
     return df.groupBy("MC_Code", "Hub_ID", F.year("Created_At").alias("Year")).agg(
