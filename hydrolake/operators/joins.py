@@ -29,14 +29,19 @@ def hubs_for_mc(mapping: DataFrame, hubs: DataFrame, mc_code: str | None = None)
 
 
 # J2 -------------------------------------------------------------------------
-def tenant_scope(records: DataFrame, principals: DataFrame, username: str | None = None) -> DataFrame:
+def tenant_scope(records: DataFrame, principals: DataFrame, username: str | None = None,
+                 municipal: DataFrame | None = None) -> DataFrame:
     """Rows of the municipalities the principal(s) may read (left semi join).
 
-    The password column is never read; only (Username, MC_Code).
+    Principals are first matched to existing municipalities (user ⋈
+    municipality, as the login lookup does).  The password column is never
+    read; only (Username, MC_Code).
     """
     p = principals.select("Username", "MC_Code")
     if username:
         p = p.filter(F.col("Username") == F.lit(username))
+    if municipal is not None:
+        p = p.join(checked_broadcast(municipal.select("MC_Code")), "MC_Code", "left_semi")
     allowed = checked_broadcast(p.select("MC_Code").distinct())
     return records.join(allowed, "MC_Code", "left_semi")
 

@@ -328,7 +328,7 @@ def hubs_for_mc(spark, sf):
 @register("tenant_scope")
 def tenant_scope(spark, sf):
     q = X.quality_records(spark, sf).select("MC_Code", "Hub_ID", "WQI", "Created_At")
-    return J.tenant_scope(q, X.principals(spark, sf))
+    return J.tenant_scope(q, X.principals(spark, sf), municipal=X.municipal_data(spark, sf))
 
 
 @register("hub_year_spine")

@@ -457,8 +457,8 @@ HUBS_CTE = """hj AS (SELECT m.MC_Code, m.Hub_ID, h.Hub_Name FROM mc_hub_mapping
 ORACLES["hubs_for_mc"] = with_views("SELECT MC_Code, Hub_ID, Hub_Name, Total_Hubs FROM hubs",
                                     "mc_hub_mapping", "hub_table", ctes=HUBS_CTE)
 ORACLES["tenant_scope"] = with_views(
-    "SELECT MC_Code, Hub_ID, WQI, Created_At FROM quality_records WHERE MC_Code IN (SELECT MC_Code FROM principals)",
-    "quality_records", "principals")
+    "SELECT MC_Code, Hub_ID, WQI, Created_At FROM quality_records WHERE MC_Code IN (SELECT p.MC_Code FROM principals p "
+    "JOIN municipal_data m ON p.MC_Code = m.MC_Code)", "quality_records", "principals", "municipal_data")
 ORACLES["hub_year_spine"] = with_views(
     f"SELECT MC_Code, Hub_ID, CAST(y AS INT) AS Year FROM (SELECT DISTINCT MC_Code, Hub_ID FROM quality_records) k, "
     f"range({K.FIRST_REPORT_YEAR}, 2025) t(y)", "quality_records")

@@ -44,3 +44,10 @@ def test_yearly_trend_aggregates_before_the_windows(spark):
 def test_top_k_uses_group_limit_before_shuffle(spark):
     p = plan(E.queries()["quality_history_top10"](spark, SF))
     assert "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("key", ["predict_quality", "predict_distribution", "yearly_quality_trend",
+                                 "yearly_distribution_trend", "quality_trend", "validate_readings"])
+def test_rule_paths_stay_in_the_jvm(spark, key):
+    p = plan(E.queries()[key](spark, SF))
+    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
