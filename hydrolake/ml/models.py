@@ -47,7 +47,7 @@ def score_wqi(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 # M6 -------------------------------------------------------------------------
 def efficiency_target(df: DataFrame) -> DataFrame:
-    """Our choice of training target (the reference ships only the pickle): supply/demand·100."""
+    """Our choice of training target (the original ships no training data for it): supply/demand·100."""
     return df.withColumn("efficiency_target",
                          F.try_divide(F.col("Current_Supply_MLD"), F.col("Total_Demand_MLD")) * F.lit(100.0))
 

@@ -632,7 +632,7 @@ from hydrolake.ml import models as M  # noqa: E402
 from hydrolake.ml import scaler as SC  # noqa: E402
 from hydrolake.plans import training as TR  # noqa: E402
 
-# Forest sizes for the registered queries: the reference's 200 isolation
+# Forest sizes for the registered queries: the original's 200 isolation
 # trees; 20 regression trees (200 is the library default, see README).
 RF_TREES = 20
 ISO_TREES = K.N_TREES

@@ -75,7 +75,7 @@ def retrain(spark: SparkSession, records_path: str, models_path: str, snapshot_p
             seed: int = K.SEED) -> tuple[TrainingResult, str]:
     """Full refit on all stored records, then flag every record as used.
 
-    The target is the stored (hybrid) WQI, as in the reference; the flag is
+    The target is the stored (hybrid) WQI, as in the original; the flag is
     set on all rows with flag 0 — including rows the fit dropped — by
     writing a new snapshot (returned) for the caller to swap in.
     """
