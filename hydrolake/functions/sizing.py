@@ -36,5 +36,8 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     a shuffle join.  Use it where the optimizer cannot size the side (an
     aggregate's output) and a shuffle of the large side would be the cost.
     """
+    from hydrolake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)  # the session's shared folder; scratch only when unset
     stored = df.checkpoint(eager=True)
     return F.broadcast(stored) if small_enough(stored, max_rows) else stored
