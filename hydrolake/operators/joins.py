@@ -15,17 +15,20 @@ from hydrolake.functions.sizing import checked_broadcast, small_side
 
 
 # J1 -------------------------------------------------------------------------
-def hubs_for_mc(mapping: DataFrame, hubs: DataFrame, mc_code: str | None = None) -> DataFrame:
+def hubs_for_mc(mapping: DataFrame, hubs: DataFrame, mc_code: str | None = None,
+                ordered: bool = False) -> DataFrame:
     """mapping ⋈ hub (inner equi) with the hub count per municipality.
 
-    Output (MC_Code, Hub_ID, Hub_Name, Total_Hubs); order by (MC_Code, Hub_Name)
-    at the consumer when a display order is wanted.
+    Output (MC_Code, Hub_ID, Hub_Name, Total_Hubs); ``ordered`` sorts by hub
+    name within each municipality (the listing order), which a consumer that
+    joins the result further does not need.
     """
     if mc_code:
         mapping = mapping.filter(F.col("MC_Code") == F.lit(mc_code))
     joined = mapping.join(hubs, "Hub_ID")
     counts = small_side(joined.groupBy("MC_Code").agg(F.count(F.lit(1)).alias("Total_Hubs")))
-    return joined.join(counts, "MC_Code").select("MC_Code", "Hub_ID", "Hub_Name", "Total_Hubs")
+    out = joined.join(counts, "MC_Code").select("MC_Code", "Hub_ID", "Hub_Name", "Total_Hubs")
+    return out.orderBy("MC_Code", "Hub_Name", "Hub_ID") if ordered else out
 
 
 # J2 -------------------------------------------------------------------------

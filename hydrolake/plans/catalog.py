@@ -322,7 +322,7 @@ def year_range_filter(spark, sf):
 # --------------------------------------------------------------------- joins --
 @register("hubs_for_mc")
 def hubs_for_mc(spark, sf):
-    return J.hubs_for_mc(X.mc_hub_mapping(spark, sf), X.hub_table(spark, sf))
+    return J.hubs_for_mc(X.mc_hub_mapping(spark, sf), X.hub_table(spark, sf), ordered=True)
 
 
 @register("tenant_scope")
