@@ -119,6 +119,12 @@ def quality_summary_text(spark, sf):
     )
 
 
+@register("quality_details")
+def quality_details(spark, sf):
+    """Q10's nested details block (model, rule, blend, capped input features)."""
+    return Q.details_struct(_predict_quality_frame(spark, sf)).select("l_orderkey", "l_linenumber", "Details")
+
+
 @register("nitrate_rename")
 def nitrate_rename(spark, sf):
     r = Q.nitrate_rename(Q.midpoints(X.quality_readings(spark, sf)))
