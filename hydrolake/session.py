@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of a collected DataFrame are removed by Spark itself,
+    # so the shared folder does not grow with every job
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Runtime SQL settings applied to any session (the cluster's too) unless the
@@ -46,7 +49,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("HYDROLAKE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="hydrolake-wh-"))
+        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "hydrolake-warehouse"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
