@@ -96,6 +96,11 @@ def dashboard(municipal: DataFrame, mapping: DataFrame, hubs: DataFrame, mc_code
 
     The relational form of "municipal info + list of hubs": hubs per
     municipality are not bounded, so they are never packed into one array.
+    Planned as an inner join against the (size-checked, broadcast)
+    municipality dimension plus an anti join for municipalities without
+    hubs — the same rows as ``municipal LEFT JOIN hubs``, but the hub side is
+    never shuffled by municipality (a municipality with a third of all hubs
+    would otherwise sit in one task).
     """
     if mc_code:
         municipal = municipal.filter(F.col("MC_Code") == F.lit(mc_code))
@@ -104,5 +109,14 @@ def dashboard(municipal: DataFrame, mapping: DataFrame, hubs: DataFrame, mc_code
     info = municipal.select(
         "MC_Code", "MC_Name", "Population", "Total_Demand_MLD", "Current_Supply_MLD", "Division_Code"
     )
-    out = info.join(connected, "MC_Code", "left")
-    return out.withColumn("Total_Hubs", F.coalesce(F.col("Total_Hubs"), F.lit(0).cast("long")))
+    with_hubs = connected.join(checked_broadcast(info), "MC_Code")
+    served = small_side(connected.select("MC_Code").distinct())
+    without = info.join(served, "MC_Code", "left_anti").select(
+        "*",
+        F.lit(None).cast("string").alias("Hub_ID"),
+        F.lit(None).cast("string").alias("Hub_Name"),
+        F.lit(0).cast("long").alias("Total_Hubs"),
+    )
+    cols = ["MC_Code", "MC_Name", "Population", "Total_Demand_MLD", "Current_Supply_MLD", "Division_Code",
+            "Hub_ID", "Hub_Name", "Total_Hubs"]
+    return with_hubs.select(*cols).unionByName(without.select(*cols))

@@ -116,3 +116,15 @@ def test_hot_hub_with_a_third_of_rows(spark):
         assert g["Total_Records"] == n
         if ws:
             assert abs(g["Average_WQI"] - sum(ws) / len(ws)) < 1e-9 and g["Max_WQI"] == max(ws)
+
+
+def test_dashboard_keeps_municipalities_without_hubs(spark):
+    from hydrolake.operators import joins as J
+
+    muni = spark.createDataFrame([("MC1", "A", 10, 1.0, 1.0, "D01"), ("MC2", "B", 20, 2.0, 2.0, "D02")],
+                                 "MC_Code string, MC_Name string, Population long, Total_Demand_MLD double, "
+                                 "Current_Supply_MLD double, Division_Code string")
+    mapping = spark.createDataFrame([("MC1", "H1"), ("MC1", "H2")], "MC_Code string, Hub_ID string")
+    hubs = spark.createDataFrame([("H1", "b"), ("H2", "a")], "Hub_ID string, Hub_Name string")
+    got = sorted((r["MC_Code"], r["Hub_ID"], r["Total_Hubs"]) for r in J.dashboard(muni, mapping, hubs).collect())
+    assert got == [("MC1", "H1", 2), ("MC1", "H2", 2), ("MC2", None, 0)]
