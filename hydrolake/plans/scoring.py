@@ -34,16 +34,19 @@ DISTRIBUTION_OUTPUT = (
 
 def predict_quality(readings: DataFrame, models: M.QualityModels | None = None, ml_col: str | None = None,
                     anomaly_col: str | None = None, use_raw_for_safety: bool = False,
-                    validate: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+                    validate: bool = True, keep: tuple[str, ...] = (),
+                    quarantine_path: str | None = None) -> DataFrame:
     """S9 → Q1 → (Q11, M1, M5, M4) → Q2–Q4 → Q5 → Q6 → Q8 → Q9 → Q10.
 
     Returns the scored rows with every field of the prediction response plus
     the columns in ``keep`` and ``Created_At`` when present; rejected readings
-    are dropped here (use :func:`io.split_valid` to route them to quarantine).
+    are written to ``quarantine_path`` when given (an action), else dropped.
     """
     df = readings
     if validate:
-        df, _ = io.split_valid(df, io.QUALITY_READING_TYPES)
+        df, rejected = io.split_valid(df, io.QUALITY_READING_TYPES)
+        if quarantine_path:
+            io.write_quarantine(rejected, quarantine_path, io.QUALITY_READING_TYPES)
     df = Q.midpoints(df)
     if models is not None:
         # models read the uncapped midpoints, with the model's Nitrate naming
@@ -67,11 +70,13 @@ def predict_quality(readings: DataFrame, models: M.QualityModels | None = None,
 
 def predict_distribution(readings: DataFrame, eff_model=None, risk_model=None, eff_col: str | None = None,
                          risk_col: str | None = None, validate: bool = True,
-                         keep: tuple[str, ...] = ()) -> DataFrame:
-    """S9 → D1 → (M6, M7) → D2–D6 → D8."""
+                         keep: tuple[str, ...] = (), quarantine_path: str | None = None) -> DataFrame:
+    """S9 → D1 → (M6, M7) → D2–D6 → D8 (rejects to ``quarantine_path`` when given)."""
     df = readings
     if validate:
-        df, _ = io.split_valid(df, io.DISTRIBUTION_READING_TYPES)
+        df, rejected = io.split_valid(df, io.DISTRIBUTION_READING_TYPES)
+        if quarantine_path:
+            io.write_quarantine(rejected, quarantine_path, io.DISTRIBUTION_READING_TYPES)
     if eff_model is not None and risk_model is not None:
         df = D.distribution_features(df).withColumns(
             {"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")}

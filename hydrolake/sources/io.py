@@ -164,6 +164,24 @@ def split_valid(df: DataFrame, schema: dict[str, str]) -> tuple[DataFrame, DataF
     return ok, bad
 
 
+def rejection_reasons(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Rejected rows with ``Rejected_Fields``: the fields missing or not of their type."""
+    bad = [F.when(F.expr(f"`{c}` IS NULL OR try_cast(`{c}` AS {t}) IS NULL"), F.lit(c)) for c, t in schema.items()]
+    return df.withColumn("Rejected_Fields", F.concat_ws(",", *bad))
+
+
+def write_quarantine(rejected: DataFrame, path: str, schema: dict[str, str], batch_id=None) -> str:
+    """S9's sink for rejects: the rows as received plus the reason, as text columns.
+
+    With ``batch_id`` a replayed batch overwrites its own folder.
+    """
+    out = rejection_reasons(rejected, schema)
+    out = out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+    target = path if batch_id is None else f"{path.rstrip('/')}/batch_id={batch_id}"
+    out.write.mode("append" if batch_id is None else "overwrite").parquet(target)
+    return target
+
+
 QUALITY_READING_TYPES = {
     "MC_Code": "string", "Hub_ID": "string",
     **{f"{p}_{s}": "double" for p in ("Temperature", "pH", "Conductivity", "BOD", "Faecal_Coliform",

@@ -147,3 +147,17 @@ def test_validation_splits_rejects(spark):
                                   "Population": "long"})
     assert ok.count() == 1 and bad.count() == 2
     assert dict(ok.dtypes)["Total_Demand_MLD"] == "double"
+
+
+def test_rejected_readings_go_to_quarantine_with_reasons(spark):
+    from hydrolake.session import scratch_path
+
+    df = spark.createDataFrame(
+        [("MC1", "H1", "100", "80", "1000"), ("MC1", None, "100", "x", "1000"), ("MC2", "H2", "100", "90", "9")],
+        "MC_Code string, Hub_ID string, Total_Demand_MLD string, Current_Supply_MLD string, Population string",
+    ).withColumns({"eff_pred": F.lit(80.0), "risk_pred": F.lit(0)})
+    path = scratch_path(spark, "quarantine")
+    out = P.predict_distribution(df, eff_col="eff_pred", risk_col="risk_pred", quarantine_path=path)
+    assert out.count() == 2
+    q = spark.read.parquet(path).collect()
+    assert len(q) == 1 and q[0]["Rejected_Fields"] == "Hub_ID,Current_Supply_MLD"
