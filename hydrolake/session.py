@@ -49,6 +49,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("HYDROLAKE_DRIVER_MEMORY", "16g"))
+        # local mode runs tasks in the driver JVM: let HotSpot compile the large
+        # generated methods instead of falling back (see RUNTIME_CONF)
+        .config("spark.driver.extraJavaOptions", JIT_FLAG)
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "hydrolake-warehouse"))
     )
     spark = builder.getOrCreate()
@@ -57,8 +60,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+JIT_FLAG = "-XX:-DontCompileHugeMethods"
+
+
 def tune_session(spark: SparkSession) -> None:
-    """Apply :data:`RUNTIME_CONF` where the session still has Spark's default."""
+    """Apply :data:`RUNTIME_CONF` where the session still has Spark's default.
+
+    When the JVMs already compile huge methods (``-XX:-DontCompileHugeMethods``
+    in the driver or executor options), the codegen limit is left alone.
+    """
+    opts = " ".join(spark.conf.get(k, "") or "" for k in ("spark.driver.extraJavaOptions",
+                                                         "spark.executor.extraJavaOptions"))
+    if JIT_FLAG in opts:
+        return
     for key, (default, value) in RUNTIME_CONF.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
