@@ -128,3 +128,14 @@ def test_dashboard_keeps_municipalities_without_hubs(spark):
     hubs = spark.createDataFrame([("H1", "b"), ("H2", "a")], "Hub_ID string, Hub_Name string")
     got = sorted((r["MC_Code"], r["Hub_ID"], r["Total_Hubs"]) for r in J.dashboard(muni, mapping, hubs).collect())
     assert got == [("MC1", "H1", 2), ("MC1", "H2", 2), ("MC2", None, 0)]
+
+
+def test_tenant_scope_limits_a_user_to_their_municipality(spark):
+    from hydrolake.operators import joins as J
+
+    recs = spark.createDataFrame([("MC1", "H1"), ("MC2", "H2"), ("MC3", "H3")], "MC_Code string, Hub_ID string")
+    users = spark.createDataFrame([("u1", "MC1"), ("u2", "MC2"), ("u9", "MC9")], "Username string, MC_Code string")
+    muni = spark.createDataFrame([("MC1",), ("MC2",), ("MC3",)], "MC_Code string")
+    assert [r["MC_Code"] for r in J.tenant_scope(recs, users, "u2", municipal=muni).collect()] == ["MC2"]
+    assert J.tenant_scope(recs, users, "u9", municipal=muni).count() == 0  # unknown municipality
+    assert sorted(r["MC_Code"] for r in J.tenant_scope(recs, users, municipal=muni).collect()) == ["MC1", "MC2"]
