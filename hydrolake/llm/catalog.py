@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from hydrolake.llm import quality
+from hydrolake.llm import decontaminate, langid, lines, mixing, neardup, passages, quality, toxicity, urls, warc
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_neardup": neardup.op4_neardup,
+    "op5_language": langid.op5_language,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_line_dedup": lines.op7_line_dedup,
+    "op8_url_filter": urls.op8_url_filter,
+    "op9_warc": warc.op9_warc,
+    "op10_passages": passages.op10_passages,
 }
 
-ORACLES: dict[str, str] = {}
+#: operators 2, 4, 5 and 10 have no SQL form that finishes on whole tables; tests/llm holds them against brute force
+ORACLES = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op7_line_dedup": lines.OP7_SQL,
+    "op8_url_filter": urls.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
+}

@@ -145,13 +145,15 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
     return params
 
 
-def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
-    """Adds the measures, ``base_failed``, ``p_good`` and ``kept``.
+def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5, rounds: int = ROUNDS,
+          keep_text: bool = True) -> DataFrame:
+    """Adds the measures, ``base_failed``, ``p_good`` and ``kept``; ``keep_text``: whether the text stays a column.
 
-    The texts are read twice: once to count the vote patterns of the whole
-    table, once to judge.
+    The texts are measured once, into a stored table; its vote patterns give
+    the estimates by which its rows are then judged.
     """
-    voted = vote(measures(df, text_col))
+    measured = measures(df, text_col)
+    voted = vote(stored(measured if keep_text else measured.drop(text_col), "measured"))
     patterns = stored(voted.groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n")), "patterns").coalesce(1)
     params = estimate(patterns, rounds)
     out = voted.withColumn("base_failed", base_failed()).withColumn("p_good", 1 - _bad_odds(params))
@@ -161,12 +163,12 @@ def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5, rounds:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                               "base_failed", "kept", "p_good")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the method keeps, with their own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    out = judge(docs.select(row.alias("_q_row"), F.col("text").alias("text")))
+    out = judge(docs.select(row.alias("_q_row"), F.col("text").alias("_q_text")), "_q_text", keep_text=False)
     return out.filter("kept").select("_q_row.*")
