@@ -214,12 +214,16 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
             own = [i for i in own if i in phi]
             if own:
                 chosen.append(max(own, key=lambda i: score[i]))
+                # and its other tokens that toxic documents share and no clean one has
+                chosen += [i for i in sorted(own, key=lambda i: -score[i])[1:6] if word_df[1, i] >= max(3, 0.02 * n1)]
         if not chosen:
             return None
         picked, times = np.unique(chosen, return_counts=True)
         x = np.r_[np.array([phi[i] for i in picked]), xn]
         y = np.r_[np.ones(len(picked)), -np.ones(len(neg_ids))]
-        weight = np.r_[times * (len(neg_ids) / times.sum()), np.ones(len(neg_ids))]
+        # a token weighs by the root of its documents, and both sides weigh the same
+        times, often_ = np.sqrt(times), np.sqrt(np.maximum(word_df[0, neg_ids], 1))
+        weight = np.r_[times * (often_.sum() / times.sum()), often_]
         w, bias = _svm(x, y, weight)
         score = np.full(len(vocab), -1e9)
         for i, row in phi.items():
