@@ -111,9 +111,9 @@ def thresholds(keyed: DataFrame, src: DataFrame, n_src: int) -> DataFrame:
     return edge.select("source", F.when(nearer, F.col("_m_lo") + 1).otherwise(F.col("_m_lo")).alias("_m_cut"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: id, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``times``."""
+def budgets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
+            max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame, int]:
+    """``(keyed, sources, their number)``: documents by size and hash, and by source what the mix takes."""
     keyed = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                                n_words(F.col(text_col)).alias("size"), document_hash(id_col, text_col).alias("_m_h")), "keyed")
     sources = stored(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
@@ -124,10 +124,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n_src = src.count()
     src = src.join(thresholds(keyed, src.filter("_m_rest > 0").select("source", "_m_rest"), n_src)
                    .withColumnRenamed("source", "_m_k"), F.col("source").eqNullSafe(F.col("_m_k")), "left").drop("_m_k")
+    return keyed, stored(src.select("source", "source_size", "target", "_m_times", "_m_cut"), "cuts"), n_src
+
+
+def _times() -> Column:
+    return F.col("_m_times") + F.coalesce((F.col("_m_h") < F.col("_m_cut")).cast("long"), F.lit(0).cast("long"))
+
+
+def mix(docs: DataFrame, **kw) -> DataFrame:
+    """One row per document: id, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``times``."""
+    keyed, src, n_src = budgets(docs, **kw)
     out = join_small(keyed, src, ["source"], n_src, F.col("_m_h"))
-    times = F.col("_m_times") + F.coalesce((F.col("_m_h") < F.col("_m_cut")).cast("long"), F.lit(0).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"),
-                      times.alias("times"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"),
+                      _times().alias("times"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size``, ``source_size``, ``target``, ``taken`` and ``times`` (1 or more).
+
+    The thresholds are applied to the texts where they are: nothing but the
+    table of sources is joined.
+    """
+    _, src, n_src = budgets(docs)
+    new = ("size", "source_size", "target", "taken", "times")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], n_words(F.col("text")).alias("size"),
+                       document_hash().alias("_m_h"))
+    out = join_small(rows, src, ["source"], n_src, F.col("_m_h")).withColumn("times", _times()).filter("times > 0")
+    return out.withColumn("taken", F.col("size") * F.col("times")).drop("_m_h", "_m_times", "_m_cut")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,10 @@ def _repeated(words: Column) -> Column:
                         lambda i: F.xxhash64(F.get(wh, i), F.get(wh, i + 1), F.get(wh, i + 2))), of_hashes))))
 
 
+#: columns that the measures add; input columns of these names are replaced
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_q_m", "_q_l")
+
+
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the measures the rules look at (``n_words`` ... as long, shares as double)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -77,7 +81,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))))
     bare = without(text, WS)
     return (df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in ("_q_m", "_q_l")], F.col("_q_m.n_words").alias("n_words"),
+        *[F.col(f"`{c}`") for c in df.columns if c not in MEASURES], F.col("_q_m.n_words").alias("n_words"),
         F.char_length(bare).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         F.col("_q_l.n_dup_lines").alias("n_dup_lines"), F.col("_q_m.n_repeat_words").alias("n_repeat_words"),
