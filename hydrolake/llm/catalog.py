@@ -20,6 +20,7 @@ QUERIES = {
 #: operators 2, 4, 5 and 10 have no SQL form that finishes on whole tables; tests/llm holds them against brute force
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op3_quality_rules": quality.oracle_sql(),
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op8_url_filter": urls.OP8_SQL,

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from hydrolake.llm import text as T
 from hydrolake.llm.common import row_hash, stored, table
@@ -146,7 +147,7 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     return found.filter("settled").select(*cols).unionByName(rest.select(*cols))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _pack(dropped: pd.Series, n_lines: pd.Series) -> pd.Series:
     out = []
     for at, n in zip(dropped, n_lines):
@@ -163,7 +164,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .select("_l_d", "_l_t", F.size("p").cast("long").alias("_l_n"), _pack("p", F.array_max("p") + 1).alias("_l_bits")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _apply(text: pd.Series, bits: pd.Series) -> pd.Series:
     out = []
     for x, b in zip(text, bits):

@@ -168,7 +168,7 @@ def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5, rounds:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                              "base_failed", "kept", "p_good")
+                              "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -176,3 +176,44 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = judge(docs.select(row.alias("_q_row"), F.col("text").alias("_q_text")), "_q_text", keep_text=False)
     return out.filter("kept").select("_q_row.*")
+
+
+_MEASURES_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+h AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM win),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM h) WHERE c > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+m AS MATERIALIZED (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, len(lines) AS _q_lines, len(list_distinct(w)) AS _q_distinct,
+         len(regexp_extract_all(text, '[!?]')) AS _q_shouts, len(regexp_extract_all(text, '[A-Z]')) AS _q_caps
+  FROM d LEFT JOIN repeated ON d.doc_id = repeated.doc_id)"""
+
+
+def oracle_sql(rounds: int = ROUNDS, threshold: float = 0.5) -> str:
+    """The method in SQL: the votes, and one pair of subqueries a round of the estimation."""
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN NULL WHEN {bad} THEN 0 WHEN {good} THEN 1 END AS v_{name}" for name, bad, good in RULES)
+    names = [name for name, _, _ in RULES]
+
+    def chance(k: str, share: str) -> str:
+        return " * ".join([share] + [f"CASE v_{n} WHEN 0 THEN {k}_{n} WHEN 1 THEN 1 - {k}_{n} ELSE 1.0::DOUBLE END" for n in names])
+
+    p = f"(({chance('b', 'share')}) / (({chance('g', '(1 - share)')}) + ({chance('b', 'share')})))"
+    parts = [_MEASURES_SQL, f"v AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {votes} FROM m)",
+             "pat AS MATERIALIZED (SELECT " + ", ".join(f"v_{n}" for n in names) + ", count(*)::DOUBLE AS n FROM v GROUP BY ALL)",
+             f"r0 AS (SELECT {START_SHARE}::DOUBLE AS share, " + ", ".join(f"{START_GOOD}::DOUBLE AS g_{n}, {START_BAD}::DOUBLE AS b_{n}" for n in names) + ")"]
+    for i in range(1, rounds + 1):
+        parts.append(f"p{i} AS (SELECT pat.*, {p} AS p FROM pat, r{i - 1})")
+        rate = ", ".join(
+            f"(coalesce(sum(n * {w}) FILTER (WHERE v_{n} = 0), 0) + {PRIOR} * sum(n) * {p0}) / (coalesce(sum(n * {w}) FILTER (WHERE v_{n} IS NOT NULL), 0) + {PRIOR} * sum(n)) AS {k}_{n}"
+            for n in names for k, w, p0 in (("g", "(1 - p)", START_GOOD), ("b", "p", START_BAD)))
+        parts.append(f"r{i} AS MATERIALIZED (SELECT (sum(n * p) + {PRIOR} * sum(n) * {START_SHARE}) / (sum(n) + {PRIOR} * sum(n)) AS share, {rate} FROM p{i})")
+    return ",\n".join(parts) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 - {p} >= {threshold} AS kept
+FROM v, r{rounds}"""

@@ -2,8 +2,8 @@
 
 The kernel of two tokens compares their subsequences of three symbols that lie
 within five characters, each weighted by ``DECAY`` to the power of its length,
-so ``id.iot`` and ``i-d-i-o-t`` stay close to ``idiot`` and an insult's stem is
-found under any ending.  A few hundred tokens of the training sample are the
+so ``idxiot`` stays close to ``idiot`` and an insult's stem is found under any
+ending; marks between letters (``i-d-i.o t``) are passed over.  A few hundred tokens of the training sample are the
 landmarks; the kernels with them, whitened by the landmarks' own kernel matrix,
 are the features of a linear SVM (Nyström).  Labels hold for documents, so it
 is trained as multiple-instance SVM: each clean sentence is a negative, and of
@@ -44,7 +44,7 @@ GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 OTHER = 63
 _b = np.arange(256)
-#: a-z, digits, bytes beyond ASCII folded to 26 symbols; all else only makes gaps
+#: a-z, digits, bytes beyond ASCII folded to 26 symbols; all else is passed over
 SYMBOL = np.full(256, OTHER, np.int32)
 SYMBOL[0x61:0x7B] = np.arange(1, 27)
 SYMBOL[0x41:0x5B] = np.arange(1, 27)
@@ -81,21 +81,24 @@ def norms(n: int) -> np.ndarray:
 
 
 def triples(data: np.ndarray, member: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """For each gap pair: triple codes, whether they lie in one token, weight; and token starts."""
+    """For each gap pair: triple codes, whether they lie in one token, weight; then each token's first symbol and size.
+
+    Characters that are no symbol are left out, so that marks between letters cost nothing.
+    """
     c = SYMBOL[data[member]]
-    size = end - start
-    first = np.r_[0, np.cumsum(size)[:-1]]
-    left = np.repeat(first + size, size) - np.arange(len(c))
     known = c != OTHER
+    token = np.repeat(np.arange(len(start)), end - start)[known]
+    c = c[known]
+    size = np.bincount(token, minlength=len(start))
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    left = (first + size)[token] - np.arange(len(c))
     out = []
     for a, b in GAPS:
         d = a + b
         if len(c) <= d:
             continue
         n = len(c) - d
-        code = (c[:n] << 12) | (c[a:a + n] << 6) | c[d:d + n]
-        ok = (left[:n] > d) & known[:n] & known[a:a + n] & known[d:d + n]
-        out.append((code, ok, DECAY ** (d + 1)))
+        out.append(((c[:n] << 12) | (c[a:a + n] << 6) | c[d:d + n], left[:n] > d, DECAY ** (d + 1)))
     return out, first, size
 
 
@@ -111,7 +114,7 @@ def features(toks: list[bytes]):
     parts, first, size = triples(data, member, start, start + size)
     row_of = np.repeat(np.arange(len(toks)), size)
     scale = 1 / norms(int(size.max(initial=1)))[size]
-    rows, codes, vals = [], [], []
+    rows, codes, vals = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
     for code, ok, w in parts:
         r = row_of[:len(code)][ok]
         rows.append(r), codes.append(code[ok]), vals.append(w * scale[r])
@@ -206,6 +209,8 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
     cand = np.unique(np.concatenate([ids[np.argsort(-guess[ids])[:12]] for ids in pos_ids]))
     phi = {i: row for i, row in zip([*neg_ids, *cand], np.r_[kernel([vocab[i] for i in neg_ids], marks), kernel([vocab[i] for i in cand], marks)] @ whiten)}
     xn = np.array([phi[i] for i in neg_ids])
+    # so many toxic documents and no clean one hold a token by chance less than once in a hundred vocabularies
+    sure = np.log(len(vocab) / 0.01) / np.log((n0 + n1) / n1)
     score = guess
     for _ in range(5):
         chosen = []
@@ -214,8 +219,8 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
             own = [i for i in own if i in phi]
             if own:
                 chosen.append(max(own, key=lambda i: score[i]))
-                # and its other tokens that toxic documents share and no clean one has
-                chosen += [i for i in sorted(own, key=lambda i: -score[i])[1:6] if word_df[1, i] >= max(3, 0.02 * n1)]
+                # and its other tokens that more toxic documents share than chance explains, and no clean one has
+                chosen += [i for i in sorted(own, key=lambda i: -score[i])[1:6] if word_df[1, i] >= sure]
         if not chosen:
             return None
         picked, times = np.unique(chosen, return_counts=True)
@@ -263,8 +268,12 @@ def decide_piece(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     alpha = model["alpha"]
     for code, ok, w in parts:
         total[:len(code)] += np.where(ok, alpha[code], 0) * np.float32(w)
+    some = size > 0
+    if not some.any():
+        return out
+    first, size = first[some], size[some]
     f = np.add.reduceat(total, first) / norms(int(size.max()))[size] + model["bias"]
-    doc = T.owner(start, offs)
+    doc = T.owner(start[some], offs)
     new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     out[doc[new]] = np.maximum.reduceat(f, new)
     return out
