@@ -295,17 +295,24 @@ def _remaining(large: DataFrame, sig: DataFrame, labels: DataFrame) -> DataFrame
     members = large.select("node", "d").join(lab, "d", "left").select("node", "d", F.coalesce("k", "d").alias("c"))
     members = stored(members, "labelled")
     top = members.groupBy("node", "c").count().groupBy("node").agg(
-        F.max_by("c", F.struct("count", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("m"))
-    top = stored(top.filter("kinds > 1").select("node", "top", "m"), "mixed")
-    open_ = members.join(top, "node").join(sig, "d")
-    blocks = (F.col("m") / BLOCK).cast("int") + 1
-    right = open_.select("node", F.pmod(F.xxhash64("d"), blocks).alias("rb"), "d", "c", "sig")
-    left = open_.filter("c <> top").select("node", F.pmod(F.xxhash64("d"), blocks).alias("lb"), blocks.alias("n"), "d", "c", "sig")
-    left = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        F.max_by("c", F.struct("count", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("m"),
+        F.max("count").alias("most"))
+    top = top.filter("kinds > 1").select("node", "top", ((F.col("m") - F.col("most")) / BLOCK).cast("long").alias("nl"),
+                                         (F.col("m") / BLOCK).cast("long").alias("nr"))
+    open_ = stored(members.join(stored(top, "mixed"), "node"), "open")
+
+    def block(count: str):
+        return F.pmod(F.xxhash64("d"), F.col(count) + 1)
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count)))
+
     # a task holds one block of each side
-    left = left.withColumn("rb", F.col("rb").cast("long"))
-    right = right.withColumn("rb", F.col("rb").cast("long"))
-    return left.groupBy("node", "rb").cogroup(right.groupBy("node", "rb")).applyInPandas(_block_pairs, "a long, b long")
+    left = open_.filter("c <> top").select("node", block("nl").alias("lb"), every("nr").alias("rb"), "d", "c").join(sig, "d")
+    right = open_.select("node", every("nl").alias("lb"), block("nr").alias("rb"), "d", "c").join(sig, "d")
+    names = ["node", "lb", "rb", "d", "c", "sig"]
+    left, right = left.select(*names).toDF(*names), right.select(*names).toDF(*names)
+    return left.groupBy("node", "lb", "rb").cogroup(right.groupBy("node", "lb", "rb")).applyInPandas(_block_pairs, "a long, b long")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
