@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from hydrolake.llm import text as T
 from hydrolake.llm.common import stored, table
 
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+SAMPLE, SAMPLE_CHARS = 1200, 20_000
 LANDMARKS, DECAY, SPAN = 320, 0.7, 5
 CUT = 0.3
 
@@ -128,24 +128,28 @@ def kernel(toks: list[bytes], marks: list[bytes]) -> np.ndarray:
     dense = np.zeros((len(used), len(marks)), np.float32)
     np.add.at(dense, (mc, mr), mv)
     out = np.zeros((len(toks), len(marks)), np.float32)
-    for lo in range(0, len(toks), 5000):
-        r, c, v = features(toks[lo:lo + 5000])
+    for lo in range(0, len(toks), 1000):
+        r, c, v = features(toks[lo:lo + 1000])
         at = np.minimum(np.searchsorted(used, c), len(used) - 1)
-        ok = used[at] == c
-        np.add.at(out[lo:lo + 5000], r[ok], dense[at[ok]] * v[ok, None].astype(np.float32))
+        ok = np.flatnonzero(used[at] == c)
+        ok = ok[np.argsort(r[ok], kind="stable")]
+        if len(ok):
+            r = r[ok]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            out[lo + r[first]] = np.add.reduceat(dense[at[ok]] * v[ok, None].astype(np.float32), first)
     return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by accelerated gradient descent."""
-    x1 = np.c_[x, np.ones(len(x), np.float32)]
+    x1 = np.c_[x, np.ones(len(x))].astype(np.float32)
     total = weight.sum()
-    lip = 2 * np.linalg.norm((x1 * np.sqrt(weight / total)[:, None]), 2) ** 2 + reg
+    lip = 2 * float(np.linalg.eigvalsh(x1.T.astype(np.float64) @ (x1 * (weight / total)[:, None].astype(np.float32)))[-1]) + reg
     w = v = np.zeros(x1.shape[1])
     t = 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        grad = -2 * (x1.T @ (weight * y * slack)) / total + reg * np.r_[v[:-1], 0]
+        slack = np.maximum(0, 1 - y * (x1 @ v.astype(np.float32)))
+        grad = -2 * (x1.T @ (weight * y * slack).astype(np.float32)) / total + reg * np.r_[v[:-1], 0]
         new = v - grad / lip
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t1 * (new - w), new, t1
@@ -172,12 +176,17 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
     # first guess: triples that occur in many more toxic documents than in clean ones
     vocab = sorted({t for b, _ in bags for t in b})
     at = {t: i for i, t in enumerate(vocab)}
-    r, c, v = features(vocab)
+    by_word = []
+    for lo in range(0, len(vocab), 5000):  # a part at a time: the driver's memory is small
+        part = vocab[lo:lo + 5000]
+        r, c, _ = features(part)
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        new = np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])] if len(r) else np.zeros(0, bool)
+        r, c = r[new], c[new].astype(np.int32)
+        by_word += np.split(c, np.searchsorted(r, np.arange(1, len(part))))
     df = np.zeros((2, TABLE))
     word_df = np.zeros((2, len(vocab)))
-    start = np.r_[np.searchsorted(r_sorted := np.sort(r, kind="stable"), np.arange(len(vocab) + 1))]
-    c_sorted = c[np.argsort(r, kind="stable")]
-    by_word = [np.unique(c_sorted[start[i]:start[i + 1]]) for i in range(len(vocab))]
     for b, y in bags:
         ids = [at[t] for t in b]
         word_df[y, ids] += 1
@@ -207,7 +216,8 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
     hard = clean[np.argsort(-guess[clean])[:3000]]
     neg_ids = np.unique(np.r_[some, hard, often])
     cand = np.unique(np.concatenate([ids[np.argsort(-guess[ids])[:12]] for ids in pos_ids]))
-    phi = {i: row for i, row in zip([*neg_ids, *cand], np.r_[kernel([vocab[i] for i in neg_ids], marks), kernel([vocab[i] for i in cand], marks)] @ whiten)}
+    ids = np.unique(np.r_[neg_ids, cand])
+    phi = dict(zip(ids, kernel([vocab[i] for i in ids], marks) @ whiten.astype(np.float32)))
     xn = np.array([phi[i] for i in neg_ids])
     # so many toxic documents and no clean one hold a token by chance less than once in a hundred vocabularies
     sure = np.log(len(vocab) / 0.01) / np.log((n0 + n1) / n1)
