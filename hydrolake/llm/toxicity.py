@@ -36,7 +36,7 @@ from hydrolake.llm import text as T
 from hydrolake.llm.common import stored, table
 
 SAMPLE, SAMPLE_CHARS = 1200, 20_000
-LANDMARKS, DECAY, SPAN = 320, 0.7, 5
+LANDMARKS, DECAY, SPAN = 240, 0.7, 5
 CUT = 0.3
 
 #: gaps (first to second, second to third symbol) of the subsequences within ``SPAN`` characters
@@ -128,8 +128,8 @@ def kernel(toks: list[bytes], marks: list[bytes]) -> np.ndarray:
     dense = np.zeros((len(used), len(marks)), np.float32)
     np.add.at(dense, (mc, mr), mv)
     out = np.zeros((len(toks), len(marks)), np.float32)
-    for lo in range(0, len(toks), 1000):
-        r, c, v = features(toks[lo:lo + 1000])
+    for lo in range(0, len(toks), 400):
+        r, c, v = features(toks[lo:lo + 400])
         at = np.minimum(np.searchsorted(used, c), len(used) - 1)
         ok = np.flatnonzero(used[at] == c)
         ok = ok[np.argsort(r[ok], kind="stable")]
@@ -142,7 +142,7 @@ def kernel(toks: list[bytes], marks: list[bytes]) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by accelerated gradient descent."""
-    x1 = np.c_[x, np.ones(len(x))].astype(np.float32)
+    x1 = np.c_[x, np.ones(len(x), np.float32)]
     total = weight.sum()
     lip = 2 * float(np.linalg.eigvalsh(x1.T.astype(np.float64) @ (x1 * (weight / total)[:, None].astype(np.float32)))[-1]) + reg
     w = v = np.zeros(x1.shape[1])
@@ -212,8 +212,8 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
     ev, q = np.linalg.eigh((kmm + kmm.T) / 2)
     whiten = (q * np.where(ev > 1e-6 * ev.max(), 1 / np.sqrt(np.maximum(ev, 1e-12)), 0)) @ q.T
     # negatives: tokens of clean sentences, the suspicious ones and a random part
-    some = rng.choice(clean, min(len(clean), 12_000), replace=False)
-    hard = clean[np.argsort(-guess[clean])[:3000]]
+    some = rng.choice(clean, min(len(clean), 8000), replace=False)
+    hard = clean[np.argsort(-guess[clean])[:2000]]
     neg_ids = np.unique(np.r_[some, hard, often])
     cand = np.unique(np.concatenate([ids[np.argsort(-guess[ids])[:12]] for ids in pos_ids]))
     ids = np.unique(np.r_[neg_ids, cand])
@@ -234,7 +234,7 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
         if not chosen:
             return None
         picked, times = np.unique(chosen, return_counts=True)
-        x = np.r_[np.array([phi[i] for i in picked]), xn]
+        x = np.concatenate([np.array([phi[i] for i in picked]), xn])
         y = np.r_[np.ones(len(picked)), -np.ones(len(neg_ids))]
         # a token weighs by the root of its documents, and both sides weigh the same
         times, often_ = np.sqrt(times), np.sqrt(np.maximum(word_df[0, neg_ids], 1))
