@@ -9,11 +9,12 @@ children a node keep the expected number of common paths at 1 for s = 0.8, so
 ``trees`` trees miss such a pair with a chance below 1e-5 at the starting depth.
 Nodes of at most ``LEAF`` sets are compared exhaustively; larger ones branch on.
 
-What is still large at the last depth is a family of near copies or a very
-common passage.  Its sets are compared with a few pivots of the node first;
-then, block against block, every set with all sets of the node that it is not
-connected with yet, so no pair is given up and a family of copies costs only
-its size.
+A large node whose sets are much alike is a family of near copies or of texts
+around one passage, which branching would not part (and so is what is still
+large at the last depth).  Its sets are compared with the node's pivot first;
+then, block against block, every set with all sets of the family that it is
+not connected with yet, so no pair is given up and a family of copies mostly
+costs its size.
 
 Comparisons on minwise tokens only propose pairs (``SKETCH`` leaves a wide
 margin); each is confirmed on the full sets.  Pairs inside a component that
@@ -34,14 +35,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from hydrolake.llm import text as T
 from hydrolake.llm.common import components, stored, table
 
-COORDS, TREES = 96, 12
-START, LAST, LEAF = 3, 7, 48
-PIVOTS, BLOCK = 3, 512
+COORDS, TREES = 96, 10
+START, LAST, LEAF = 2, 8, 48
+#: a node is a family if its sets agree with its pivot in so many of the first ``PROBE`` coordinates on average
+FAMILY, PROBE, BLOCK = 0.4, 16, 512
 #: agreement of minwise tokens from which a pair is verified: at similarity 0.8 five standard deviations are 0.2
 SKETCH = 0.6
 
@@ -183,17 +184,45 @@ def _pairs_of(node: np.ndarray, d: np.ndarray, sig: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _block_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one block of sets against another, of different components only."""
-    out = []
-    if len(left) and len(right):
-        rs = np.stack(right["sig"].to_numpy()).astype(np.int32)
-        rd, rc = right["d"].to_numpy(), right["c"].to_numpy()
-        for d, c, s in zip(left["d"], left["c"], left["sig"]):
-            hit = rd[(rc != c) & (_agree(rs, np.asarray(s, np.int32)[None, :]) >= SKETCH)]
-            if len(hit):
-                out.append(pd.DataFrame({"a": np.minimum(hit, d), "b": np.maximum(hit, d)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+def _block_links(percent: int):
+    """Links between two blocks of sets of different components, on the full sets.
+
+    Common shingles are counted by matrix products over the shingles that both
+    blocks hold, some thousand at a time.  One link from a set to another
+    component is enough.
+    """
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            sizes, flat = [], []
+            for side in (left, right):
+                sets = side["s"].to_list()
+                sizes.append(np.array([len(x) for x in sets]))
+                flat.append(np.concatenate(sets))
+            both = np.intersect1d(*flat)
+            rows, cols = [], []
+            for size, x in zip(sizes, flat):
+                at = np.minimum(np.searchsorted(both, x), max(len(both) - 1, 0))
+                ok = both[at] == x if len(both) else np.zeros(len(x), bool)
+                rows.append(np.repeat(np.arange(len(size)), size)[ok]), cols.append(at[ok])
+            common = np.zeros((len(left), len(right)), np.float32)
+            for lo in range(0, len(both), 4096):
+                part = []
+                for size, r, c in zip(sizes, rows, cols):
+                    m = np.zeros((len(size), min(4096, len(both) - lo)), np.float32)
+                    here = (c >= lo) & (c < lo + 4096)
+                    m[r[here], c[here] - lo] = 1
+                    part.append(m)
+                common += part[0] @ part[1].T
+            union = sizes[0][:, None] + sizes[1][None, :] - common
+            lc, rc = left["c"].to_numpy(), right["c"].to_numpy()
+            i, j = np.nonzero((100 * common >= percent * union) & (lc[:, None] != rc[None, :]))
+            if len(i):
+                hit = pd.DataFrame({"i": i, "c": rc[j], "j": j}).drop_duplicates(["i", "c"])
+                d, e = left["d"].to_numpy()[hit["i"]], right["d"].to_numpy()[hit["j"]]
+                out.append(pd.DataFrame({"a": np.minimum(d, e), "b": np.maximum(d, e)}))
+        return out[0] if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    return run
 
 
 def _sets(k: int):
@@ -237,31 +266,40 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     sig = usable.join(classes.withColumnRenamed("rep", "d"), ["d", "s1", "s2", "n"], "left_semi").select("d", "sig")
     sig = stored(sig, "signatures")
 
+    few = sig.select("d", F.slice("sig", 1, PROBE).alias("few"))
     nodes = sig.mapInArrow(_grow(trees, START), "node long, d long").distinct()
-    pairs, large = [], None
+    pairs, families = [], []
     for depth in range(START, LAST + 1):
         nodes = stored(nodes, "nodes")
         # the same sets meet in many nodes: one of them stands for all
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("f1"),
-                                          F.bit_xor(F.xxhash64(F.lit(3), "d")).alias("f2")).filter("c > 1")
-        sizes = stored(sizes.groupBy("c", "f1", "f2").agg(F.min("node").alias("node")).select("node", "c"), "sizes")
+                                          F.bit_xor(F.xxhash64(F.lit(3), "d")).alias("f2"), F.min_by("d", F.xxhash64("node", "d")).alias("p")).filter("c > 1")
+        sizes = stored(sizes.groupBy("c", "f1", "f2").agg(F.min(F.struct("node", "p")).alias("x")).select("x.node", "x.p", "c"), "sizes")
         leaves = nodes.join(sizes.filter(F.col("c") <= LEAF).select("node"), "node", "left_semi").join(sig, "d")
         leaves = leaves.select("node", "d", "sig").repartition("node").sortWithinPartitions("node", "d")
         pairs.append(stored(leaves.mapInArrow(_leaf_pairs, "a long, b long").distinct(), "pairs"))
-        big = sizes.filter(F.col("c") > LEAF)
+        big = sizes.filter(F.col("c") > LEAF).select("node", "p")
         if not big.limit(1).count():
             break
-        large = nodes.join(big.select("node", "c"), "node")
-        if depth < LAST:
-            nodes = large.join(sig, "d").select("node", "d", "sig").mapInArrow(_deeper, "node long, d long").distinct()
-            large = None
-
-    if large is not None:
-        large = stored(large, "large")
-        # pivots: the sets of the smallest hashes of a node
-        order = W.partitionBy("node").orderBy(F.xxhash64("node", "d"), "d")
-        pivots = large.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).select("node", F.col("d").alias("p"))
-        star = large.join(pivots, "node").filter("d <> p").select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b"))
+        big = stored(nodes.join(big, "node").select("node", "d", "p"), "big")
+        if depth == LAST:
+            families.append(big)
+            break
+        # alike with its pivot, a node is a family of near copies, which branching would not part
+        pivot = few.select(F.col("d").alias("p"), F.col("few").alias("pf"))
+        alike = F.aggregate(F.zip_with("few", "pf", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / PROBE
+        tight = big.join(few, "d").join(pivot, "p").groupBy("node").agg(F.avg(alike).alias("like")).filter(F.col("like") >= FAMILY).select("node")
+        tight = stored(tight, "tight")
+        families.append(big.join(tight, "node", "left_semi"))
+        nodes = big.join(tight, "node", "left_anti").join(sig, "d").select("node", "d", "sig").mapInArrow(_deeper, "node long, d long").distinct()
+
+    family = None
+    if families:
+        family = families[0]
+        for f in families[1:]:
+            family = family.unionByName(f)
+        family = stored(family.select("node", "d", "p"), "families")
+        star = family.filter("d <> p").select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b"))
         pairs.append(stored(star.distinct(), "star"))
     found = pairs[0]
     for p in pairs[1:]:
@@ -271,10 +309,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     first = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = verified(first, rows, shingle, percent)
     labels = _labels(links)
-    more = _crossing(found, labels)
-    if large is not None:
-        more = more.unionByName(_remaining(large, sig, labels))
-    links = links.unionByName(verified(stored(more.distinct(), "crossing"), rows, shingle, percent))
+    more = verified(stored(_crossing(found, labels).distinct(), "crossing"), rows, shingle, percent)
+    links = links.unionByName(more)
+    if family is not None:
+        labels = _labels(links)
+        links = links.unionByName(_remaining(family, labels, rows, shingle, percent))
     labels = _labels(links)
     out = own.join(labels, own.rep == labels.id, "left").select("d", F.coalesce("component", "rep").alias("c"))
     # rows that repeat an id may lie in several classes
@@ -284,22 +323,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         F.coalesce(F.col("d") == F.coalesce("c", "d"), F.lit(True)).alias("kept"))
 
 
-def _remaining(large: DataFrame, sig: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs of large nodes between sets that are not connected yet.
+def _remaining(family: DataFrame, labels: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links within families of near copies between sets that are not connected yet.
 
-    A node's sets of its most frequent component need no comparison with each
-    other; every other set is compared with all sets of the node, block by
-    block.
+    Nodes with the same most frequent component are one family, in which a set
+    stands once.  Sets of that component need no comparison with each other;
+    every other set is compared with all sets of the family, block by block,
+    on the full sets.
     """
     lab = labels.select(F.col("id").alias("d"), F.col("component").alias("k"))
-    members = large.select("node", "d").join(lab, "d", "left").select("node", "d", F.coalesce("k", "d").alias("c"))
-    members = stored(members, "labelled")
+    members = stored(family.select("node", "d").join(lab, "d", "left").select("node", "d", F.coalesce("k", "d").alias("c")), "labelled")
     top = members.groupBy("node", "c").count().groupBy("node").agg(
-        F.max_by("c", F.struct("count", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("m"),
-        F.max("count").alias("most"))
-    top = top.filter("kinds > 1").select("node", "top", ((F.col("m") - F.col("most")) / BLOCK).cast("long").alias("nl"),
-                                         (F.col("m") / BLOCK).cast("long").alias("nr"))
-    open_ = stored(members.join(stored(top, "mixed"), "node"), "open")
+        F.max_by("c", F.struct("count", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    top = top.filter("kinds > 1").select("node", "top")
+    members = stored(members.join(top, "node").select("top", "d", "c").distinct(), "mixed")
+    size = members.groupBy("top").agg((F.sum((F.col("c") != F.col("top")).cast("long")) / BLOCK).cast("long").alias("nl"),
+                                      (F.count(F.lit(1)) / BLOCK).cast("long").alias("nr"))
+    open_ = stored(members.join(size, "top"), "open")
+    sets = stored(T.text_udf(rows.join(open_.select("d").distinct(), "d", "left_semi"), "x", ["d"], "d long, s array<long>", _sets(k)), "sets")
 
     def block(count: str):
         return F.pmod(F.xxhash64("d"), F.col(count) + 1)
@@ -308,11 +349,12 @@ def _remaining(large: DataFrame, sig: DataFrame, labels: DataFrame) -> DataFrame
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count)))
 
     # a task holds one block of each side
-    left = open_.filter("c <> top").select("node", block("nl").alias("lb"), every("nr").alias("rb"), "d", "c").join(sig, "d")
-    right = open_.select("node", every("nl").alias("lb"), block("nr").alias("rb"), "d", "c").join(sig, "d")
-    names = ["node", "lb", "rb", "d", "c", "sig"]
+    left = open_.filter("c <> top").select("top", block("nl").alias("lb"), every("nr").alias("rb"), "d", "c").join(sets, "d")
+    right = open_.select("top", every("nl").alias("lb"), block("nr").alias("rb"), "d", "c").join(sets, "d")
+    names = ["top", "lb", "rb", "d", "c", "s"]
     left, right = left.select(*names).toDF(*names), right.select(*names).toDF(*names)
-    return left.groupBy("node", "lb", "rb").cogroup(right.groupBy("node", "lb", "rb")).applyInPandas(_block_pairs, "a long, b long")
+    links = left.groupBy("top", "lb", "rb").cogroup(right.groupBy("top", "lb", "rb")).applyInPandas(_block_links(percent), "a long, b long")
+    return stored(links.distinct(), "links")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

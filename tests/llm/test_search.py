@@ -29,7 +29,6 @@ def test_near_duplicates_equal_brute_force(spark, k):
 def test_near_duplicates_large_family(spark, monkeypatch):
     """A family far beyond a leaf, with stragglers that only some members link."""
     monkeypatch.setattr(neardup, "LEAF", 6)
-    monkeypatch.setattr(neardup, "LAST", 4)
     monkeypatch.setattr(neardup, "BLOCK", 20)
     base = prose(7, 90)
     rows = [(i, near(base, i, 1 + i % 7), "en", "a", 1) for i in range(150)]
