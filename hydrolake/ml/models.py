@@ -21,13 +21,26 @@ from hydrolake import constants as K
 from hydrolake.ml import isolation as ISO
 from hydrolake.ml import scaler as SC
 
-# Default depth: deep enough for these few features; Spark allows up to 30.
-DEFAULT_DEPTH = 10
+# Trees grow until their leaves are pure; 30 is the deepest that Spark allows.
+DEFAULT_DEPTH = 30
+# a pass over the rows splits as many nodes as their statistics fit in so much memory
+MAX_MEMORY_MB = 1024
 
 
 def _forest_pipeline(features: Sequence[str], estimator) -> Pipeline:
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, estimator])
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    return Pipeline(stages=[assembler, estimator.setMaxMemoryInMB(MAX_MEMORY_MB)])
+
+
+def complete(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Rows that a model can learn from: no feature and no label is null or NaN."""
+    return df.dropna(subset=[*features, label])
+
+
+def scoring(model: PipelineModel) -> PipelineModel:
+    """The model for scoring: a row with a null or NaN feature is scored (as NaN), never skipped."""
+    keep = [s.copy().setHandleInvalid("keep") if isinstance(s, VectorAssembler) else s for s in model.stages]
+    return PipelineModel(stages=keep)
 
 
 # M2 -------------------------------------------------------------------------
@@ -36,13 +49,13 @@ def train_wqi_regressor(df: DataFrame, features: Sequence[str], label: str = "WQ
     """Random forest on all features per split (bootstrap rows), seeded."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="ml_wqi", numTrees=num_trees,
                                maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)
-    return _forest_pipeline(features, rf).fit(df)
+    return _forest_pipeline(features, rf).fit(complete(df, features, label))
 
 
 # M5 -------------------------------------------------------------------------
 def score_wqi(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Adds ``ml_wqi``; helper columns of the pipeline are dropped."""
-    return model.transform(df).drop("features")
+    return scoring(model).transform(df).drop("features")
 
 
 # M6 -------------------------------------------------------------------------
@@ -56,7 +69,7 @@ def train_efficiency_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth:
                            seed: int = K.SEED, target: str = "efficiency_target") -> PipelineModel:
     if target not in df.columns:
         df = efficiency_target(df)
-    df = df.filter(F.col(target).isNotNull())
+    df = complete(df, K.DIST_FEATURES, target)
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="eff_pred",
                                numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)
     return _forest_pipeline(K.DIST_FEATURES, rf).fit(df)
@@ -74,6 +87,7 @@ def train_criticality_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth
                             label: str = "risk_label") -> PipelineModel:
     if label not in df.columns:
         df = criticality_label(df, cut)
+    df = complete(df, K.DIST_FEATURES, label)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, predictionCol="risk_pred_d",
                                 rawPredictionCol="risk_raw", probabilityCol="risk_prob", numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed)
@@ -82,8 +96,8 @@ def train_criticality_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth
 
 def score_distribution_models(df: DataFrame, eff_model: PipelineModel, risk_model: PipelineModel) -> DataFrame:
     """Adds ``eff_pred`` (double) and ``risk_pred`` (0/1 int) from the two forests."""
-    out = eff_model.transform(df).drop("features")
-    out = risk_model.transform(out).drop("features", "risk_raw", "risk_prob")
+    out = scoring(eff_model).transform(df).drop("features")
+    out = scoring(risk_model).transform(out).drop("features", "risk_raw", "risk_prob")
     return out.withColumn("risk_pred", F.col("risk_pred_d").cast("int")).drop("risk_pred_d")
 
 

@@ -162,10 +162,10 @@ def score_distribution(df: DataFrame, eff_col: str = "eff_pred", risk_col: str =
 
 # D9 -------------------------------------------------------------------------
 def municipal_simulation(df: DataFrame, eff_col: str = "eff_pred", risk_col: str = "risk_pred",
-                         as_of: str = "2024-12-31 00:00:00") -> DataFrame:
+                         as_of: str | None = None) -> DataFrame:
     """Fill predicted_efficiency / critical_risk / recommended_action / last_updated.
 
-    One pass over the municipal table; ``as_of`` stamps the refresh time.
+    One pass over the municipal table; ``as_of`` stamps the refresh time (the time of the run by default).
     """
     out = operating_action(distribution_features(df), eff_col, risk_col)
     return out.select(
@@ -173,5 +173,5 @@ def municipal_simulation(df: DataFrame, eff_col: str = "eff_pred", risk_col: str
         rn(F.col(eff_col), 2).alias("predicted_efficiency"),
         F.col(risk_col).cast("int").alias("critical_risk"),
         F.col("Operating_Action").alias("recommended_action"),
-        F.lit(as_of).cast("timestamp_ntz").alias("last_updated"),
+        (F.lit(as_of) if as_of else F.current_timestamp()).cast("timestamp_ntz").alias("last_updated"),
     )

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake import constants as K
@@ -39,11 +39,16 @@ def created_not_null(df: DataFrame) -> DataFrame:
     return df.filter(F.col("Created_At").isNotNull())
 
 
-def year_range_filter(df: DataFrame, first_year: int = K.FIRST_REPORT_YEAR, as_of_year: int = 2024,
+def report_year(as_of_year: int | None) -> Column:
+    """The last year of a report: as given, else the current year when the job runs."""
+    return F.year(F.current_date()) if as_of_year is None else F.lit(int(as_of_year))
+
+
+def year_range_filter(df: DataFrame, first_year: int = K.FIRST_REPORT_YEAR, as_of_year: int | None = None,
                       col: str = "Created_At") -> DataFrame:
-    """year in [first_year, as_of_year], as a timestamp range (pushable)."""
+    """year in [first_year, as_of_year], as a timestamp range (pushable); by default up to the current year."""
     lo = F.lit(f"{first_year:04d}-01-01 00:00:00").cast("timestamp_ntz")
-    hi = F.lit(f"{as_of_year + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
+    hi = F.make_date(report_year(as_of_year) + F.lit(1), F.lit(1), F.lit(1)).cast("timestamp_ntz")
     c = F.col(col)
     return df.filter((c >= lo) & (c < hi))
 

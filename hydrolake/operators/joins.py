@@ -1,17 +1,17 @@
 """Joins and subqueries.
 
-Dimension sides go through :func:`checked_broadcast` (measured, bounded);
-fact-to-aggregate joins carry no hint and let adaptive execution pick a
-broadcast once the aggregate is measured small.
+No join carries a hint and building a plan starts no job: file statistics
+and adaptive execution broadcast a side once it is measured small, and split
+skewed partitions otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolake import constants as K
-from hydrolake.functions.sizing import checked_broadcast, small_side
+from hydrolake.operators.filters import report_year
 
 
 # J1 -------------------------------------------------------------------------
@@ -26,7 +26,7 @@ def hubs_for_mc(mapping: DataFrame, hubs: DataFrame, mc_code: str | None = None,
     if mc_code:
         mapping = mapping.filter(F.col("MC_Code") == F.lit(mc_code))
     joined = mapping.join(hubs, "Hub_ID")
-    counts = small_side(joined.groupBy("MC_Code").agg(F.count(F.lit(1)).alias("Total_Hubs")))
+    counts = joined.groupBy("MC_Code").agg(F.count(F.lit(1)).alias("Total_Hubs"))
     out = joined.join(counts, "MC_Code").select("MC_Code", "Hub_ID", "Hub_Name", "Total_Hubs")
     return out.orderBy("MC_Code", "Hub_Name", "Hub_ID") if ordered else out
 
@@ -44,18 +44,17 @@ def tenant_scope(records: DataFrame, principals: DataFrame, username: str | None
     if username:
         p = p.filter(F.col("Username") == F.lit(username))
     if municipal is not None:
-        p = p.join(checked_broadcast(municipal.select("MC_Code")), "MC_Code", "left_semi")
-    allowed = checked_broadcast(p.select("MC_Code").distinct())
-    return records.join(allowed, "MC_Code", "left_semi")
+        p = p.join(municipal.select("MC_Code"), "MC_Code", "left_semi")
+    return records.join(p.select("MC_Code").distinct(), "MC_Code", "left_semi")
 
 
 # J3 -------------------------------------------------------------------------
-def hub_year_spine(keys: DataFrame, first_year: int = K.FIRST_REPORT_YEAR, as_of_year: int = 2024) -> DataFrame:
-    """Every key row × every year first..as_of, by a generator (no cross join).
+def hub_year_spine(keys: DataFrame, first_year: int = K.FIRST_REPORT_YEAR, as_of_year: int | None = None) -> DataFrame:
+    """Every key row × every year first..as_of (the current year by default), by a generator (no cross join).
 
     ``keys`` holds the distinct grouping keys (e.g. MC_Code, Hub_ID).
     """
-    years = F.sequence(F.lit(first_year), F.lit(as_of_year))
+    years = F.sequence(F.lit(first_year), report_year(as_of_year))
     return keys.withColumn("Year", F.explode(years))
 
 
@@ -63,16 +62,21 @@ def hub_year_spine(keys: DataFrame, first_year: int = K.FIRST_REPORT_YEAR, as_of
 def latest_by_subquery(records: DataFrame, mc_code: str | None = None) -> DataFrame:
     """Rows whose Created_At equals their municipality's maximum (ties kept).
 
-    Max per MC is a partial (map-side) aggregate; joining it back on
-    (MC_Code, Created_At) spreads a hot municipality over many tasks because
-    the join key includes the timestamp.
+    Spark cuts ``rank() = 1`` by a group limit in every task before the
+    shuffle, so a hot municipality sends only each task's newest rows.
     """
     if mc_code:
         records = records.filter(F.col("MC_Code") == F.lit(mc_code))
-    latest = small_side(records.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At")))
-    return records.join(latest, ["MC_Code", "Created_At"], "left_semi").select(
+    return newest_per_mc(records)
+
+
+def newest_per_mc(records: DataFrame) -> DataFrame:
+    """Rows at their municipality's newest time, ties kept; rows without a code or a time have none."""
+    w = Window.partitionBy("MC_Code").orderBy(F.desc("Created_At"))
+    rows = records.filter(F.col("MC_Code").isNotNull() & F.col("Created_At").isNotNull()).select(
         "MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Recommended_Action", "Created_At"
     )
+    return rows.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 # J5 -------------------------------------------------------------------------
@@ -82,41 +86,46 @@ def division_dim(spark) -> DataFrame:
 
 
 def municipal_with_division(municipal: DataFrame, divisions: DataFrame) -> DataFrame:
-    """Municipality ⟕ division on Division_Code (dimension broadcast after a size check)."""
+    """Municipality ⟕ division on Division_Code ."""
     d = divisions.select(
         "Division_Code",
         *[F.col(c).alias(f"Division_{c.capitalize()}") for c in divisions.columns if c != "Division_Code"],
     )
-    return municipal.join(checked_broadcast(d), "Division_Code", "left")
+    return municipal.join(d, "Division_Code", "left")
 
 
 # J6 -------------------------------------------------------------------------
+#: what the simulation (D9) adds to a municipality
+SIMULATED = (("predicted_efficiency", "double"), ("critical_risk", "int"), ("recommended_action", "string"),
+             ("last_updated", "timestamp_ntz"))
+
+
 def dashboard(municipal: DataFrame, mapping: DataFrame, hubs: DataFrame, mc_code: str | None = None) -> DataFrame:
     """One row per (municipality, connected hub), hub columns null when none.
 
     The relational form of "municipal info + list of hubs": hubs per
     municipality are not bounded, so they are never packed into one array.
-    Planned as an inner join against the (size-checked, broadcast)
-    municipality dimension plus an anti join for municipalities without
-    hubs — the same rows as ``municipal LEFT JOIN hubs``, but the hub side is
-    never shuffled by municipality (a municipality with a third of all hubs
-    would otherwise sit in one task).
+    Planned as an inner join with the municipality dimension plus an anti
+    join for municipalities without hubs — the same rows as ``municipal LEFT
+    JOIN hubs``, but adaptive execution can broadcast the municipality side,
+    and split a municipality that holds a third of all hubs otherwise.
+    The simulation's columns (D9) come along where ``municipal`` has them and
+    are null otherwise.
     """
     if mc_code:
         municipal = municipal.filter(F.col("MC_Code") == F.lit(mc_code))
         mapping = mapping.filter(F.col("MC_Code") == F.lit(mc_code))
     connected = hubs_for_mc(mapping, hubs)
     info = municipal.select(
-        "MC_Code", "MC_Name", "Population", "Total_Demand_MLD", "Current_Supply_MLD", "Division_Code"
+        "MC_Code", "MC_Name", "Population", "Total_Demand_MLD", "Current_Supply_MLD", "Division_Code",
+        *[F.col(c) if c in municipal.columns else F.lit(None).cast(t).alias(c) for c, t in SIMULATED],
     )
-    with_hubs = connected.join(checked_broadcast(info), "MC_Code")
-    served = small_side(connected.select("MC_Code").distinct())
-    without = info.join(served, "MC_Code", "left_anti").select(
+    with_hubs = connected.join(info, "MC_Code")
+    without = info.join(connected.select("MC_Code").distinct(), "MC_Code", "left_anti").select(
         "*",
         F.lit(None).cast("string").alias("Hub_ID"),
         F.lit(None).cast("string").alias("Hub_Name"),
         F.lit(0).cast("long").alias("Total_Hubs"),
     )
-    cols = ["MC_Code", "MC_Name", "Population", "Total_Demand_MLD", "Current_Supply_MLD", "Division_Code",
-            "Hub_ID", "Hub_Name", "Total_Hubs"]
+    cols = [*info.columns, "Hub_ID", "Hub_Name", "Total_Hubs"]
     return with_hubs.select(*cols).unionByName(without.select(*cols))

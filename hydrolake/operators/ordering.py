@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hydrolake import constants as K
 from hydrolake.operators import aggregates as A
 from hydrolake.operators import filters as FL
-from hydrolake.functions.sizing import small_side
+from hydrolake.session import ensure_checkpoint_dir
 from hydrolake.operators.clean import count_message
 
 QUALITY_RECORD_ORDER = (
@@ -48,8 +48,15 @@ def quality_history_top(records: DataFrame, k: int = 10, mc_code: str | None = N
 
 
 def _with_count(df: DataFrame, name: str) -> DataFrame:
-    counts = small_side(df.groupBy("MC_Code").agg(F.count(F.lit(1)).alias(name)))
-    return df.join(counts, "MC_Code")
+    """The rows with their municipality's count beside them.
+
+    The rows are few and dear (filtered, scored records): they are stored once,
+    and counted and joined from there.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    counts = df.groupBy("MC_Code").agg(F.count(F.lit(1)).alias(name)).withColumnRenamed("MC_Code", "_mc")
+    return df.join(counts, F.col("MC_Code") == F.col("_mc")).drop("_mc")
 
 
 # O3 -------------------------------------------------------------------------

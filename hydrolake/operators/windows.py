@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.functions.numeric import nonfinite_to_null, rn
-from hydrolake.functions.sizing import small_side
+from hydrolake.operators.filters import report_year
+from hydrolake.operators.joins import newest_per_mc
 from hydrolake.operators import aggregates as A
 from hydrolake.operators.clean import lower_na_text, na_text
 from hydrolake.operators.distribution import nullable_grade_expr
@@ -31,9 +32,9 @@ def _trend(delta, step: float, none_label: str):
 
 
 # W1 -------------------------------------------------------------------------
-def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
+def yearly_quality_trend(quality: DataFrame, as_of_year: int | None = None,
                          first_year: int = K.FIRST_REPORT_YEAR) -> DataFrame:
-    """Every hub × every year first..as_of, zero-filled, with delta and trend.
+    """Every hub × every year first..as_of (the current year by default), zero-filled, with delta and trend.
 
     The delta compares with the previous *non-empty* in-range year (gap years
     are skipped); the first year and empty years get 'N/A' (null delta).
@@ -50,7 +51,7 @@ def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
     # a record without a hub matches no hub (a null key equals nothing): its
     # hub entry is all empty years, as a key-equality lookup would give
     keyed = F.col("MC_Code").isNotNull() & F.col("Hub_ID").isNotNull()
-    in_range = F.col("Year").between(first_year, as_of_year) & keyed
+    in_range = F.col("Year").between(F.lit(first_year), report_year(as_of_year)) & keyed
     w_hub = Window.partitionBy(*HUB_KEYS)
     w_year = w_hub.orderBy("Year")
     w_prev = w_year.rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +68,7 @@ def yearly_quality_trend(quality: DataFrame, as_of_year: int = 2024,
         F.col("Anomaly_Count").alias("Anomaly_Count"),
         _trend(delta, K.YEARLY_TREND_STEP, K.NOT_AVAILABLE).alias("Trend"), delta.alias("Yearly_Delta"),
     )
-    missing = F.array_except(F.sequence(F.lit(first_year), F.lit(as_of_year)), F.col("_present"))
+    missing = F.array_except(F.sequence(F.lit(first_year), report_year(as_of_year)), F.col("_present"))
     zero_d, zero_l = F.lit(0.0), F.lit(0).cast("long")
     empty = F.transform(
         F.when(F.col("_first"), missing).otherwise(F.slice(missing, 1, 0)),
@@ -194,11 +195,7 @@ def yearly_distribution_trend(distribution: DataFrame) -> DataFrame:
 def latest_distribution(distribution: DataFrame) -> DataFrame:
     """Latest snapshot of every municipality: rows at the MC's max time (ties kept).
 
-    Same result as ``rank() over (partition by MC order by time desc) = 1``,
-    planned as a partial max plus a semi join so no municipality's rows have
-    to sit in a single window task.
+    ``rank() over (partition by MC order by time desc) = 1``: every task keeps
+    only its newest rows of a municipality before the shuffle.
     """
-    latest = small_side(distribution.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At")))
-    return distribution.join(latest, ["MC_Code", "Created_At"], "left_semi").select(
-        "MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Recommended_Action", "Created_At"
-    )
+    return newest_per_mc(distribution)

@@ -195,7 +195,7 @@ def _municipal_preds(spark, sf):
 
 @register("municipal_simulation")
 def municipal_simulation(spark, sf):
-    return D.municipal_simulation(_municipal_preds(spark, sf))
+    return D.municipal_simulation(_municipal_preds(spark, sf), as_of=f"{AS_OF_YEAR}-12-31 00:00:00")
 
 
 # ------------------------------------------------------------------ cleaning --
@@ -273,12 +273,27 @@ def coerce_form_numbers(spark, sf):
 def validate_readings(spark, sf):
     from hydrolake.sources import io
 
-    r = X.raw_readings(spark, sf).select(
+    ok, _ = io.split_valid(_dirty_readings(spark, sf), DIRTY_TYPES)
+    return ok.select("event_id", "MC_Code", "Hub_ID", "BOD", "Created_At")
+
+
+DIRTY_TYPES = {"MC_Code": "string", "Hub_ID": "string", "BOD": "double", "Created_At": "date"}
+
+
+def _dirty_readings(spark, sf):
+    return X.raw_readings(spark, sf).select(
         "MC_Code", "Hub_ID", "event_id", F.col("BOD_Text").alias("BOD"), F.col("Created_Text").alias("Created_At")
     )
-    ok, bad = io.split_valid(r, {"MC_Code": "string", "Hub_ID": "string", "BOD": "double",
-                                 "Created_At": "date"})
-    return ok.select("event_id", "MC_Code", "Hub_ID", "BOD", "Created_At")
+
+
+@register("quarantine_readings")
+def quarantine_readings(spark, sf):
+    """The rejected readings with the fields that failed, written to the quarantine and read back."""
+    from hydrolake.sources import io
+
+    _, bad = io.split_valid(_dirty_readings(spark, sf), DIRTY_TYPES)
+    path = io.write_quarantine(bad, scratch_path(spark, "quarantine"), DIRTY_TYPES)
+    return spark.read.parquet(path).select(F.col("event_id").cast("long"), "MC_Code", "Hub_ID", "BOD", "Created_At", "Rejected_Fields")
 
 
 # ------------------------------------------------------------------- filters --
@@ -363,7 +378,7 @@ def division_dim(spark, sf):
 
 @register("dashboard")
 def dashboard(spark, sf):
-    return J.dashboard(X.municipal_data(spark, sf), X.mc_hub_mapping(spark, sf), X.hub_table(spark, sf))
+    return J.dashboard(municipal_simulation(spark, sf), X.mc_hub_mapping(spark, sf), X.hub_table(spark, sf))
 
 
 # -------------------------------------------------------------- aggregations --
@@ -638,18 +653,9 @@ from hydrolake.ml import models as M  # noqa: E402
 from hydrolake.ml import scaler as SC  # noqa: E402
 from hydrolake.plans import training as TR  # noqa: E402
 
-# Forest sizes for the registered queries: the original's 200 isolation
-# trees; 20 regression trees (200 is the library default, see README).
-RF_TREES = 20
+# Forest sizes of the original; nothing that is trained outlives its query.
+RF_TREES = K.N_TREES
 ISO_TREES = K.N_TREES
-_MODEL_CACHE: dict[tuple, object] = {}
-
-
-def _cached(spark, key, build):
-    k = (spark.sparkContext.applicationId, *key)
-    if k not in _MODEL_CACHE:
-        _MODEL_CACHE[k] = build()
-    return _MODEL_CACHE[k]
 
 
 def _training(spark, sf):
@@ -657,24 +663,24 @@ def _training(spark, sf):
 
 
 def _quality_models(spark, sf) -> TR.TrainingResult:
-    def build():
-        path = scratch_path(spark, "models")
-        return TR.train_models(spark, X.quality_records(spark, sf), path, num_trees=RF_TREES,
-                               forest_trees=ISO_TREES, version=M.version_stamp())
+    return TR.train_models(spark, X.quality_records(spark, sf), scratch_path(spark, "models"), num_trees=RF_TREES,
+                           forest_trees=ISO_TREES, version=M.version_stamp())
+
+
+def _scaled_training(spark, sf):
+    """The stored training set, its scaler and the scaled rows."""
+    t = _training(spark, sf).checkpoint(eager=True)
+    stats = SC.fit_scaler(t, K.ML_FEATURES)
+    return SC.scaled_features(t, stats, prefix="z_")
 
-    return _cached(spark, ("quality", sf), build)
 
+Z_FEATURES = [f"z_{f}" for f in K.ML_FEATURES]
 
-def _distribution_models(spark, sf):
-    def build():
-        train = X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")
-        train = D.distribution_features(train).withColumns(
-            {"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")}
-        ).checkpoint(eager=True)
-        return (M.train_efficiency_model(train, num_trees=RF_TREES),
-                M.train_criticality_model(train, num_trees=RF_TREES))
 
-    return _cached(spark, ("distribution", sf), build)
+def _distribution_training(spark, sf):
+    """Distribution readings with the five model columns."""
+    d = D.distribution_features(X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred"))
+    return d.withColumns({"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")})
 
 
 @register("training_set")
@@ -708,48 +714,47 @@ def regression_eval(spark, sf):
 @register("train_wqi_regressor")
 def train_wqi_regressor(spark, sf):
     """M2 + M10: the fitted regressor's fit on its training data (R², MAE, N)."""
-    return _quality_models(spark, sf).evaluation
+    t = _scaled_training(spark, sf)
+    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES)
+    return M.regression_eval(M.score_wqi(t, model))
 
 
 @register("train_isolation_forest")
 def train_isolation_forest(spark, sf):
     """M3: the forest as a node table (bounded by trees × (2ψ − 1) rows)."""
-    forest = _quality_models(spark, sf).models.forest
+    forest = ISO.fit_isolation_forest(_scaled_training(spark, sf), Z_FEATURES, n_trees=ISO_TREES)
     return spark.createDataFrame(forest.nodes, ISO.NODE_SCHEMA)
 
 
 @register("score_anomalies")
 def score_anomalies(spark, sf):
     """M4: −1/1 per training row from the isolation forest (≈2% flagged)."""
-    res = _quality_models(spark, sf).models
-    t = SC.scaled_features(_training(spark, sf), res.scaler, prefix="z_")
-    return ISO.score_frame(t, res.forest).select("WQI", "anomaly_score", "anomaly_pred")
+    t = _scaled_training(spark, sf)
+    forest = ISO.fit_isolation_forest(t, Z_FEATURES, n_trees=ISO_TREES)
+    return ISO.score_frame(t, forest).select("WQI", "anomaly_score", "anomaly_pred")
 
 
 @register("score_wqi")
 def score_wqi(spark, sf):
     """M5: regressor prediction per scaled row."""
-    res = _quality_models(spark, sf).models
-    t = SC.scaled_features(_training(spark, sf), res.scaler, prefix="z_")
-    return M.score_wqi(t, res.regressor).select("WQI", "ml_wqi")
+    t = _scaled_training(spark, sf)
+    return M.score_wqi(t, M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES)).select("WQI", "ml_wqi")
 
 
 @register("score_efficiency")
 def score_efficiency(spark, sf):
     """M6: efficiency regression on (population, demand, supply, deficit, per-capita)."""
-    eff, risk = _distribution_models(spark, sf)
-    d = D.distribution_features(X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")).withColumns(
-        {"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")})
-    return eff.transform(d).select("o_orderkey", "Hub_ID", "eff_pred")
+    d = _distribution_training(spark, sf)
+    model = M.train_efficiency_model(d.checkpoint(eager=True), num_trees=RF_TREES)
+    return M.scoring(model).transform(d).select("o_orderkey", "Hub_ID", "eff_pred")
 
 
 @register("score_criticality")
 def score_criticality(spark, sf):
     """M7: binary criticality classifier on the same five columns."""
-    eff, risk = _distribution_models(spark, sf)
-    d = D.distribution_features(X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")).withColumns(
-        {"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")})
-    return risk.transform(d).select("o_orderkey", "Hub_ID", F.col("risk_pred_d").cast("int").alias("risk_pred"))
+    d = _distribution_training(spark, sf)
+    model = M.train_criticality_model(d.checkpoint(eager=True), num_trees=RF_TREES)
+    return M.scoring(model).transform(d).select("o_orderkey", "Hub_ID", F.col("risk_pred_d").cast("int").alias("risk_pred"))
 
 
 @register("train_models")
@@ -790,6 +795,8 @@ def predict_quality_model(spark, sf):
 @register("predict_distribution_model")
 def predict_distribution_model(spark, sf):
     """P2 with the trained efficiency and criticality forests."""
-    eff, risk = _distribution_models(spark, sf)
+    train = _distribution_training(spark, sf).checkpoint(eager=True)
+    eff = M.train_efficiency_model(train, num_trees=RF_TREES)
+    risk = M.train_criticality_model(train, num_trees=RF_TREES)
     r = X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")
     return P.predict_distribution(r, eff, risk, keep=("o_orderkey",))

@@ -82,11 +82,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is absent
-    (tests, a laptop) do we create a scratch folder for it.
+    (tests, a laptop) do we create a scratch folder for it.  A cluster must name
+    it: a folder of the driver's machine would be of no use to executors.
     """
     tune_session(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="hydrolake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

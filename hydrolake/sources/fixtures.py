@@ -167,14 +167,18 @@ def quality_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored quality records: gap years per hub, ~1% null WQI, ~2% anomalies."""
+    """Stored quality records: one per reading, with gap years per hub, ~1% null WQI and ~2% anomalies.
+
+    A reading that would fall into its hub's gap year is dated a year later.
+    """
     s = quality_scored(spark, sf_dir)
     h = F.substring(F.col("Hub_ID"), 4, 100).cast("int")
     wqi = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % F.lit(97) == 0, F.lit(None).cast("double")).otherwise(
         F.col("Rule_WQI")
     )
     return (
-        s.filter((h + F.year("Created_At")) % F.lit(7) != 3)
+        s.withColumn("Created_At", F.when((h + F.year("Created_At")) % F.lit(7) == 3, F.col("Created_At") + F.expr("INTERVAL 1 YEAR"))
+                     .otherwise(F.col("Created_At")))
         .select(
             "l_orderkey",
             "l_linenumber",

@@ -9,6 +9,8 @@ its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,14 +102,15 @@ def distribution_record_frame(scored: DataFrame, created_at: str | None = None)
 def append_records(df: DataFrame, path: str, batch_id: str | int | None = None) -> str:
     """Append to a parquet table partitioned by ``MC_Code``.
 
-    With ``batch_id`` the batch lands in its own folder, overwritten on replay.
+    Every append has a folder of its own, named by ``batch_id`` (overwritten on
+    replay) or, without one, by a fresh id.  Rows are gathered by municipality
+    before the write, so that a batch makes few files; a busy municipality is
+    split by size.
     """
-    if batch_id is None:
-        df.write.mode("append").partitionBy("MC_Code").parquet(path)
-        return path
-    target = f"{path.rstrip('/')}/batch_id={batch_id}"
-    df.write.mode("overwrite").partitionBy("MC_Code").parquet(target)
-    return target
+    name = f"append-{uuid.uuid4().hex}" if batch_id is None else batch_id
+    target = f"{path.rstrip('/')}/batch_id={name}"
+    df.hint("rebalance", "MC_Code").write.mode("overwrite").partitionBy("MC_Code").parquet(target)
+    return path if batch_id is None else target
 
 
 def append_quality(scored: DataFrame, path: str, batch_id=None, created_at: str | None = None) -> str:
@@ -121,7 +124,11 @@ def append_distribution(scored: DataFrame, path: str, batch_id=None, created_at:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """All records of a table; municipality codes stay text (``007``), whatever they look like."""
+    found = spark.read.option("basePath", path).parquet(path).schema
+    text = {"MC_Code", "batch_id"}
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType, f.nullable) for f in found])
+    return spark.read.schema(schema).option("basePath", path).parquet(path).drop("batch_id")
 
 
 # S5 ---------------------------------------------------------------------------
@@ -170,13 +177,18 @@ def rejection_reasons(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.withColumn("Rejected_Fields", F.concat_ws(",", *bad))
 
 
+def quarantine_frame(rejected: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Rejected rows as received, as text, with the reason."""
+    out = rejection_reasons(rejected, schema)
+    return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+
+
 def write_quarantine(rejected: DataFrame, path: str, schema: dict[str, str], batch_id=None) -> str:
     """S9's sink for rejects: the rows as received plus the reason, as text columns.
 
     With ``batch_id`` a replayed batch overwrites its own folder.
     """
-    out = rejection_reasons(rejected, schema)
-    out = out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+    out = quarantine_frame(rejected, schema)
     target = path if batch_id is None else f"{path.rstrip('/')}/batch_id={batch_id}"
     out.write.mode("append" if batch_id is None else "overwrite").parquet(target)
     return target

@@ -145,10 +145,9 @@ SELECT l_orderkey, l_linenumber, MC_Code, Hub_ID, Temperature, pH, BOD, Faecal_C
   Nitrate_N AS Nitrate, Conductivity,
   CASE WHEN (l_orderkey+l_linenumber)%97=0 THEN NULL ELSE Rule_WQI END AS WQI,
   CASE WHEN (l_orderkey*7+l_linenumber)%50=0 THEN {q(K.ANOMALY)} ELSE {q(K.NORMAL)} END AS Anomaly_Status,
-  Created_At,
+  CASE WHEN (CAST(substr(Hub_ID, 4) AS INT) + year(Created_At)) % 7 = 3 THEN Created_At + INTERVAL 1 YEAR ELSE Created_At END AS Created_At,
   CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS Used_For_Training
-FROM quality_scored
-WHERE (CAST(substr(Hub_ID, 4) AS INT) + year(Created_At)) % 7 <> 3) z"""
+FROM quality_scored) z"""
 
 VIEWS["distribution_inputs"] = f"""
 SELECT o_orderkey, {MC('c_nationkey')} AS MC_Code, {HUB('o_custkey % 40')} AS Hub_ID,
@@ -428,6 +427,14 @@ ORACLES["validate_readings"] = with_views(
     "FROM raw_readings WHERE MC_Code IS NOT NULL AND Hub_ID IS NOT NULL AND TRY_CAST(BOD_Text AS DOUBLE) IS NOT NULL "
     "AND TRY_CAST(Created_Text AS DATE) IS NOT NULL", "raw_readings")
 
+ORACLES["quarantine_readings"] = with_views(
+    "SELECT CAST(event_id AS BIGINT) AS event_id, MC_Code, Hub_ID, BOD_Text AS BOD, Created_Text AS Created_At, "
+    "concat_ws(',', CASE WHEN MC_Code IS NULL THEN 'MC_Code' END, CASE WHEN Hub_ID IS NULL THEN 'Hub_ID' END, "
+    "CASE WHEN TRY_CAST(BOD_Text AS DOUBLE) IS NULL THEN 'BOD' END, "
+    "CASE WHEN TRY_CAST(Created_Text AS DATE) IS NULL THEN 'Created_At' END) AS Rejected_Fields "
+    "FROM raw_readings WHERE MC_Code IS NULL OR Hub_ID IS NULL OR TRY_CAST(BOD_Text AS DOUBLE) IS NULL "
+    "OR TRY_CAST(Created_Text AS DATE) IS NULL", "raw_readings")
+
 # ------------------------------------------------------------------- filters --
 ORACLES["tenant_filter"] = with_views(
     "SELECT MC_Code, Hub_ID, WQI, Anomaly_Status, Created_At FROM quality_records WHERE MC_Code = 'MC007'",
@@ -479,8 +486,11 @@ ORACLES["division_dim"] = with_views(
     "ON m.Division_Code = d.Division_Code", "municipal_data")
 ORACLES["dashboard"] = with_views(
     "SELECT m.MC_Code, m.MC_Name, m.Population, m.Total_Demand_MLD, m.Current_Supply_MLD, m.Division_Code, "
-    "h.Hub_ID, h.Hub_Name, coalesce(h.Total_Hubs, 0) AS Total_Hubs FROM municipal_data m LEFT JOIN hubs h "
-    "ON m.MC_Code = h.MC_Code", "municipal_data", "mc_hub_mapping", "hub_table", ctes=HUBS_CTE)
+    f"{RN('eff_pred')} AS predicted_efficiency, CAST(risk_pred AS INT) AS critical_risk, "
+    f"CASE WHEN eff_pred < 70.0 THEN {q(K.ACTION_INCREASE)} WHEN risk_pred = 1 THEN {q(K.ACTION_ROTATE)} "
+    f"ELSE {q(K.ACTION_MAINTAIN)} END AS recommended_action, TIMESTAMP '2024-12-31 00:00:00' AS last_updated, "
+    "h.Hub_ID, h.Hub_Name, coalesce(h.Total_Hubs, 0) AS Total_Hubs FROM mp2 m LEFT JOIN hubs h "
+    "ON m.MC_Code = h.MC_Code", "municipal_data", "mc_hub_mapping", "hub_table", ctes=f"{MUNI_PRED}, {HUBS_CTE}")
 
 # -------------------------------------------------------------- aggregations --
 PUBLIC_SQL = (

@@ -139,3 +139,19 @@ def test_tenant_scope_limits_a_user_to_their_municipality(spark):
     assert [r["MC_Code"] for r in J.tenant_scope(recs, users, "u2", municipal=muni).collect()] == ["MC2"]
     assert J.tenant_scope(recs, users, "u9", municipal=muni).count() == 0  # unknown municipality
     assert sorted(r["MC_Code"] for r in J.tenant_scope(recs, users, municipal=muni).collect()) == ["MC1", "MC2"]
+
+
+def test_reports_reach_the_current_year(spark):
+    import datetime as dt
+
+    from hydrolake.operators import filters as FL
+    from hydrolake.operators import joins as J
+    from hydrolake.operators import windows as W
+
+    now = dt.date.today().year
+    df = spark.createDataFrame([("MC1", "H1", 50.0, "Normal", dt.datetime(now, 1, 1))],
+                               "MC_Code string, Hub_ID string, WQI double, Anomaly_Status string, Created_At timestamp_ntz")
+    out = {r["Year"]: r["Total_Records"] for r in W.yearly_quality_trend(df).collect()}
+    assert max(out) == now and out[now] == 1
+    assert FL.year_range_filter(df).count() == 1
+    assert J.hub_year_spine(df.select("MC_Code", "Hub_ID")).agg({"Year": "max"}).first()[0] == now
