@@ -653,8 +653,10 @@ from hydrolake.ml import models as M  # noqa: E402
 from hydrolake.ml import scaler as SC  # noqa: E402
 from hydrolake.plans import training as TR  # noqa: E402
 
-# Forest sizes of the original; nothing that is trained outlives its query.
-RF_TREES = K.N_TREES
+# The original's number of trees; nothing that is trained outlives its query.
+# Its trees have no depth limit (the library's default is Spark's largest, 30);
+# the queries stop at 10: see README, "Forest sizes", for the measured cost.
+RF_TREES, RF_DEPTH = K.N_TREES, 10
 ISO_TREES = K.N_TREES
 
 
@@ -663,7 +665,7 @@ def _training(spark, sf):
 
 
 def _quality_models(spark, sf) -> TR.TrainingResult:
-    return TR.train_models(spark, X.quality_records(spark, sf), scratch_path(spark, "models"), num_trees=RF_TREES,
+    return TR.train_models(spark, X.quality_records(spark, sf), scratch_path(spark, "models"), num_trees=RF_TREES, max_depth=RF_DEPTH,
                            forest_trees=ISO_TREES, version=M.version_stamp())
 
 
@@ -715,7 +717,7 @@ def regression_eval(spark, sf):
 def train_wqi_regressor(spark, sf):
     """M2 + M10: the fitted regressor's fit on its training data (R², MAE, N)."""
     t = _scaled_training(spark, sf)
-    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES)
+    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES, max_depth=RF_DEPTH)
     return M.regression_eval(M.score_wqi(t, model))
 
 
@@ -738,14 +740,14 @@ def score_anomalies(spark, sf):
 def score_wqi(spark, sf):
     """M5: regressor prediction per scaled row."""
     t = _scaled_training(spark, sf)
-    return M.score_wqi(t, M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES)).select("WQI", "ml_wqi")
+    return M.score_wqi(t, M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES, max_depth=RF_DEPTH)).select("WQI", "ml_wqi")
 
 
 @register("score_efficiency")
 def score_efficiency(spark, sf):
     """M6: efficiency regression on (population, demand, supply, deficit, per-capita)."""
     d = _distribution_training(spark, sf)
-    model = M.train_efficiency_model(d.checkpoint(eager=True), num_trees=RF_TREES)
+    model = M.train_efficiency_model(d.checkpoint(eager=True), num_trees=RF_TREES, max_depth=RF_DEPTH)
     return M.scoring(model).transform(d).select("o_orderkey", "Hub_ID", "eff_pred")
 
 
@@ -753,7 +755,7 @@ def score_efficiency(spark, sf):
 def score_criticality(spark, sf):
     """M7: binary criticality classifier on the same five columns."""
     d = _distribution_training(spark, sf)
-    model = M.train_criticality_model(d.checkpoint(eager=True), num_trees=RF_TREES)
+    model = M.train_criticality_model(d.checkpoint(eager=True), num_trees=RF_TREES, max_depth=RF_DEPTH)
     return M.scoring(model).transform(d).select("o_orderkey", "Hub_ID", F.col("risk_pred_d").cast("int").alias("risk_pred"))
 
 
@@ -761,7 +763,7 @@ def score_criticality(spark, sf):
 def train_models(spark, sf):
     """S6 → M8 → M1 → M2 → M3 → S7 → M10 on the training table."""
     res = TR.train_models(spark, X.quality_training(spark, sf), scratch_path(spark, "models-p3"),
-                          num_trees=RF_TREES, forest_trees=ISO_TREES, version=M.version_stamp())
+                          num_trees=RF_TREES, max_depth=RF_DEPTH, forest_trees=ISO_TREES, version=M.version_stamp())
     return TR.training_summary(res)
 
 
@@ -780,7 +782,7 @@ def retrain(spark, sf):
     src = scratch_path(spark, "records-retrain")
     X.quality_records(spark, sf).write.partitionBy("MC_Code").parquet(src)
     res, snap = TR.retrain(spark, src, scratch_path(spark, "models-m9"), scratch_path(spark, "records-m9"),
-                           num_trees=RF_TREES, forest_trees=ISO_TREES)
+                           num_trees=RF_TREES, max_depth=RF_DEPTH, forest_trees=ISO_TREES)
     flags = io.read_records(spark, snap).groupBy("Used_For_Training").agg(F.count(F.lit(1)).alias("n"))
     return TR.training_summary(res).unionByName(flags, allowMissingColumns=True)
 
@@ -796,7 +798,7 @@ def predict_quality_model(spark, sf):
 def predict_distribution_model(spark, sf):
     """P2 with the trained efficiency and criticality forests."""
     train = _distribution_training(spark, sf).checkpoint(eager=True)
-    eff = M.train_efficiency_model(train, num_trees=RF_TREES)
-    risk = M.train_criticality_model(train, num_trees=RF_TREES)
+    eff = M.train_efficiency_model(train, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    risk = M.train_criticality_model(train, num_trees=RF_TREES, max_depth=RF_DEPTH)
     r = X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")
     return P.predict_distribution(r, eff, risk, keep=("o_orderkey",))
