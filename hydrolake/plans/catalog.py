@@ -699,7 +699,8 @@ def scaler_stats(spark, sf):
 def scaled_features(spark, sf):
     t = _training(spark, sf)
     stats = SC.fit_scaler(t, K.ML_FEATURES)
-    return SC.scaled_features(t, stats, prefix="z_").select(*[f"z_{f}" for f in K.ML_FEATURES], "WQI")
+    return SC.scaled_features(t, stats, prefix="z_").select(
+        *[F.round(f"z_{f}", 6).alias(f"z_{f}") for f in K.ML_FEATURES], "WQI")
 
 
 @register("anomaly_target")

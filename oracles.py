@@ -733,7 +733,8 @@ _STATS = "st AS (SELECT " + ", ".join(
     f"avg({f}) AS m_{f}, CASE WHEN coalesce(stddev_pop({f}), 0) = 0 THEN 1.0 ELSE stddev_pop({f}) END AS s_{f}"
     for f in _F) + " FROM ts)"
 ORACLES["scaled_features"] = with_views(
-    "SELECT " + ", ".join(f"(ts.{f} - st.m_{f}) / st.s_{f} AS z_{f}" for f in _F) + ", ts.WQI FROM ts, st",
+    # six digits: means are summed in another order on each side
+    "SELECT " + ", ".join(f"round((ts.{f} - st.m_{f}) / st.s_{f}, 6) AS z_{f}" for f in _F) + ", ts.WQI FROM ts, st",
     "quality_records", ctes=TRAIN_CTE + ",\n" + _STATS)
 ORACLES["anomaly_target"] = with_views(
     f"SELECT Hub_ID, Anomaly_Status, CASE WHEN Anomaly_Status = {q(K.ANOMALY)} THEN -1 ELSE 1 END AS anomaly_target "
