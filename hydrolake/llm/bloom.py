@@ -9,6 +9,7 @@ which the exact join behind it removes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +61,27 @@ def test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
         if not len(at):
             break
     return hit
+
+
+def marked(rows: DataFrame, keys: DataFrame, col: str, mark: str) -> DataFrame:
+    """Adds ``mark``: whether ``col`` may be among ``keys`` (a column of that name); certain where false."""
+    spark = rows.sparkSession
+    bits = spark.sparkContext.broadcast(build(keys.select(F.xxhash64(col).alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(test(bits.value, h.to_numpy()))
+
+    return rows.withColumn(mark, may(F.xxhash64(col)))
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose ``col`` is among the stored, distinct ``keys``: only rows that may be are shuffled."""
+    return marked(rows, keys, col, "_may").filter("_may").drop("_may").join(keys.select(col), col, "left_semi")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose ``col`` is not among the stored, distinct ``keys``: only rows that may be are shuffled."""
+    both = marked(rows, keys, col, "_may")
+    rest = both.filter("_may").drop("_may").join(keys.select(col), col, "left_anti").select(*rows.columns)
+    return both.filter("not _may").select(*rows.columns).unionByName(rest)

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydrolake.llm import bloom
 from hydrolake.llm import text as T
 from hydrolake.llm.common import components, stored, table
 
@@ -234,8 +235,8 @@ def _sets(k: int):
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets reach the similarity; ``rows``: ``(d, x)``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    sets = stored(T.text_udf(rows.join(ids, "d", "left_semi"), "x", ["d"], "d long, s array<long>", _sets(k)), "sets")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "ids")
+    sets = stored(T.text_udf(bloom.semi_join(rows, ids, "d"), "x", ["d"], "d long, s array<long>", _sets(k)), "sets")
     sa, sb = sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -340,7 +341,8 @@ def _remaining(family: DataFrame, labels: DataFrame, rows: DataFrame, k: int, pe
     size = members.groupBy("top").agg((F.sum((F.col("c") != F.col("top")).cast("long")) / BLOCK).cast("long").alias("nl"),
                                       (F.count(F.lit(1)) / BLOCK).cast("long").alias("nr"))
     open_ = stored(members.join(size, "top"), "open")
-    sets = stored(T.text_udf(rows.join(open_.select("d").distinct(), "d", "left_semi"), "x", ["d"], "d long, s array<long>", _sets(k)), "sets")
+    ids = stored(open_.select("d").distinct(), "ids")
+    sets = stored(T.text_udf(bloom.semi_join(rows, ids, "d"), "x", ["d"], "d long, s array<long>", _sets(k)), "sets")
 
     def block(count: str):
         return F.pmod(F.xxhash64("d"), F.col(count) + 1)
