@@ -121,8 +121,9 @@ def quality_summary_text(spark, sf):
 
 @register("quality_details")
 def quality_details(spark, sf):
-    """Q10's nested details block (model, rule, blend, capped input features)."""
-    return Q.details_struct(_predict_quality_frame(spark, sf)).select("l_orderkey", "l_linenumber", "Details")
+    """Q10's nested details block (model, rule, blend, capped input features), read field by field."""
+    d = Q.details_struct(_predict_quality_frame(spark, sf)).select("l_orderkey", "l_linenumber", "Details")
+    return d.select("l_orderkey", "l_linenumber", "Details.ML_WQI", "Details.Rule_WQI", "Details.Hybrid_Model", "Details.Input_Features.*")
 
 
 @register("nitrate_rename")
@@ -534,12 +535,16 @@ def _year_maps(spark, sf):
 
 @register("trend_by_hub_map")
 def trend_by_hub_map(spark, sf):
-    return N.trend_by_hub_map(A.quality_trend(X.quality_records(spark, sf)))
+    """N1, with the map's entries read back."""
+    maps = N.trend_by_hub_map(A.quality_trend(X.quality_records(spark, sf)))
+    return maps.select("MC_Code", F.explode("Trend_Summary").alias("Hub_ID", "v")).select("MC_Code", "Hub_ID", "v.*")
 
 
 @register("year_map")
 def year_map(spark, sf):
-    return _year_maps(spark, sf)
+    """N2, with every field of the maps' entries read back."""
+    maps = _year_maps(spark, sf)
+    return maps.select("MC_Code", "Hub_ID", F.explode("Years").alias("Year", "v")).select("MC_Code", "Hub_ID", "Year", "v.*")
 
 
 @register("year_map_rows")
@@ -549,13 +554,19 @@ def year_map_rows(spark, sf):
 
 @register("hub_lookup")
 def hub_lookup(spark, sf):
-    found = N.hub_lookup(X.mc_hub_mapping(spark, sf), _year_maps(spark, sf))
-    return found.select("MC_Code", "Hub_ID", F.size("Years").alias("Years_Found"))
+    """The content found for each hub; a hub without records (one asked for in every municipality) has none."""
+    asked = X.mc_hub_mapping(spark, sf).unionByName(
+        X.municipal_data(spark, sf).select("MC_Code", F.lit("HUB0000").alias("Hub_ID")))
+    found = N.hub_lookup(asked, _year_maps(spark, sf))
+    return found.select("MC_Code", "Hub_ID", F.size("Years").alias("Years_Found"), F.explode_outer("Years").alias("Year", "v")).select(
+        "MC_Code", "Hub_ID", "Years_Found", "Year", "v.Average_WQI", "v.Total_Records")
 
 
 @register("report_json")
 def report_json(spark, sf):
-    return N.report_json(W.yearly_distribution_trend(X.distribution_records(spark, sf)))
+    """N5, with the JSON parsed back to columns."""
+    report = W.yearly_distribution_trend(X.distribution_records(spark, sf))
+    return N.report_json(report).select(F.from_json("json", report.schema).alias("r")).select("r.*")
 
 
 # --------------------------------------------------------- sources and sinks --

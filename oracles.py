@@ -656,9 +656,20 @@ W1_CTE = f"""{YQ_AGG},
 ORACLES["year_map_rows"] = with_views(
     "SELECT MC_Code, Hub_ID, CAST(Year AS VARCHAR) AS year, Average_WQI FROM w1", "quality_records", ctes=W1_CTE)
 ORACLES["hub_lookup"] = with_views(
-    "SELECT m.MC_Code, m.Hub_ID, CAST(coalesce(c.n, 0) AS INT) AS Years_Found FROM mc_hub_mapping m LEFT JOIN "
-    "(SELECT MC_Code, Hub_ID, count(*) AS n FROM w1 GROUP BY MC_Code, Hub_ID) c "
-    "ON m.MC_Code = c.MC_Code AND m.Hub_ID = c.Hub_ID", "quality_records", "mc_hub_mapping", ctes=W1_CTE)
+    "SELECT m.MC_Code, m.Hub_ID, CAST(count(w.Year) OVER (PARTITION BY m.MC_Code, m.Hub_ID) AS INT) AS Years_Found, "
+    "CAST(w.Year AS VARCHAR) AS Year, w.Average_WQI, w.Total_Records "
+    "FROM (SELECT MC_Code, Hub_ID FROM mc_hub_mapping UNION ALL SELECT MC_Code, 'HUB0000' FROM municipal_data) m "
+    "LEFT JOIN w1 w ON m.MC_Code = w.MC_Code AND m.Hub_ID = w.Hub_ID",
+    "quality_records", "mc_hub_mapping", "municipal_data",
+    ctes=f"w1 AS ({ORACLES['yearly_quality_trend']})")
+ORACLES["year_map"] = (
+    "SELECT MC_Code, Hub_ID, CAST(Year AS VARCHAR) AS Year, Average_WQI, Max_WQI, Min_WQI, Total_Records, Anomaly_Count, "
+    f"Trend, Yearly_Delta FROM ({ORACLES['yearly_quality_trend']}) y")
+ORACLES["trend_by_hub_map"] = ORACLES["quality_trend"]
+ORACLES["report_json"] = ORACLES["yearly_distribution_trend"]
+ORACLES["quality_details"] = with_views(
+    f"SELECT l_orderkey, l_linenumber, {RN(ML_WQI)} AS ML_WQI, Rule_WQI, {q(K.HYBRID_MODEL_TEXT)} AS Hybrid_Model, "
+    "Temperature, pH, BOD, Faecal_Coliform, Total_Coliform, Nitrate_N, Conductivity FROM quality_scored", "quality_scored")
 
 # --------------------------------------------------------- sources and sinks --
 ORACLES["scan_municipal_csv"] = with_views(
