@@ -781,11 +781,21 @@ def train_models(spark, sf):
 
 @register("model_roundtrip")
 def model_roundtrip(spark, sf):
-    """Save, load and score with the loaded models."""
+    """Save and load; every training row is scored alike by the fitted and the loaded models."""
     res = _quality_models(spark, sf)
     loaded = M.load_models(spark, res.path)
-    t = SC.scaled_features(_training(spark, sf), loaded.scaler, prefix="z_")
-    return ISO.score_frame(M.score_wqi(t, loaded.regressor), loaded.forest).select("WQI", "ml_wqi", "anomaly_pred")
+    t = SC.scaled_features(_training(spark, sf), loaded.scaler, prefix="z_").select(*Z_FEATURES)
+    t = M.score_wqi(t, res.models.regressor).withColumnRenamed("ml_wqi", "_fitted")
+    t = ISO.score_frame(M.score_wqi(t, loaded.regressor), res.models.forest, score_col="_s1", label_col="_l1")
+    t = ISO.score_frame(t, loaded.forest, score_col="_s2", label_col="_l2")
+    flagged = F.avg((F.col("_l2") == -1).cast("double"))
+    return t.agg(
+        F.count(F.lit(1)).alias("Rows_Scored"),
+        F.min((F.col("_fitted") == F.col("ml_wqi")) & (F.col("_l1") == F.col("_l2"))).alias("Reloaded_Equal"),
+        flagged.between(K.CONTAMINATION / 2, K.CONTAMINATION * 2).alias("Flagged_Near_Two_Percent"),
+        F.lit(loaded.regressor.stages[-1].getNumTrees).alias("Regression_Trees"),
+        F.lit(int(loaded.forest.nodes["tree_id"].nunique())).alias("Isolation_Trees"),
+    )
 
 
 @register("retrain")

@@ -167,7 +167,8 @@ def quality_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored quality records: one per reading, with gap years per hub, ~1% null WQI and ~2% anomalies.
+    """Stored quality records: one per reading, with gap years per hub, ~1% null WQI, ~1% without a temperature and ~2%
+    anomalies.
 
     A reading that would fall into its hub's gap year is dated a year later.
     """
@@ -184,7 +185,7 @@ def quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_linenumber",
             "MC_Code",
             "Hub_ID",
-            "Temperature",
+            F.when(F.col("l_orderkey") % 89 != 0, F.col("Temperature")).alias("Temperature"),
             "pH",
             "BOD",
             "Faecal_Coliform",

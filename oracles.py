@@ -141,8 +141,8 @@ SELECT *, {rule_wqi_sql()} AS Rule_WQI FROM quality_capped"""
 
 VIEWS["quality_records"] = f"""
 SELECT *, {quality_band_sql('WQI', 1)} AS Category FROM (
-SELECT l_orderkey, l_linenumber, MC_Code, Hub_ID, Temperature, pH, BOD, Faecal_Coliform, Total_Coliform,
-  Nitrate_N AS Nitrate, Conductivity,
+SELECT l_orderkey, l_linenumber, MC_Code, Hub_ID, CASE WHEN l_orderkey % 89 <> 0 THEN Temperature END AS Temperature,
+  pH, BOD, Faecal_Coliform, Total_Coliform, Nitrate_N AS Nitrate, Conductivity,
   CASE WHEN (l_orderkey+l_linenumber)%97=0 THEN NULL ELSE Rule_WQI END AS WQI,
   CASE WHEN (l_orderkey*7+l_linenumber)%50=0 THEN {q(K.ANOMALY)} ELSE {q(K.NORMAL)} END AS Anomaly_Status,
   CASE WHEN (CAST(substr(Hub_ID, 4) AS INT) + year(Created_At)) % 7 = 3 THEN Created_At + INTERVAL 1 YEAR ELSE Created_At END AS Created_At,
@@ -747,6 +747,9 @@ ORACLES["scaled_features"] = with_views(
     # six digits: means are summed in another order on each side
     "SELECT " + ", ".join(f"round((ts.{f} - st.m_{f}) / st.s_{f}, 6) AS z_{f}" for f in _F) + ", ts.WQI FROM ts, st",
     "quality_records", ctes=TRAIN_CTE + ",\n" + _STATS)
+ORACLES["model_roundtrip"] = with_views(
+    "SELECT count(*) AS Rows_Scored, TRUE AS Reloaded_Equal, TRUE AS Flagged_Near_Two_Percent, 200 AS Regression_Trees, "
+    "200 AS Isolation_Trees FROM ts", "quality_records", ctes=TRAIN_CTE)
 ORACLES["anomaly_target"] = with_views(
     f"SELECT Hub_ID, Anomaly_Status, CASE WHEN Anomaly_Status = {q(K.ANOMALY)} THEN -1 ELSE 1 END AS anomaly_target "
     "FROM quality_records", "quality_records")
