@@ -24,15 +24,7 @@ PARAMS = (
 )
 
 # Reading columns come as <param>_Min / <param>_Max pairs.
-READING_PARAMS = (
-    "Temperature",
-    "pH",
-    "Conductivity",
-    "BOD",
-    "Faecal_Coliform",
-    "Total_Coliform",
-    "Nitrate_N",
-)
+READING_PARAMS = PARAMS
 
 # Weight of each sub-score in the rule WQI.
 WEIGHTS = {
@@ -171,6 +163,20 @@ ANOMALIES_FMT = "⚠️ {n} anomalies detected"
 NO_CRITICAL = "✅ No critical risk hubs detected"
 CRITICAL_FMT = "⚠️ {n} critical risk events recorded"
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: sentences of the reports ({...}: the column put in)
+# ---------------------------------------------------------------------------
+
+QUALITY_SUMMARY = ("{Emoji_Status} The AI predicts a WQI of {wqi} ({Category}). {Interpretation} "
+                   "Recommended action: {Recommended_Action}")
+QUALITY_SAVED = "✅ Record saved successfully for Hub {Hub_ID}."
+DISTRIBUTION_COMMENTARY = ("{Emoji_Status} Hub {Hub_ID} operates at {eff}% efficiency ({Performance_Grade}). {Interpretation} "
+                           "Recommended next action: {Advice}")
+DISTRIBUTION_SUMMARY = "{Emoji_Status} {Performance} performance with {eff}% efficiency. {Interpretation}"
+DISTRIBUTION_SAVED = "✅ AI-enhanced distribution prediction saved for Hub {Hub_ID}"
+TREND_COMMENTARY = ("Hub {Hub_ID} shows a {trend} trend overall. Latest efficiency is {efficiency}%. "
+                    "Volatility Index: {volatility}.")
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: division dimension (code, name, head, region)
 # ---------------------------------------------------------------------------

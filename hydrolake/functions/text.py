@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def sentence(template: str, **given: Column) -> Column:
+    """A sentence of the reports: ``{name}`` is the given text column, or else the column of that name."""
+    parts = [p for p in re.split(r"(\{\w+\})", template) if p]
+    return F.concat(*[given.get(p[1:-1], F.col(p[1:-1])) if p.startswith("{") else F.lit(p) for p in parts])
 
 
 def num_text(x: Column) -> Column:

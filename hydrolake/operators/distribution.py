@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hydrolake import constants as K
 from hydrolake.functions.numeric import rn, safe_divide
 from hydrolake.functions import sqltext as S
-from hydrolake.functions.text import num_text
+from hydrolake.functions.text import num_text, sentence
 
 
 # D1 -------------------------------------------------------------------------
@@ -135,16 +135,9 @@ def distribution_text(df: DataFrame, eff_col: str = "Predicted_Supply_Efficiency
     eff = num_text(F.col(eff_col))
     return df.withColumns(
         {
-            "AI_Commentary": F.concat(
-                F.col("Emoji_Status"), F.lit(" Hub "), F.col("Hub_ID"), F.lit(" operates at "), eff,
-                F.lit("% efficiency ("), F.col("Performance_Grade"), F.lit("). "), F.col("Interpretation"),
-                F.lit(" Recommended next action: "), F.col("Advice"),
-            ),
-            "Summary": F.concat(
-                F.col("Emoji_Status"), F.lit(" "), F.col("Performance"), F.lit(" performance with "), eff,
-                F.lit("% efficiency. "), F.col("Interpretation"),
-            ),
-            "Message": F.concat(F.lit("✅ AI-enhanced distribution prediction saved for Hub "), F.col("Hub_ID")),
+            "AI_Commentary": sentence(K.DISTRIBUTION_COMMENTARY, eff=eff),
+            "Summary": sentence(K.DISTRIBUTION_SUMMARY, eff=eff),
+            "Message": sentence(K.DISTRIBUTION_SAVED),
         }
     )
 

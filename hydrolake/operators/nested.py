@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # N1 -------------------------------------------------------------------------
@@ -60,7 +59,3 @@ def report_json(df: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
     key_cols = key_cols or [c for c in ("MC_Code", "Hub_ID") if c in df.columns]
     body = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
     return df.select(*key_cols, body.alias("json"))
-
-
-def empty_years_type() -> T.DataType:
-    return T.MapType(T.StringType(), T.StringType())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.functions import sqltext as S
+from hydrolake.functions.text import sentence
 
 FEATURE_COLUMNS = K.PARAMS  # midpoint columns, rule naming (Nitrate_N)
 
@@ -184,14 +185,11 @@ def anomaly_label(df: DataFrame, pred_col: str = "anomaly_pred") -> DataFrame:
 # Q10 ------------------------------------------------------------------------
 def quality_text(df: DataFrame, ml_col: str = "ml_wqi") -> DataFrame:
     """Summary and message sentences plus the model/rule details."""
-    wqi_text = "`WQI_Text`" if "WQI_Text" in df.columns else "CAST(`WQI` AS STRING)"
+    wqi_text = F.col("WQI_Text") if "WQI_Text" in df.columns else F.col("WQI").cast("string")
     return df.withColumns(
         {
-            "AI_Summary": F.expr(
-                f"concat(`Emoji_Status`, ' The AI predicts a WQI of ', {wqi_text}, ' (', `Category`, '). ', "
-                "`Interpretation`, ' Recommended action: ', `Recommended_Action`)"
-            ),
-            "Message": F.expr("concat('✅ Record saved successfully for Hub ', `Hub_ID`, '.')"),
+            "AI_Summary": sentence(K.QUALITY_SUMMARY, wqi=wqi_text),
+            "Message": sentence(K.QUALITY_SAVED),
             "ML_WQI": F.expr(S.rn(f"`{ml_col}`", 2)),
             "Hybrid_Model": F.lit(K.HYBRID_MODEL_TEXT),
         }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.functions.numeric import nonfinite_to_null, rn
+from hydrolake.functions.text import sentence
 from hydrolake.operators.filters import report_year
 from hydrolake.operators.joins import newest_per_mc
 from hydrolake.operators import aggregates as A
@@ -171,11 +172,8 @@ def yearly_distribution_trend(distribution: DataFrame) -> DataFrame:
     commentary repeat on each of the hub's rows.
     """
     y = _hub_level(yearly_distribution_windows(distribution))
-    commentary = F.concat(
-        F.lit("Hub "), F.col("Hub_ID"), F.lit(" shows a "), lower_na_text(F.col("Long_Term_Trend")),
-        F.lit(" trend overall. Latest efficiency is "), na_text(F.col("Latest_Efficiency")),
-        F.lit("%. Volatility Index: "), na_text(F.col("Latest_Volatility")), F.lit("."),
-    )
+    commentary = sentence(K.TREND_COMMENTARY, trend=lower_na_text(F.col("Long_Term_Trend")),
+                          efficiency=na_text(F.col("Latest_Efficiency")), volatility=na_text(F.col("Latest_Volatility")))
     return y.select(
         *HUB_KEYS,
         "Year",
