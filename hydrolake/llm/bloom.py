@@ -75,13 +75,25 @@ def marked(rows: DataFrame, keys: DataFrame, col: str, mark: str) -> DataFrame:
     return rows.withColumn(mark, may(F.xxhash64(col)))
 
 
+#: so many counted long keys (8 MB) are broadcast
+SMALL_KEYS = 500_000
+
+
 def semi_join(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """``rows`` whose ``col`` is among the stored, distinct ``keys``: only rows that may be are shuffled."""
+    """``rows`` whose ``col`` is among the stored, distinct long ``keys``.
+
+    Up to :data:`SMALL_KEYS` counted keys are broadcast; beyond, only rows that
+    may be among them are shuffled.
+    """
+    if keys.count() <= SMALL_KEYS:
+        return rows.join(F.broadcast(keys.select(col)), col, "left_semi")
     return marked(rows, keys, col, "_may").filter("_may").drop("_may").join(keys.select(col), col, "left_semi")
 
 
 def anti_join(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """``rows`` whose ``col`` is not among the stored, distinct ``keys``: only rows that may be are shuffled."""
+    """``rows`` whose ``col`` is not among the stored, distinct long ``keys`` (see :func:`semi_join`)."""
+    if keys.count() <= SMALL_KEYS:
+        return rows.join(F.broadcast(keys.select(col)), col, "left_anti")
     both = marked(rows, keys, col, "_may")
     rest = both.filter("_may").drop("_may").join(keys.select(col), col, "left_anti").select(*rows.columns)
     return both.filter("not _may").select(*rows.columns).unionByName(rest)

@@ -123,3 +123,14 @@ def test_passages_find_all_exact_repeats(spark):
 def test_passages_empty(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     assert passages.repeated_passages(frame(spark, [(None, prose(1, 90), "", "", 1), (1, None, "", "", 1), (None, prose(1, 90), "", "", 1)])).count() == 0
+
+
+def test_text_joins_beyond_broadcast(spark, monkeypatch):
+    from hydrolake.llm import bloom
+
+    rows = spark.range(2000).withColumnRenamed("id", "d").selectExpr("d", "cast(d as string) AS x")
+    keys = spark.range(0, 2000, 7).withColumnRenamed("id", "d")
+    for small in (10**6, 0):
+        monkeypatch.setattr(bloom, "SMALL_KEYS", small)
+        assert {r.d for r in bloom.semi_join(rows, keys, "d").collect()} == set(range(0, 2000, 7))
+        assert {r.d for r in bloom.anti_join(rows, keys, "d").collect()} == set(range(2000)) - set(range(0, 2000, 7))
