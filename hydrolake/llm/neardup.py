@@ -1,13 +1,16 @@
 """Near-duplicate documents by chosen-path set similarity join (operator 4).
 
 Texts become sets of word shingles, sets become ``COORDS`` minwise tokens, and
-equal sets are one set from there on.  In each of ``trees`` independent random
+equal sets are one set from there on.  In each of several independent random
 trees, every node draws one of the coordinates (one time in four a second one)
 from its own path; a set moves to the child named by its minwise token there.  A
 pair of similarity s stays together with probability s a child, and 1.25
-children a node keep the expected number of common paths at 1 for s = 0.8, so
-``trees`` trees miss such a pair with a chance below 1e-5 at the starting depth.
-Nodes of at most ``LEAF`` sets are compared exhaustively; larger ones branch on.
+children a node keep the expected number of common paths at 1 for s = 0.8, but
+the chance that none is left grows with the depth.  Nodes of at most ``LEAF`` sets
+are compared exhaustively; larger ones branch on, and their sets get as many
+further trees as it takes that a pair of similarity 0.8 shares no node of the
+next depth with a chance of at most ``MISS`` (:func:`trees_at`: 10 trees at depth
+2, 39 at depth 8).
 
 A large node whose sets are much alike is a family of near copies or of texts
 around one passage, which branching would not part (and so is what is still
@@ -30,6 +33,9 @@ columns do not matter.
 
 from __future__ import annotations
 
+from itertools import count
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +48,8 @@ from hydrolake.llm.common import components, stored, table
 
 COORDS, TREES = 96, 10
 START, LAST, LEAF = 2, 8, 48
+#: chance a depth that a pair of similarity 0.8 meets in no tree, over the spread of its ``COORDS`` tokens
+MISS = 2e-5
 #: a node is a family if its sets agree with its pivot in so many of the first ``PROBE`` coordinates on average
 FAMILY, PROBE, BLOCK = 0.4, 16, 512
 #: agreement of minwise tokens from which a pair is verified: at similarity 0.8 five standard deviations are 0.2
@@ -120,14 +128,31 @@ def _branch(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-def _grow(trees: int, depth: int):
-    """``(d, sig)`` to the nodes at ``depth`` of every tree."""
+def miss_chance(trees: int, depth: int, similarity: float = 0.8) -> float:
+    """Chance that two sets share no node at ``depth`` in any of ``trees`` trees."""
+    out = 0.0
+    for agree in range(COORDS + 1):
+        parted = 0.0
+        for _ in range(depth):
+            child = 1 - agree / COORDS * (1 - parted)
+            parted = 0.75 * child + 0.25 * child * child
+        out += comb(COORDS, agree) * similarity**agree * (1 - similarity)**(COORDS - agree) * parted**trees
+    return out
+
+
+def trees_at(depth: int) -> int:
+    """Trees with which a pair of similarity 0.8 is missed at ``depth`` with a chance of at most ``MISS``."""
+    return next(n for n in count(1) if miss_chance(n, depth) <= MISS)
+
+
+def _grow(first: int, trees: int, depth: int):
+    """``(d, sig)`` to the nodes at ``depth`` of the trees from ``first`` to before ``trees``."""
     def run(batches):
         for b in batches:
             sig, d = _sigs(b.column(1)), b.column(0).to_numpy()
             if not len(d):
                 continue
-            for tree in range(trees):
+            for tree in range(first, trees):
                 rows, node = np.arange(len(d)), np.full(len(d), T.stream(1, 500 + tree)[0])
                 for _ in range(depth):
                     at, node = _branch(node, sig[rows])
@@ -268,7 +293,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     sig = stored(sig, "signatures")
 
     few = sig.select("d", F.slice("sig", 1, PROBE).alias("few"))
-    nodes = sig.mapInArrow(_grow(trees, START), "node long, d long").distinct()
+    nodes = sig.mapInArrow(_grow(0, trees, START), "node long, d long").distinct()
     pairs, families = [], []
     for depth in range(START, LAST + 1):
         nodes = stored(nodes, "nodes")
@@ -292,7 +317,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         tight = big.join(few, "d").join(pivot, "p").groupBy("node").agg(F.avg(alike).alias("like")).filter(F.col("like") >= FAMILY).select("node")
         tight = stored(tight, "tight")
         families.append(big.join(tight, "node", "left_semi"))
-        nodes = big.join(tight, "node", "left_anti").join(sig, "d").select("node", "d", "sig").mapInArrow(_deeper, "node long, d long").distinct()
+        open_ = big.join(tight, "node", "left_anti").select("node", "d")
+        nodes = open_.join(sig, "d").select("node", "d", "sig").mapInArrow(_deeper, "node long, d long")
+        # a pair that is still open has both sets here: further trees for them make up for the depth
+        more = max(trees, trees_at(depth + 1))
+        if more > trees:
+            again = stored(open_.select("d").distinct(), "again")
+            nodes = nodes.unionByName(sig.join(again, "d", "left_semi").select("d", "sig").mapInArrow(_grow(trees, more, depth + 1), "node long, d long"))
+        trees = more
+        nodes = nodes.distinct()
 
     family = None
     if families:

@@ -1,6 +1,7 @@
 """Near duplicates and repeated passages against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hydrolake.llm import common, neardup, passages
@@ -47,6 +48,37 @@ def test_near_duplicates_nulls_repeats_empty(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2] and kept.columns == docs.columns
 
 
+def test_near_duplicates_deep_trees_meet_the_stated_chance():
+    """Pairs of similarity 0.8 share a node at every depth that stays open, not only at the first."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    a = rng.integers(0, 1 << 32, (n, neardup.COORDS), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    sigs = pa.ListArray.from_arrays(pa.array(np.arange(2 * n + 1, dtype=np.int32) * neardup.COORDS), pa.array(np.r_[a, b].reshape(-1).view(np.int32)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(n), np.arange(n)]), sigs], names=["d", "sig"])
+    for depth in (4, neardup.LAST):
+        met, trees = np.zeros(n, bool), neardup.trees_at(depth)
+        assert neardup.miss_chance(trees, depth) <= neardup.MISS < neardup.miss_chance(neardup.TREES, depth)
+        for out in neardup._grow(0, trees, depth)([batch]):
+            _, at, size = np.unique(np.c_[out.column(0).to_numpy(), out.column(1).to_numpy()], axis=0, return_index=True, return_counts=True)
+            met[out.column(1).to_numpy()[at[size > 1]]] = True
+        assert (~met).sum() <= 1
+
+
+def test_near_duplicates_grow_trees_with_the_depth(spark, monkeypatch):
+    """Sets around one common passage stay in large nodes: each depth gets the trees it needs."""
+    grown = []
+    grow = neardup._grow
+    monkeypatch.setattr(neardup, "_grow", lambda *a: grown.append(a) or grow(*a))
+    monkeypatch.setattr(neardup, "LEAF", 3)
+    monkeypatch.setattr(neardup, "LAST", 4)
+    common = prose(8, 30)
+    rows = [(2 * i + j, near(common + " " + prose(3000 + i, 60), j, j), "", "", 1) for i in range(25) for j in range(2)]
+    got = {r.doc_id: r.component_id for r in neardup.link(frame(spark, rows)).collect()}
+    assert got == components([r[0] for r in rows], brute_links([(r[0], r[1]) for r in rows], 2))
+    assert [a[1:] for a in grown] == [(neardup.trees_at(d), d) for d in (2, 3, 4)]
+
+
 def test_components(spark):
     import random
 
