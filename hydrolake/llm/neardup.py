@@ -176,7 +176,7 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _leaf_pairs(batches):
-    """Candidate pairs within nodes; rows ``(node, d, sig)`` come sorted by node, at most ``LEAF`` a node."""
+    """Candidate pairs within nodes; rows ``(node, d, sig)`` come sorted by node, at most ``LEAF`` ids a node."""
     held = None
     for b in _and_end(batches):
         if b is None:
@@ -200,7 +200,8 @@ def _and_end(batches):
 
 
 def _pairs_of(node: np.ndarray, d: np.ndarray, sig: np.ndarray):
-    for k in range(1, LEAF):
+    # a node of at most ``LEAF`` ids holds more rows where ids repeat with different texts
+    for k in count(1):
         at = np.flatnonzero(node[:-k] == node[k:]) if len(node) > k else np.zeros(0, np.int64)
         if not len(at):
             return

@@ -79,6 +79,16 @@ def test_near_duplicates_grow_trees_with_the_depth(spark, monkeypatch):
     assert [a[1:] for a in grown] == [(neardup.trees_at(d), d) for d in (2, 3, 4)]
 
 
+def test_near_duplicates_leaf_with_repeated_ids():
+    """A leaf of few ids may hold more than ``LEAF`` rows: the first and the last are still compared."""
+    n = 3 * neardup.LEAF
+    sig = np.random.default_rng(4).integers(0, 1 << 32, (n, neardup.COORDS), dtype=np.uint32)
+    sig[-1] = sig[0]
+    d = np.r_[1, np.repeat(2, n - 2), 3]
+    got = [p for b in neardup._pairs_of(np.zeros(n, np.int64), d, sig) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [(1, 3)]
+
+
 def test_components(spark):
     import random
 
