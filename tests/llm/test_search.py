@@ -162,6 +162,21 @@ def test_passages_find_all_exact_repeats(spark):
     assert {x for r in got for x in (r.doc_id, r.match_doc_id)} == want
 
 
+def test_passages_of_many_versions_of_one_notice(spark):
+    """Each version stands in two documents; the smallest ids of a group mostly hold other versions."""
+    import random
+
+    r = random.Random(11)
+    ids = r.sample(range(1000), 240)
+    rows, notice = [], prose(70, 50).split()
+    for v in range(120):
+        text = list(notice)
+        text[16], text[33] = f"name{v}", f"place{v}"
+        rows += [(i, prose(5000 + i, 60) + " " + " ".join(text) + " " + prose(7000 + i, 60), "", "", 1) for i in ids[2 * v:2 * v + 2]]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {i for r in got for i in (r.doc_id, r.match_doc_id)} == set(ids)
+
+
 def test_passages_empty(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     assert passages.repeated_passages(frame(spark, [(None, prose(1, 90), "", "", 1), (1, None, "", "", 1), (None, prose(1, 90), "", "", 1)])).count() == 0
