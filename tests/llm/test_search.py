@@ -177,6 +177,26 @@ def test_passages_of_many_versions_of_one_notice(spark):
     assert {i for r in got for i in (r.doc_id, r.match_doc_id)} == set(ids)
 
 
+@pytest.mark.parametrize("swapped", [False, True])
+def test_passages_of_unequal_sides(spark, swapped):
+    """52 words and the same without two neighbouring ones: 42 common shingles of 48 and 46."""
+    whole = [f"word{i}" for i in range(52)]
+    sides = [prose(80, 40) + " " + " ".join(w) + " " + prose(81 + len(w), 40) for w in (whole, whole[:24] + whole[26:])]
+    rows = [(i, t, "", "", 1) for i, t in zip((2, 1) if swapped else (1, 2), sides)]
+    got = passages.repeated_passages(frame(spark, rows), hashes=24).collect()
+    assert {(r.doc_id, r.match_doc_id) for r in got} == {(2, 1)}
+
+
+def test_agreements_trim_what_fails():
+    """A passage with strays behind it on one side is found without them; on both sides alike."""
+    a = np.arange(1, 61)
+    b = np.r_[a[:50], np.arange(900, 915), a[50:52], np.arange(950, 990)]
+    x = np.r_[a, np.arange(500, 540)]
+    for one, two in ((x, b), (b, x)):
+        (lo, hi, lo2, hi2, similarity), = passages.agreements(one, two, 46, 80)
+        assert (lo, lo2) == (0, 0) and min(hi, hi2) >= 50 and similarity >= 0.8
+
+
 def test_passages_empty(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     assert passages.repeated_passages(frame(spark, [(None, prose(1, 90), "", "", 1), (1, None, "", "", 1), (None, prose(1, 90), "", "", 1)])).count() == 0
