@@ -187,6 +187,23 @@ def test_passages_of_unequal_sides(spark, swapped):
     assert {(r.doc_id, r.match_doc_id) for r in got} == {(2, 1)}
 
 
+def test_passages_at_a_second_place(spark):
+    """The smallest document holds half of the passage earlier, and the other one holds it twice, far apart."""
+    shared = prose(90, 60)
+    half = " ".join(shared.split()[:45])
+    rows = [(1, half + " " + prose(91, 80) + " " + shared + " " + prose(92, 50), "", "", 1),
+            (2, shared + " " + prose(93, 110) + " " + shared + " " + prose(94, 30), "", "", 1)]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {r.start_word for r in got if r.n_words >= 58 and 120 <= r.match_start_word <= 127} >= {0, 170}
+
+
+def test_agreements_of_a_repeated_passage():
+    """One side holds the passage twice, more than 1.5 lengths apart."""
+    a, far = np.arange(1, 51), np.arange(500, 600)
+    got = passages.agreements(a, np.r_[a, far, a], 46, 80)
+    assert {(lo, hi, lo2, hi2) for lo, hi, lo2, hi2, _ in got} == {(0, 50, 0, 50), (0, 50, 150, 200)}
+
+
 def test_agreements_trim_what_fails():
     """A passage with strays behind it on one side is found without them; on both sides alike."""
     a = np.arange(1, 61)
