@@ -187,6 +187,17 @@ def test_passages_of_unequal_sides(spark, swapped):
     assert {(r.doc_id, r.match_doc_id) for r in got} == {(2, 1)}
 
 
+def test_passages_recall_of_near_passages(spark):
+    """100 pairs of 50-word passages with one word changed (41 of 51 shingles agree)."""
+    rows = []
+    for i in range(100):
+        p = prose(20_000 + i, 50).split()
+        q = [*p[:20], f"changed{i}", *p[21:]]
+        rows += [(2 * i + j, prose(30_000 + 2 * i + j, 20) + " " + " ".join(w) + " " + prose(40_000 + 2 * i + j, 20), "", "", 1) for j, w in enumerate((p, q))]
+    got = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert {(2 * i + 1, 2 * i) for i in range(100)} <= got
+
+
 def test_passages_at_a_second_place(spark):
     """The smallest document holds half of the passage earlier, and the other one holds it twice, far apart."""
     shared = prose(90, 60)
