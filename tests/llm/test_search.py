@@ -225,6 +225,17 @@ def test_agreements_trim_what_fails():
         assert (lo, lo2) == (0, 0) and min(hi, hi2) >= 50 and similarity >= 0.8
 
 
+def test_passages_of_an_id_with_a_copy_and_another_text(spark):
+    """Only the copy is set aside; the id's other text is searched, whichever of the two hashes is smaller."""
+    rows = []
+    for i in range(0, 40, 4):
+        same, shared = prose(600 + i, 80), prose(700 + i, 60)
+        rows += [(i, same, "", "", 1), (i + 2, same, "", "", 1), (i + 2, prose(800 + i, 30) + " " + shared, "", "", 1),
+                 (i + 1, shared + " " + prose(900 + i, 30), "", "", 1)]
+    got = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {p for i in range(0, 40, 4) for p in ((i + 2, i), (i + 2, i + 1))}
+
+
 def test_passages_empty(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     assert passages.repeated_passages(frame(spark, [(None, prose(1, 90), "", "", 1), (1, None, "", "", 1), (None, prose(1, 90), "", "", 1)])).count() == 0
