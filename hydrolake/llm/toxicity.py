@@ -6,9 +6,12 @@ so ``idxiot`` stays close to ``idiot`` and an insult's stem is found under any
 ending; marks between letters (``i-d-i.o t``) are passed over.  A few hundred tokens of the training sample are the
 landmarks; the kernels with them, whitened by the landmarks' own kernel matrix,
 are the features of a linear SVM (Nyström).  Labels hold for documents, so it
-is trained as multiple-instance SVM: each clean sentence is a negative, and of
-each toxic document the sentence with the highest score so far is a positive;
-a sentence scores as its most suspicious token.
+is trained as multiple-instance SVM whose unit is the blank-separated token of 3
+to 40 bytes: tokens of clean documents are negatives, and of each toxic document
+the token with the highest score so far, if it has one that no clean sample
+document holds, is a positive; a document scores as its most suspicious token.
+This misses an insult of several ordinary words, which is never learnt, and one
+inside a long token without blanks, which the token's norm dilutes.
 
 The SVM's weights fold the landmarks into one table over symbol triples:
 ``f(token) = sum of table[triple] * weight / norm(token) + bias`` is exactly the
