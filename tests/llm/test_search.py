@@ -181,7 +181,7 @@ def test_passages_of_many_versions_of_one_notice(spark):
 def test_passages_of_unequal_sides(spark, swapped):
     """52 words and the same without two neighbouring ones: 42 common shingles of 48 and 46."""
     whole = [f"word{i}" for i in range(52)]
-    sides = [prose(80, 40) + " " + " ".join(w) + " " + prose(81 + len(w), 40) for w in (whole, whole[:24] + whole[26:])]
+    sides = [prose(180 + len(w), 40) + " " + " ".join(w) + " " + prose(81 + len(w), 40) for w in (whole, whole[:24] + whole[26:])]
     rows = [(i, t, "", "", 1) for i, t in zip((2, 1) if swapped else (1, 2), sides)]
     got = passages.repeated_passages(frame(spark, rows), hashes=24).collect()
     assert {(r.doc_id, r.match_doc_id) for r in got} == {(2, 1)}
