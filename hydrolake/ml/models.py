@@ -1,61 +1,43 @@
 """Random-forest models (M2, M5–M7), evaluation (M10), labels (M11), persistence.
 
-Forests are ``pyspark.ml`` estimators: training aggregates split statistics
-per tree level across the cluster, so no training row leaves its executor.
+Forests are :mod:`hydrolake.ml.forest`'s: grown to purity, as the original's,
+and kept as a table of node arrays.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolake import constants as K
+from hydrolake.ml import forest as FO
 from hydrolake.ml import isolation as ISO
 from hydrolake.ml import scaler as SC
 
-# Trees grow until their leaves are pure; 30 is the deepest that Spark allows.
-DEFAULT_DEPTH = 30
-# a pass over the rows splits as many nodes as their statistics fit in so much memory
-MAX_MEMORY_MB = 1024
-
-
-def _forest_pipeline(features: Sequence[str], estimator) -> Pipeline:
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, estimator.setMaxMemoryInMB(MAX_MEMORY_MB)])
-
 
 def complete(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Rows that a model can learn from: no feature and no label is null or NaN."""
     return df.dropna(subset=[*features, label])
 
 
-def scoring(model: PipelineModel) -> PipelineModel:
-    """The model for scoring: a row with a null or NaN feature is scored (as NaN), never skipped."""
-    keep = [s.copy().setHandleInvalid("keep") if isinstance(s, VectorAssembler) else s for s in model.stages]
-    return PipelineModel(stages=keep)
-
-
 # M2 -------------------------------------------------------------------------
 def train_wqi_regressor(df: DataFrame, features: Sequence[str], label: str = "WQI", num_trees: int = K.N_TREES,
-                        max_depth: int = DEFAULT_DEPTH, seed: int = K.SEED) -> PipelineModel:
-    """Random forest on all features per split (bootstrap rows), seeded."""
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="ml_wqi", numTrees=num_trees,
-                               maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)
-    return _forest_pipeline(features, rf).fit(complete(df, features, label))
+                        max_depth: int | None = None, seed: int = K.SEED,
+                        key: Sequence[str] | None = None, bootstrap: bool = True) -> FO.ForestModel:
+    """Random forest on all features per split (bootstrap rows), seeded, of unlimited depth by default."""
+    return FO.fit_forest(complete(df, features, label), features, label, num_trees, seed, key=key, max_depth=max_depth,
+                         bootstrap=bootstrap)
 
 
 # M5 -------------------------------------------------------------------------
-def score_wqi(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Adds ``ml_wqi``; helper columns of the pipeline are dropped."""
-    return scoring(model).transform(df).drop("features")
+def score_wqi(df: DataFrame, model: FO.ForestModel) -> DataFrame:
+    """Adds ``ml_wqi``; a row with a null or NaN feature is scored (as NaN), never skipped."""
+    return FO.score_forest(df, model, "ml_wqi")
 
 
 # M6 -------------------------------------------------------------------------
@@ -65,14 +47,13 @@ def efficiency_target(df: DataFrame) -> DataFrame:
                          F.try_divide(F.col("Current_Supply_MLD"), F.col("Total_Demand_MLD")) * F.lit(100.0))
 
 
-def train_efficiency_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth: int = DEFAULT_DEPTH,
-                           seed: int = K.SEED, target: str = "efficiency_target") -> PipelineModel:
+def train_efficiency_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth: int | None = None,
+                           seed: int = K.SEED, target: str = "efficiency_target",
+                           key: Sequence[str] | None = None) -> FO.ForestModel:
     if target not in df.columns:
         df = efficiency_target(df)
     df = complete(df, K.DIST_FEATURES, target)
-    rf = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="eff_pred",
-                               numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)
-    return _forest_pipeline(K.DIST_FEATURES, rf).fit(df)
+    return FO.fit_forest(df, K.DIST_FEATURES, target, num_trees, seed, key=key, max_depth=max_depth)
 
 
 # M7 -------------------------------------------------------------------------
@@ -82,23 +63,30 @@ def criticality_label(df: DataFrame, cut: float = K.PUMPING_CUT) -> DataFrame:
     return df.withColumn("risk_label", F.when(ratio < F.lit(cut), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def train_criticality_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth: int = DEFAULT_DEPTH,
-                            seed: int = K.SEED, cut: float = K.PUMPING_CUT,
-                            label: str = "risk_label") -> PipelineModel:
+def train_criticality_model(df: DataFrame, num_trees: int = K.N_TREES, max_depth: int | None = None,
+                            seed: int = K.SEED, cut: float = K.PUMPING_CUT, label: str = "risk_label",
+                            key: Sequence[str] | None = None, bootstrap: bool = True) -> FO.ForestModel:
+    """A classifier: ⌊√5⌋ features are tried per split, and the trees' class shares are averaged."""
     if label not in df.columns:
         df = criticality_label(df, cut)
     df = complete(df, K.DIST_FEATURES, label)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, predictionCol="risk_pred_d",
-                                rawPredictionCol="risk_raw", probabilityCol="risk_prob", numTrees=num_trees,
-                                maxDepth=max_depth, seed=seed)
-    return _forest_pipeline(K.DIST_FEATURES, rf).fit(df)
+    return FO.fit_forest(df, K.DIST_FEATURES, label, num_trees, seed, key=key, max_depth=max_depth,
+                         tries=math.isqrt(len(K.DIST_FEATURES)), classes=True, bootstrap=bootstrap)
+
+
+def score_efficiency(df: DataFrame, model: FO.ForestModel) -> DataFrame:
+    """Adds ``eff_pred``."""
+    return FO.score_forest(df, model, "eff_pred")
+
+
+def score_criticality(df: DataFrame, model: FO.ForestModel) -> DataFrame:
+    """Adds ``risk_pred`` (0/1)."""
+    return FO.score_forest(df, model, "risk_pred")
 
 
-def score_distribution_models(df: DataFrame, eff_model: PipelineModel, risk_model: PipelineModel) -> DataFrame:
+def score_distribution_models(df: DataFrame, eff_model: FO.ForestModel, risk_model: FO.ForestModel) -> DataFrame:
     """Adds ``eff_pred`` (double) and ``risk_pred`` (0/1 int) from the two forests."""
-    out = scoring(eff_model).transform(df).drop("features")
-    out = scoring(risk_model).transform(out).drop("features", "risk_raw", "risk_prob")
-    return out.withColumn("risk_pred", F.col("risk_pred_d").cast("int")).drop("risk_pred_d")
+    return score_criticality(score_efficiency(df, eff_model), risk_model)
 
 
 # M10 ------------------------------------------------------------------------
@@ -123,7 +111,7 @@ def anomaly_target(df: DataFrame, status_col: str = "Anomaly_Status", out: str =
 @dataclass
 class QualityModels:
     scaler: dict[str, tuple[float, float]]
-    regressor: PipelineModel
+    regressor: FO.ForestModel
     forest: ISO.IsolationForestModel
     features: list[str] = field(default_factory=lambda: list(K.ML_FEATURES))
 
@@ -136,10 +124,10 @@ def save_models(spark: SparkSession, models: QualityModels, path: str, version:
     """Save scaler, regressor and forest; also version-stamped copies of the two models."""
     base = path.rstrip("/")
     SC.stats_to_frame(spark, models.scaler).write.mode("overwrite").parquet(f"{base}/wqi_scaler")
-    models.regressor.write().overwrite().save(f"{base}/wqi_regressor")
+    FO.save(spark, models.regressor, f"{base}/wqi_regressor")
     ISO.save_forest(spark, models.forest, f"{base}/isolation_forest")
     if version:
-        models.regressor.write().overwrite().save(f"{base}/wqi_regressor_{version}")
+        FO.save(spark, models.regressor, f"{base}/wqi_regressor_{version}")
         ISO.save_forest(spark, models.forest, f"{base}/isolation_forest_{version}")
     return base
 
@@ -147,5 +135,5 @@ def save_models(spark: SparkSession, models: QualityModels, path: str, version:
 def load_models(spark: SparkSession, path: str) -> QualityModels:
     base = path.rstrip("/")
     scaler = SC.stats_from_frame(spark.read.parquet(f"{base}/wqi_scaler"))
-    return QualityModels(scaler, PipelineModel.load(f"{base}/wqi_regressor"),
+    return QualityModels(scaler, FO.load(spark, f"{base}/wqi_regressor"),
                          ISO.load_forest(spark, f"{base}/isolation_forest"), list(scaler))

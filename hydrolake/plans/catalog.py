@@ -297,6 +297,21 @@ def quarantine_readings(spark, sf):
     return spark.read.parquet(path).select(F.col("event_id").cast("long"), "MC_Code", "Hub_ID", "BOD", "Created_At", "Rejected_Fields")
 
 
+@register("validate_one_pass")
+def validate_one_pass(spark, sf):
+    """Both halves of one pass over the readings; every reading is in exactly one of them."""
+    from hydrolake.sources import io
+
+    rejects = scratch_path(spark, "quarantine")
+    ok = io.split_once(_dirty_readings(spark, sf), DIRTY_TYPES, rejects)
+    cols = ("event_id", "MC_Code", "Hub_ID")
+    good = ok.select(*cols, "BOD", "Created_At", F.lit(None).cast("string").alias("Rejected_Fields"))
+    bad = spark.read.parquet(rejects).select(
+        F.col("event_id").cast("long").alias("event_id"), *cols[1:], F.lit(None).cast("double").alias("BOD"),
+        F.lit(None).cast("date").alias("Created_At"), "Rejected_Fields")
+    return good.unionByName(bad)
+
+
 # ------------------------------------------------------------------- filters --
 @register("tenant_filter")
 def tenant_filter(spark, sf):
@@ -618,10 +633,11 @@ def append_distribution(spark, sf):
 
 @register("mark_used_for_training")
 def mark_used_for_training(spark, sf):
-    src = scratch_path(spark, "records-before")
-    X.quality_records(spark, sf).write.partitionBy("MC_Code").parquet(src)
-    dst = io.mark_used_snapshot(spark, src, scratch_path(spark, "records-after"))
-    return io.read_records(spark, dst).select("MC_Code", "Hub_ID", "WQI", "Created_At", "Used_For_Training")
+    """The flag of all stored records, updated in place."""
+    path = scratch_path(spark, "records")
+    io.append_records(X.quality_records(spark, sf), path, batch_id=0)
+    io.mark_used_in_place(spark, path)
+    return io.read_records(spark, path).select("MC_Code", "Hub_ID", "WQI", "Created_At", "Used_For_Training")
 
 
 @register("scan_training")
@@ -664,25 +680,29 @@ from hydrolake.ml import models as M  # noqa: E402
 from hydrolake.ml import scaler as SC  # noqa: E402
 from hydrolake.plans import training as TR  # noqa: E402
 
-# The original's number of trees; nothing that is trained outlives its query.
-# Its trees have no depth limit (the library's default is Spark's largest, 30);
-# the queries stop at 10: see README, "Forest sizes", for the measured cost.
-RF_TREES, RF_DEPTH = K.N_TREES, 10
-ISO_TREES = K.N_TREES
+# The original's number of trees, grown to purity; nothing that is trained outlives its query.
+RF_TREES = ISO_TREES = K.N_TREES
+RECORD_KEY = ("l_orderkey", "l_linenumber", "Hub_ID", "Created_At")  # unique in the driver's tables
+READING_KEY = ("o_orderkey",)
 
 
-def _training(spark, sf):
-    return TR.training_set(X.quality_records(spark, sf))
+def _spread(df):
+    """Rows over all cores, by their content: the driver's tables are single, unsplittable files."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+
+
+def _training(spark, sf, key=()):
+    return TR.training_set(X.quality_records(spark, sf), key)
 
 
 def _quality_models(spark, sf) -> TR.TrainingResult:
-    return TR.train_models(spark, X.quality_records(spark, sf), scratch_path(spark, "models"), num_trees=RF_TREES, max_depth=RF_DEPTH,
-                           forest_trees=ISO_TREES, version=M.version_stamp())
+    return TR.train_models(spark, X.quality_records(spark, sf), scratch_path(spark, "models"), num_trees=RF_TREES,
+                           forest_trees=ISO_TREES, version=M.version_stamp(), key=RECORD_KEY)
 
 
 def _scaled_training(spark, sf):
     """The stored training set, its scaler and the scaled rows."""
-    t = _training(spark, sf).checkpoint(eager=True)
+    t = _spread(_training(spark, sf, RECORD_KEY)).checkpoint(eager=True)
     stats = SC.fit_scaler(t, K.ML_FEATURES)
     return SC.scaled_features(t, stats, prefix="z_")
 
@@ -729,53 +749,72 @@ def regression_eval(spark, sf):
 def train_wqi_regressor(spark, sf):
     """M2 + M10: the fitted regressor's fit on its training data (R², MAE, N)."""
     t = _scaled_training(spark, sf)
-    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES, key=RECORD_KEY)
     return M.regression_eval(M.score_wqi(t, model))
 
 
 @register("train_isolation_forest")
 def train_isolation_forest(spark, sf):
     """M3: the forest as a node table (bounded by trees × (2ψ − 1) rows)."""
-    forest = ISO.fit_isolation_forest(_scaled_training(spark, sf), Z_FEATURES, n_trees=ISO_TREES)
-    return spark.createDataFrame(forest.nodes, ISO.NODE_SCHEMA)
+    forest = ISO.fit_isolation_forest(_scaled_training(spark, sf), Z_FEATURES, n_trees=ISO_TREES, key=RECORD_KEY)
+    nodes = spark.createDataFrame(forest.nodes, ISO.NODE_SCHEMA)
+    # six digits: the features are scaled by sums taken in another order on each run
+    return nodes.withColumn("threshold", F.round("threshold", 6))
 
 
 @register("score_anomalies")
 def score_anomalies(spark, sf):
     """M4: −1/1 per training row from the isolation forest (≈2% flagged)."""
     t = _scaled_training(spark, sf)
-    forest = ISO.fit_isolation_forest(t, Z_FEATURES, n_trees=ISO_TREES)
-    return ISO.score_frame(t, forest).select("WQI", "anomaly_score", "anomaly_pred")
+    forest = ISO.fit_isolation_forest(t, Z_FEATURES, n_trees=ISO_TREES, key=RECORD_KEY)
+    return ISO.score_frame(t, forest).select(*RECORD_KEY, "WQI", "anomaly_score", "anomaly_pred")
 
 
 @register("score_wqi")
 def score_wqi(spark, sf):
     """M5: regressor prediction per scaled row."""
     t = _scaled_training(spark, sf)
-    return M.score_wqi(t, M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES, max_depth=RF_DEPTH)).select("WQI", "ml_wqi")
+    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=RF_TREES, key=RECORD_KEY)
+    return M.score_wqi(t, model).select(*RECORD_KEY, "WQI", "ml_wqi")
 
 
 @register("score_efficiency")
 def score_efficiency(spark, sf):
     """M6: efficiency regression on (population, demand, supply, deficit, per-capita)."""
-    d = _distribution_training(spark, sf)
-    model = M.train_efficiency_model(d.checkpoint(eager=True), num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return M.scoring(model).transform(d).select("o_orderkey", "Hub_ID", "eff_pred")
+    d = _spread(_distribution_training(spark, sf)).checkpoint(eager=True)
+    model = M.train_efficiency_model(d, num_trees=RF_TREES, key=READING_KEY)
+    return M.score_efficiency(d, model).select("o_orderkey", "Hub_ID", "eff_pred")
 
 
 @register("score_criticality")
 def score_criticality(spark, sf):
     """M7: binary criticality classifier on the same five columns."""
-    d = _distribution_training(spark, sf)
-    model = M.train_criticality_model(d.checkpoint(eager=True), num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return M.scoring(model).transform(d).select("o_orderkey", "Hub_ID", F.col("risk_pred_d").cast("int").alias("risk_pred"))
+    d = _spread(_distribution_training(spark, sf)).checkpoint(eager=True)
+    model = M.train_criticality_model(d, num_trees=RF_TREES, key=READING_KEY)
+    return M.score_criticality(d, model).select("o_orderkey", "Hub_ID", "risk_pred")
+
+
+@register("score_wqi_full_trees")
+def score_wqi_full_trees(spark, sf):
+    """M2 and M5 without a bootstrap: trees grown to purity give each row the mean WQI of the rows with equal features."""
+    t = _scaled_training(spark, sf)
+    model = M.train_wqi_regressor(t, Z_FEATURES, num_trees=3, key=RECORD_KEY, bootstrap=False)
+    return M.score_wqi(t, model).select(*RECORD_KEY, "WQI", F.round("ml_wqi", 6).alias("ml_wqi"))
+
+
+@register("score_criticality_full_trees")
+def score_criticality_full_trees(spark, sf):
+    """M7 without a bootstrap: every tree, whatever features it tries, tells all rows of different features apart."""
+    d = _spread(_distribution_training(spark, sf)).checkpoint(eager=True)
+    model = M.train_criticality_model(d, num_trees=10, key=READING_KEY, bootstrap=False)
+    return M.score_criticality(d, model).select("o_orderkey", "Hub_ID", "risk_pred")
 
 
 @register("train_models")
 def train_models(spark, sf):
     """S6 → M8 → M1 → M2 → M3 → S7 → M10 on the training table."""
     res = TR.train_models(spark, X.quality_training(spark, sf), scratch_path(spark, "models-p3"),
-                          num_trees=RF_TREES, max_depth=RF_DEPTH, forest_trees=ISO_TREES, version=M.version_stamp())
+                          num_trees=RF_TREES, forest_trees=ISO_TREES, version=M.version_stamp())
     return TR.training_summary(res)
 
 
@@ -784,7 +823,7 @@ def model_roundtrip(spark, sf):
     """Save and load; every training row is scored alike by the fitted and the loaded models."""
     res = _quality_models(spark, sf)
     loaded = M.load_models(spark, res.path)
-    t = SC.scaled_features(_training(spark, sf), loaded.scaler, prefix="z_").select(*Z_FEATURES)
+    t = SC.scaled_features(_spread(_training(spark, sf)), loaded.scaler, prefix="z_").select(*Z_FEATURES)
     t = M.score_wqi(t, res.models.regressor).withColumnRenamed("ml_wqi", "_fitted")
     t = ISO.score_frame(M.score_wqi(t, loaded.regressor), res.models.forest, score_col="_s1", label_col="_l1")
     t = ISO.score_frame(t, loaded.forest, score_col="_s2", label_col="_l2")
@@ -793,19 +832,19 @@ def model_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("Rows_Scored"),
         F.min((F.col("_fitted") == F.col("ml_wqi")) & (F.col("_l1") == F.col("_l2"))).alias("Reloaded_Equal"),
         flagged.between(K.CONTAMINATION / 2, K.CONTAMINATION * 2).alias("Flagged_Near_Two_Percent"),
-        F.lit(loaded.regressor.stages[-1].getNumTrees).alias("Regression_Trees"),
+        F.lit(loaded.regressor.num_trees).alias("Regression_Trees"),
         F.lit(int(loaded.forest.nodes["tree_id"].nunique())).alias("Isolation_Trees"),
     )
 
 
 @register("retrain")
 def retrain(spark, sf):
-    """M9: refit on stored records, then flag them used in a new snapshot."""
-    src = scratch_path(spark, "records-retrain")
-    X.quality_records(spark, sf).write.partitionBy("MC_Code").parquet(src)
-    res, snap = TR.retrain(spark, src, scratch_path(spark, "models-m9"), scratch_path(spark, "records-m9"),
-                           num_trees=RF_TREES, max_depth=RF_DEPTH, forest_trees=ISO_TREES)
-    flags = io.read_records(spark, snap).groupBy("Used_For_Training").agg(F.count(F.lit(1)).alias("n"))
+    """M9: refit on stored records, then flag them used in place."""
+    path = scratch_path(spark, "records-retrain")
+    io.append_records(X.quality_records(spark, sf), path, batch_id=0)
+    res, _ = TR.retrain(spark, path, scratch_path(spark, "models-m9"), num_trees=RF_TREES, forest_trees=ISO_TREES,
+                        key=RECORD_KEY)
+    flags = io.read_records(spark, path).groupBy("Used_For_Training").agg(F.count(F.lit(1)).alias("n"))
     return TR.training_summary(res).unionByName(flags, allowMissingColumns=True)
 
 
@@ -813,14 +852,28 @@ def retrain(spark, sf):
 def predict_quality_model(spark, sf):
     """P1 with the trained regressor and isolation forest."""
     models = _quality_models(spark, sf).models
-    return P.predict_quality(X.quality_readings(spark, sf), models=models, keep=("l_orderkey", "l_linenumber"))
+    return P.predict_quality(_spread(X.quality_readings(spark, sf)), models=models, keep=("l_orderkey", "l_linenumber"))
+
+
+def _distribution_models(spark, sf):
+    train = _spread(_distribution_training(spark, sf)).checkpoint(eager=True)
+    return (M.train_efficiency_model(train, num_trees=RF_TREES, key=READING_KEY),
+            M.train_criticality_model(train, num_trees=RF_TREES, key=READING_KEY))
+
+
+@register("municipal_simulation_model")
+def municipal_simulation_model(spark, sf):
+    """D9 with the trained efficiency and criticality forests: one row per municipality."""
+    eff, risk = _distribution_models(spark, sf)
+    m = D.distribution_features(X.municipal_data(spark, sf)).withColumns(
+        {"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")})
+    scored = M.score_distribution_models(m, eff, risk).select(*X.municipal_data(spark, sf).columns, "eff_pred", "risk_pred")
+    return D.municipal_simulation(scored, as_of=f"{AS_OF_YEAR}-12-31 00:00:00")
 
 
 @register("predict_distribution_model")
 def predict_distribution_model(spark, sf):
     """P2 with the trained efficiency and criticality forests."""
-    train = _distribution_training(spark, sf).checkpoint(eager=True)
-    eff = M.train_efficiency_model(train, num_trees=RF_TREES, max_depth=RF_DEPTH)
-    risk = M.train_criticality_model(train, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    eff, risk = _distribution_models(spark, sf)
     r = X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")
     return P.predict_distribution(r, eff, risk, keep=("o_orderkey",))

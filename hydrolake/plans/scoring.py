@@ -32,6 +32,11 @@ DISTRIBUTION_OUTPUT = (
 )
 
 
+def _valid(df: DataFrame, types: dict[str, str], quarantine_path: str | None) -> DataFrame:
+    """Valid readings; with a path both halves are kept by one pass over the source, without one rejects are dropped."""
+    return io.split_once(df, types, quarantine_path) if quarantine_path else io.split_valid(df, types)[0]
+
+
 def predict_quality(readings: DataFrame, models: M.QualityModels | None = None, ml_col: str | None = None,
                     anomaly_col: str | None = None, use_raw_for_safety: bool = False,
                     validate: bool = True, keep: tuple[str, ...] = (),
@@ -44,9 +49,7 @@ def predict_quality(readings: DataFrame, models: M.QualityModels | None = None,
     """
     df = readings
     if validate:
-        df, rejected = io.split_valid(df, io.QUALITY_READING_TYPES)
-        if quarantine_path:
-            io.write_quarantine(rejected, quarantine_path, io.QUALITY_READING_TYPES)
+        df = _valid(df, io.QUALITY_READING_TYPES, quarantine_path)
     df = Q.midpoints(df)
     if models is not None:
         # models read the uncapped midpoints, with the model's Nitrate naming
@@ -74,9 +77,7 @@ def predict_distribution(readings: DataFrame, eff_model=None, risk_model=None, e
     """S9 → D1 → (M6, M7) → D2–D6 → D8 (rejects to ``quarantine_path`` when given)."""
     df = readings
     if validate:
-        df, rejected = io.split_valid(df, io.DISTRIBUTION_READING_TYPES)
-        if quarantine_path:
-            io.write_quarantine(rejected, quarantine_path, io.DISTRIBUTION_READING_TYPES)
+        df = _valid(df, io.DISTRIBUTION_READING_TYPES, quarantine_path)
     if eff_model is not None and risk_model is not None:
         df = D.distribution_features(df).withColumns(
             {"Deficit_MLD": F.col("deficit"), "PerCapita_LPCD": F.col("per_capita")}

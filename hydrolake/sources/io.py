@@ -9,12 +9,15 @@ its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hydrolake.session import scratch_path
+
 # S1 ---------------------------------------------------------------------------
 MUNICIPAL_CSV_SCHEMA = T.StructType(
     [
@@ -123,12 +126,86 @@ def append_distribution(scored: DataFrame, path: str, batch_id=None, created_at:
     return append_records(distribution_record_frame(scored, created_at), path, batch_id)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of a table; municipality codes stay text (``007``), whatever they look like."""
-    found = spark.read.option("basePath", path).parquet(path).schema
+def read_records(spark: SparkSession, path: str, batches: list[str] | None = None) -> DataFrame:
+    """All records of a table; municipality codes stay text (``007``), whatever they look like.
+
+    A table of appends is read batch by batch: those whose write committed and
+    that no snapshot has replaced (:func:`live_batches`), or the given ones.
+    The files are listed here, once: the DataFrame never sees a later append.
+    """
+    batches = live_batches(spark, path) if batches is None else batches
+    if batches is not None and not batches:
+        raise ValueError(f"{path} has no committed batch")
+    paths = [path] if batches is None else [f"{path.rstrip('/')}/batch_id={b}" for b in batches]
+    found = spark.read.option("basePath", path).parquet(*paths).schema
     text = {"MC_Code", "batch_id"}
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType, f.nullable) for f in found])
-    return spark.read.schema(schema).option("basePath", path).parquet(path).drop("batch_id")
+    return spark.read.schema(schema).option("basePath", path).parquet(*paths).drop("batch_id")
+
+
+# The record table's pointer: which batches a snapshot has replaced.  Spark skips
+# names that start with an underscore.
+POINTER = "_replaced.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replaced_batches(spark: SparkSession, path: str) -> list[str]:
+    """The batches that a snapshot stands for (none for a table without a pointer)."""
+    jvm, p, fs = _fs(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(p):
+        return []
+    stream = fs.open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def live_batches(spark: SparkSession, path: str) -> list[str] | None:
+    """Committed batches of a table that no snapshot has replaced; None for a table without batch folders."""
+    jvm, p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    gone = set(replaced_batches(spark, path))
+    found = [s.getPath().getName()[len("batch_id="):] for s in fs.listStatus(p)
+             if s.isDirectory() and s.getPath().getName().startswith("batch_id=")]
+    if not found:
+        return None
+    done = [b for b in found if b not in gone and fs.exists(jvm.org.apache.hadoop.fs.Path(p, f"batch_id={b}/_SUCCESS"))]
+    return sorted(done)
+
+
+def replace_batches(spark: SparkSession, path: str, old: list[str], new: str) -> None:
+    """Swap: from now on readers take batch ``new`` in place of ``old``.
+
+    ``new`` is written (and so committed) before, but listed as replaced until
+    the pointer changes; the pointer changes by one rename, so a reader sees
+    all of the old batches or the new one.  Batches that arrived meanwhile are
+    neither.  One writer swaps at a time: a pointer that names one of ``old``
+    already is an error, and the table stays as it was.
+    """
+    now = replaced_batches(spark, path)
+    if set(now) & set(old):
+        raise RuntimeError(f"{path}: another snapshot has replaced some of these batches")
+    _write_pointer(spark, path, sorted((set(now) | set(old)) - {new}))
+
+
+def _write_pointer(spark: SparkSession, path: str, batches: list[str]) -> None:
+    jvm, p, fs = _fs(spark, f"{path.rstrip('/')}/{POINTER}")
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(json.dumps(batches).encode()))
+    out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    flags = spark.sparkContext._gateway.new_array(option, 1)
+    flags[0] = option.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(tmp), fs.makeQualified(p), flags)
 
 
 # S5 ---------------------------------------------------------------------------
@@ -138,13 +215,23 @@ def mark_used_for_training(df: DataFrame) -> DataFrame:
     return df.withColumn("Used_For_Training", F.when(flag == F.lit(0), F.lit(1)).otherwise(flag))
 
 
-def mark_used_snapshot(spark: SparkSession, src: str, dst: str) -> str:
-    """Parquet has no UPDATE: write the flagged copy as a new snapshot folder.
+def mark_used_in_place(spark: SparkSession, path: str, batches: list[str] | None = None) -> str:
+    """The update of the flag on a table of appends: the given batches (default: all live ones) become one flagged batch.
 
-    The caller swaps the table pointer to ``dst`` once the write committed.
+    Parquet has no UPDATE: the flagged copy is written as a batch of its own
+    and takes the place of exactly the batches it was read from.  Records that
+    arrive while it runs keep their flag and are not lost; a failure before the
+    swap leaves the table as it was.  Returns the new batch.
     """
-    mark_used_for_training(read_records(spark, src)).write.mode("overwrite").partitionBy("MC_Code").parquet(dst)
-    return dst
+    batches = live_batches(spark, path) if batches is None else batches
+    if not batches:
+        raise ValueError(f"{path} has no committed batch to mark")
+    new = f"used-{uuid.uuid4().hex}"
+    # hidden until the swap, lest a reader sees a record in both
+    _write_pointer(spark, path, sorted({*replaced_batches(spark, path), new}))
+    append_records(mark_used_for_training(read_records(spark, path, batches)), path, batch_id=new)
+    replace_batches(spark, path, batches, new)
+    return new
 
 
 # S6 ---------------------------------------------------------------------------
@@ -171,6 +258,25 @@ def split_valid(df: DataFrame, schema: dict[str, str]) -> tuple[DataFrame, DataF
     return ok, bad
 
 
+def split_once(df: DataFrame, schema: dict[str, str], quarantine_path: str, batch_id=None) -> DataFrame:
+    """S9 in one pass over ``df``: the valid rows, typed; the rejected ones are written to ``quarantine_path``.
+
+    All rows are written once to the shared scratch folder, tagged and
+    partitioned by verdict; the two halves are then read from their own
+    partitions, so the source is scanned once however it was made, and no row
+    can fall between two scans.
+    """
+    spark = df.sparkSession
+    casts = {c: f"try_cast(`{c}` AS {t})" for c, t in schema.items()}
+    ok_sql = " AND ".join(f"(`{c}` IS NOT NULL AND {casts[c]} IS NOT NULL)" for c in schema)
+    staged = scratch_path(spark, "split")
+    tagged = df.withColumn("_valid", F.expr(ok_sql))
+    tagged.write.partitionBy("_valid").parquet(staged)
+    both = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_valid", T.BooleanType())])).parquet(staged)
+    write_quarantine(both.filter("NOT _valid").drop("_valid"), quarantine_path, schema, batch_id)
+    return both.filter("_valid").drop("_valid").withColumns({c: F.expr(e) for c, e in casts.items()})
+
+
 def rejection_reasons(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """Rejected rows with ``Rejected_Fields``: the fields missing or not of their type."""
     bad = [F.when(F.expr(f"`{c}` IS NULL OR try_cast(`{c}` AS {t}) IS NULL"), F.lit(c)) for c, t in schema.items()]

@@ -435,6 +435,11 @@ ORACLES["quarantine_readings"] = with_views(
     "FROM raw_readings WHERE MC_Code IS NULL OR Hub_ID IS NULL OR TRY_CAST(BOD_Text AS DOUBLE) IS NULL "
     "OR TRY_CAST(Created_Text AS DATE) IS NULL", "raw_readings")
 
+ORACLES["validate_one_pass"] = (
+    ORACLES["validate_readings"].replace("AS Created_At FROM raw", "AS Created_At, CAST(NULL AS VARCHAR) AS Rejected_Fields FROM raw")
+    + " UNION ALL SELECT event_id, MC_Code, Hub_ID, NULL, NULL, "
+    + ORACLES["quarantine_readings"].split("Created_Text AS Created_At, ")[1])
+
 # ------------------------------------------------------------------- filters --
 ORACLES["tenant_filter"] = with_views(
     "SELECT MC_Code, Hub_ID, WQI, Anomaly_Status, Created_At FROM quality_records WHERE MC_Code = 'MC007'",
@@ -747,6 +752,90 @@ ORACLES["scaled_features"] = with_views(
     # six digits: means are summed in another order on each side
     "SELECT " + ", ".join(f"round((ts.{f} - st.m_{f}) / st.s_{f}, 6) AS z_{f}" for f in _F) + ", ts.WQI FROM ts, st",
     "quality_records", ctes=TRAIN_CTE + ",\n" + _STATS)
+# M3/M4: the isolation forest in SQL.  Sample: a record's MD5 says how many of the 200 trees it goes to and which.
+# Growth: level by level, a node's feature and threshold from the MD5 of (seed, tree, node).
+_Z = [f"z{i}" for i in range(len(_F))]
+_TREES, _LEVELS, _PSI = K.N_TREES, 8, K.ISOLATION_SAMPLE
+
+
+def _lane(h: str, i: int) -> str:
+    return f"(CAST('0x' || substr({h}, {8 * i + 1}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def _path_sql(n: str) -> str:
+    return (f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + 0.5772156649015329e0) "
+            f"- 2e0 * ({n} - 1e0) / {n} END")
+
+
+def _forest_ctes() -> str:
+    keyed = (f"tk AS MATERIALIZED (SELECT l_orderkey, l_linenumber, Hub_ID, Created_At, {', '.join(_F)}, WQI FROM quality_records "
+             f"WHERE Temperature IS NOT NULL AND Anomaly_Status IS NOT NULL AND {_NN})")
+    out = [keyed, _STATS.replace("FROM ts", "FROM tk"),
+           "zt AS MATERIALIZED (SELECT l_orderkey, l_linenumber, Hub_ID, Created_At, WQI, "
+           + ", ".join(f"(tk.{f} - st.m_{f}) / st.s_{f} AS z{i}" for i, f in enumerate(_F))
+           + f", md5('{K.SEED}|' || md5(concat_ws('|', l_orderkey, l_linenumber, Hub_ID, Created_At))) AS h FROM tk, st)",
+           f"want AS (SELECT least(1e0, 1.25e0 * {_PSI} / count(*)) * {_TREES}e0 AS w FROM tk)",
+           f"m AS (SELECT zt.*, CAST(floor(w) AS BIGINT) + CASE WHEN {_lane('h', 0)} < w - floor(w) THEN 1 ELSE 0 END AS m FROM zt, want)",
+           f"""picks AS (SELECT {', '.join(_Z)}, h, CAST((floor((j + {_lane('h', 1)}) * {_TREES}e0 / m)
+             + floor({_lane('h', 2)} * {_TREES}e0)) AS BIGINT) % {_TREES} AS t FROM m, range({2 * _TREES}) r(j) WHERE j < m)""",
+           f"""s0 AS MATERIALIZED (SELECT {', '.join(_Z)}, t, CAST(1 AS BIGINT) AS node FROM picks
+             QUALIFY row_number() OVER (PARTITION BY t ORDER BY md5(h || '|' || CAST(t AS VARCHAR))) <= {_PSI})"""]
+    for d in range(_LEVELS + 1):
+        bounds = ", ".join(f"min({z}) AS lo_{z}, max({z}) AS hi_{z}" for z in _Z)
+        out.append(f"g{d} AS MATERIALIZED (SELECT t, node, count(*) AS n, {bounds} FROM s{d} GROUP BY t, node)")
+        if d == _LEVELS:
+            out.append(f"n{d} AS (SELECT t, node, -1 AS f, 0e0 AS thr, n, {d} AS depth FROM g{d})")
+            break
+        lists = ", ".join(f"CASE WHEN hi_{z} > lo_{z} THEN {i} END" for i, z in enumerate(_Z))
+        lo, hi = (f"[{', '.join(f'{e}_{z}' for z in _Z)}]" for e in ("lo", "hi"))
+        out += [f"""c{d} AS (SELECT *, [x FOR x IN [{lists}] IF x IS NOT NULL] AS cand, {lo} AS lo, {hi} AS hi,
+             md5('{K.SEED}|' || t || '|' || node) AS nh FROM g{d})""",
+                f"""f{d} AS (SELECT *, CASE WHEN len(cand) = 0 THEN -1 ELSE
+             cand[CAST(floor({_lane('nh', 0)} * len(cand)) AS BIGINT) + 1] END AS f FROM c{d})""",
+                f"""n{d} AS MATERIALIZED (SELECT t, node, f, CASE WHEN f < 0 THEN 0e0 ELSE
+             lo[f + 1] + {_lane('nh', 1)} * (hi[f + 1] - lo[f + 1]) END AS thr, n, {d} AS depth FROM f{d})""",
+                f"""s{d + 1} AS MATERIALIZED (SELECT {', '.join('s.' + z for z in _Z)}, s.t, 2 * s.node +
+             CASE WHEN {_feature('s')} < k.thr THEN 0 ELSE 1 END AS node FROM s{d} s JOIN n{d} k ON s.t = k.t AND s.node = k.node
+             WHERE k.f >= 0)"""]
+    out.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(_LEVELS + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _feature(row: str) -> str:
+    return "CASE k.f " + " ".join(f"WHEN {i} THEN {row}.{z}" for i, z in enumerate(_Z)) + " END"
+
+
+def _walk_ctes() -> str:
+    rid = "l_orderkey, l_linenumber, Hub_ID, Created_At, WQI, " + ", ".join(_Z)
+    out = [f"w0 AS (SELECT {rid}, t, CAST(1 AS BIGINT) AS node FROM zt, range({_TREES}) r(t))"]
+    for d in range(_LEVELS):
+        out.append(f"""w{d + 1} AS (SELECT {', '.join('s.' + c for c in rid.split(', '))}, s.t,
+          CASE WHEN k.f IS NULL OR k.f < 0 THEN s.node WHEN {_feature('s')} < k.thr THEN 2 * s.node ELSE 2 * s.node + 1 END AS node
+          FROM w{d} s LEFT JOIN n{d} k ON s.t = k.t AND s.node = k.node)""")
+    out.append(f"""scored AS MATERIALIZED (SELECT l_orderkey, l_linenumber, Hub_ID, Created_At, any_value(s.WQI) AS WQI,
+      round_even(pow(2e0, -(sum(k.depth + {_path_sql('k.n')}) / {_TREES}e0) / ({_path_sql(str(_PSI) + 'e0')})) * 1e6, 0) / 1e6 AS sc
+      FROM w{_LEVELS} s JOIN nodes k ON s.t = k.t AND s.node = k.node AND (k.f < 0 OR k.depth = {_LEVELS})
+      GROUP BY l_orderkey, l_linenumber, Hub_ID, Created_At)""")
+    out.append(f"cut AS (SELECT quantile_cont(sc, {1 - K.CONTAMINATION!r}) AS c FROM scored)")
+    return ",\n".join(out)
+
+
+ORACLES["train_isolation_forest"] = with_views(
+    "SELECT CAST(t AS INT) AS tree_id, CAST(node AS INT) AS node_id, CAST(f AS INT) AS feature, round(thr, 6) AS threshold, "
+    "CAST(CASE WHEN f < 0 THEN -1 ELSE 2 * node END AS INT) AS left_child, "
+    "CAST(CASE WHEN f < 0 THEN -1 ELSE 2 * node + 1 END AS INT) AS right_child, n AS size, CAST(depth AS INT) AS depth "
+    "FROM nodes", "quality_records", ctes=_forest_ctes())
+ORACLES["score_anomalies"] = with_views(
+    "SELECT l_orderkey, l_linenumber, Hub_ID, Created_At, WQI, sc AS anomaly_score, CASE WHEN sc > c THEN -1 ELSE 1 END AS anomaly_pred "
+    "FROM scored, cut", "quality_records", ctes=_forest_ctes() + ",\n" + _walk_ctes())
+
+# M2/M5, M7 without a bootstrap: trees grown to purity give each row the mean label of the rows with equal features
+ORACLES["score_wqi_full_trees"] = with_views(
+    f"SELECT l_orderkey, l_linenumber, Hub_ID, Created_At, WQI, round(avg(WQI) OVER (PARTITION BY {', '.join(_F)}), 6) AS ml_wqi FROM quality_records "
+    f"WHERE Temperature IS NOT NULL AND Anomaly_Status IS NOT NULL AND {_NN}", "quality_records")
+ORACLES["score_criticality_full_trees"] = with_views(
+    "SELECT o_orderkey, Hub_ID, CASE WHEN Current_Supply_MLD / Total_Demand_MLD * 100.0 < 70.0 THEN 1 ELSE 0 END AS risk_pred "
+    "FROM distribution_inputs", "distribution_inputs")
 ORACLES["model_roundtrip"] = with_views(
     "SELECT count(*) AS Rows_Scored, TRUE AS Reloaded_Equal, TRUE AS Flagged_Near_Two_Percent, 200 AS Regression_Trees, "
     "200 AS Isolation_Trees FROM ts", "quality_records", ctes=TRAIN_CTE)
