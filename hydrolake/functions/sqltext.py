@@ -27,6 +27,18 @@ def rn(x: str, digits: int = 2) -> str:
     return f"(rint(({x}) * {scale}) / {scale})"
 
 
+def py_round2(x: str) -> str:
+    """``round(x, 2)`` of the language: the decimal nearest to the exact binary value, ties to even.
+
+    ``rint(x * 100)`` is wrong where the product rounds onto a tie.  So x is
+    cut in two: its single-precision part times 100 is exact (24 + 5 bits), and
+    the rest times 100 is too; the fraction is then summed without error
+    (from |x| >= 1 on; below, only a value next to d.dd5 can differ).
+    """
+    hi = f"CAST(CAST(({x}) AS FLOAT) AS DOUBLE)"
+    return (f"((rint({hi} * 100.0D) + rint(({hi} * 100.0D - rint({hi} * 100.0D)) + (({x}) - {hi}) * 100.0D)) / 100.0D)")
+
+
 def py_min(x: str, cap: float) -> str:
     """min(x, cap) keeping NaN (see :func:`hydrolake.functions.numeric.py_min`)."""
     return f"(-greatest(-({x}), {d(-cap)}))"

@@ -1,17 +1,21 @@
 """Joins and subqueries.
 
-No join carries a hint and building a plan starts no job: file statistics
-and adaptive execution broadcast a side once it is measured small, and split
-skewed partitions otherwise.
+File statistics and adaptive execution broadcast a side once it is measured
+small, and split skewed partitions otherwise.  Only the newest rows (J4) carry
+a hint, behind a count of the side it names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake import constants as K
 from hydrolake.operators.filters import report_year
+from hydrolake.session import ensure_checkpoint_dir
+
+#: a side of at most so many counted, narrow rows is broadcast
+BROADCAST_ROWS = 20_000
 
 
 # J1 -------------------------------------------------------------------------
@@ -60,23 +64,28 @@ def hub_year_spine(keys: DataFrame, first_year: int = K.FIRST_REPORT_YEAR, as_of
 
 # J4 -------------------------------------------------------------------------
 def latest_by_subquery(records: DataFrame, mc_code: str | None = None) -> DataFrame:
-    """Rows whose Created_At equals their municipality's maximum (ties kept).
-
-    Spark cuts ``rank() = 1`` by a group limit in every task before the
-    shuffle, so a hot municipality sends only each task's newest rows.
-    """
+    """Rows whose Created_At equals their municipality's maximum (ties kept)."""
     if mc_code:
         records = records.filter(F.col("MC_Code") == F.lit(mc_code))
     return newest_per_mc(records)
 
 
 def newest_per_mc(records: DataFrame) -> DataFrame:
-    """Rows at their municipality's newest time, ties kept; rows without a code or a time have none."""
-    w = Window.partitionBy("MC_Code").orderBy(F.desc("Created_At"))
+    """Rows at their municipality's newest time, ties kept; rows without a code or a time have none.
+
+    The newest times (partial maxima, one row a municipality) are found and
+    counted first.  Up to :data:`BROADCAST_ROWS` of them go to the records, so
+    that no record moves: a bulk load that gives a third of all rows one time
+    stays spread over its files.  More are joined by a shuffle, where adaptive
+    execution splits a hot municipality.
+    """
     rows = records.filter(F.col("MC_Code").isNotNull() & F.col("Created_At").isNotNull()).select(
         "MC_Code", "Hub_ID", "Predicted_Supply_Efficiency", "Critical_Risk", "Recommended_Action", "Created_At"
     )
-    return rows.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") == 1).drop("_rank")
+    ensure_checkpoint_dir(records.sparkSession)
+    newest = rows.groupBy("MC_Code").agg(F.max("Created_At").alias("Created_At")).checkpoint(eager=True)
+    few = newest.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(newest) if few else newest, ["MC_Code", "Created_At"], "left_semi")
 
 
 # J5 -------------------------------------------------------------------------

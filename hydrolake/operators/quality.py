@@ -76,7 +76,7 @@ def rule_wqi_sql(scores: dict[str, str] | None = None) -> str:
     """Σ weight · score, summed left to right in the rule's order, rounded to 2."""
     scores = scores or {f"{p}_Score": f"`{p}_Score`" for p in K.PARAMS}
     terms = [f"({scores[f'{p}_Score']}) * {S.d(K.WEIGHTS[p])}" for p in K.PARAMS]
-    return S.rn(" + ".join(terms), 2)
+    return S.py_round2(" + ".join(terms))
 
 
 def rule_wqi_expr(scores: dict[str, str] | None = None) -> Column:
@@ -98,7 +98,7 @@ def score_rule(df: DataFrame) -> DataFrame:
 # Q5 -------------------------------------------------------------------------
 def hybrid_wqi(df: DataFrame, ml_col: str = "ml_wqi", rule_col: str = "Rule_WQI", out: str = "WQI") -> DataFrame:
     """round(0.7 · model + 0.3 · rounded rule, 2)."""
-    return df.withColumn(out, F.expr(S.rn(f"`{ml_col}` * {S.d(K.ML_SHARE)} + `{rule_col}` * {S.d(K.RULE_SHARE)}", 2)))
+    return df.withColumn(out, F.expr(S.py_round2(f"`{ml_col}` * {S.d(K.ML_SHARE)} + `{rule_col}` * {S.d(K.RULE_SHARE)}")))
 
 
 # Q6 -------------------------------------------------------------------------
@@ -111,7 +111,10 @@ def categorize5(df: DataFrame, wqi_col: str = "WQI") -> DataFrame:
     """Five bands on the rounded WQI with emoji, interpretation and action."""
     w = f"`{wqi_col}`"
     names = ("Category", "Emoji_Status", "Interpretation", "Recommended_Action")
-    return df.withColumns({n: F.expr(quality_band_sql(w, i + 1)) for i, n in enumerate(names)})
+    # the band's number is found once; the four texts are looked up by it
+    number = S.band(w, [b[0] for b in K.QUALITY_BANDS], [str(i + 1) for i in range(len(K.QUALITY_BANDS))])
+    texts = {n: F.expr(f"element_at(array({', '.join(S.s(b[i + 1]) for b in K.QUALITY_BANDS)}), _band)") for i, n in enumerate(names)}
+    return df.withColumn("_band", F.expr(number)).withColumns(texts).drop("_band")
 
 
 def category5_expr(w: str) -> Column:
@@ -151,13 +154,13 @@ def safety_downgrade(df: DataFrame, wqi_col: str = "WQI", use_raw: bool = False)
     ceiling = S.d(K.SAFETY_WQI_CEILING)
 
     def pick(value: str, col: str) -> Column:
-        return F.expr(f"CASE WHEN {hit} THEN {value} ELSE `{col}` END")
+        return F.expr(f"CASE WHEN Safety_Downgrade THEN {value} ELSE `{col}` END")
 
-    return df.withColumns(
+    # the test is a column of its own, so that its six uses read it
+    return df.withColumn("Safety_Downgrade", F.expr(hit)).withColumns(
         {
-            "Safety_Downgrade": F.expr(hit),
             # the rule's min(wqi, 35) returns the integer 35 when it bites
-            "WQI_Text": F.expr(f"CASE WHEN {hit} AND NOT isnan({w}) AND {w} > {ceiling} THEN '35' "
+            "WQI_Text": F.expr(f"CASE WHEN Safety_Downgrade AND NOT isnan({w}) AND {w} > {ceiling} THEN '35' "
                                f"ELSE CAST({w} AS STRING) END"),
             wqi_col: pick(S.py_min(w, K.SAFETY_WQI_CEILING), wqi_col),
             "Category": pick(S.s(K.SAFETY_CATEGORY), "Category"),
@@ -190,7 +193,7 @@ def quality_text(df: DataFrame, ml_col: str = "ml_wqi") -> DataFrame:
         {
             "AI_Summary": sentence(K.QUALITY_SUMMARY, wqi=wqi_text),
             "Message": sentence(K.QUALITY_SAVED),
-            "ML_WQI": F.expr(S.rn(f"`{ml_col}`", 2)),
+            "ML_WQI": F.expr(S.py_round2(f"`{ml_col}`")),
             "Hybrid_Model": F.lit(K.HYBRID_MODEL_TEXT),
         }
     )

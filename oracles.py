@@ -19,6 +19,15 @@ def RN(x: str, d: int = 2) -> str:
     return f"(round_even(({x})*1e{d}, 0)/1e{d})"
 
 
+def PYR(x: str) -> str:
+    """The language's round(x, 2), by the error of the product: 100 x = 64 x + 32 x + 4 x, each term exact."""
+    p = f"(({x})*100.0::DOUBLE)"
+    e = f"(((({x})*64.0::DOUBLE - {p}) + ({x})*32.0::DOUBLE) + ({x})*4.0::DOUBLE)"
+    tie = f"{p} - floor({p}) = 0.5"
+    return (f"(CASE WHEN {tie} AND {e} > 0 THEN ceil({p}) WHEN {tie} AND {e} < 0 THEN floor({p}) "
+            f"ELSE round_even({p}, 0) END / 100.0::DOUBLE)")
+
+
 def case_band(expr: str, edges, outs, nan_last: bool = True) -> str:
     parts = [f"WHEN ({expr}) IS NULL THEN NULL"]
     if nan_last:
@@ -84,7 +93,7 @@ def subscores_sql() -> dict[str, str]:
 def rule_wqi_sql() -> str:
     s = subscores_sql()
     terms = [f"({s[p]}) * {K.WEIGHTS[p]!r}" for p in K.PARAMS]
-    return RN(" + ".join(terms), 2)
+    return PYR(" + ".join(terms))
 
 
 # -- views --------------------------------------------------------------------
@@ -277,7 +286,7 @@ ORACLES["wqi_subscores"] = with_views(
 ORACLES["rule_wqi"] = with_views("SELECT l_orderkey, l_linenumber, Hub_ID, Rule_WQI FROM quality_scored",
                                  "quality_scored")
 
-HYBRID_CTE = f"""hybrid AS (SELECT *, {RN('ml_wqi*0.7 + Rule_WQI*0.3')} AS WQI FROM
+HYBRID_CTE = f"""hybrid AS (SELECT *, {PYR('ml_wqi*0.7::DOUBLE + Rule_WQI*0.3::DOUBLE')} AS WQI FROM
     (SELECT *, {ML_WQI} AS ml_wqi FROM quality_scored) h0)"""
 CAT5_CTE = f"""cat5 AS (SELECT *, {quality_band_sql('WQI', 1)} AS Category, {quality_band_sql('WQI', 2)} AS Emoji_Status,
     {quality_band_sql('WQI', 3)} AS Interpretation, {quality_band_sql('WQI', 4)} AS Recommended_Action FROM hybrid)"""
@@ -683,7 +692,7 @@ ORACLES["scan_table_params"] = with_views(
     "SELECT Hub_ID, WQI, Anomaly_Status, Created_At FROM quality_records WHERE MC_Code = 'MC007'", "quality_records")
 
 P1_CTE = f"""p1a AS (SELECT *, {ML_WQI} AS ml_wqi, {ANOM_PRED} AS anomaly_pred FROM quality_scored),
-  p1b AS (SELECT *, {RN('ml_wqi*0.7 + Rule_WQI*0.3')} AS WQI FROM p1a),
+  p1b AS (SELECT *, {PYR('ml_wqi*0.7::DOUBLE + Rule_WQI*0.3::DOUBLE')} AS WQI FROM p1a),
   p1c AS (SELECT *, {quality_band_sql('WQI', 1)} AS Category, {quality_band_sql('WQI', 2)} AS Emoji_Status,
     {quality_band_sql('WQI', 3)} AS Interpretation, {quality_band_sql('WQI', 4)} AS Recommended_Action,
     {HIT} AS hit FROM p1b),

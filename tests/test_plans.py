@@ -51,3 +51,38 @@ def test_top_k_uses_group_limit_before_shuffle(spark):
 def test_rule_paths_stay_in_the_jvm(spark, key):
     p = plan(E.queries()[key](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
+
+
+def test_scoring_fits_a_method_the_jit_compiles(spark):
+    """predict_quality runs as one generated stage without JVM flags: every method is below HotSpot's 8000 bytes."""
+    import re
+
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = E.queries()["predict_quality"](spark, SF)
+        text = df._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_newest_rows_of_a_bulk_load_stay_where_they_are(spark, monkeypatch):
+    """One municipality holds a third of all rows at one time: no exchange of records, and all ties are kept."""
+    from hydrolake.operators import joins as J
+
+    rows = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'MC001' ELSE concat('MC', id % 50 + 2) END AS MC_Code", "string(id) AS Hub_ID",
+        "1.0D AS Predicted_Supply_Efficiency", "0 AS Critical_Risk", "'x' AS Recommended_Action",
+        "CASE WHEN id % 3 = 0 THEN timestamp_ntz'2024-01-01 00:00:00' WHEN id % 97 = 1 THEN NULL "
+        "ELSE timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(id % 700) END AS Created_At")
+    df = J.newest_per_mc(rows)
+    want = rows.createOrReplaceTempView("r") or spark.sql(
+        "SELECT MC_Code, Hub_ID FROM r JOIN (SELECT MC_Code, max(Created_At) AS Created_At FROM r GROUP BY 1) USING (MC_Code, Created_At)")
+    got = sorted(map(tuple, df.select("MC_Code", "Hub_ID").collect()))
+    assert got == sorted(map(tuple, want.collect())) and sum(g[0] == "MC001" for g in got) == 3000
+    p = plan(df)
+    assert "hashpartitioning" not in p and "BroadcastExchange" in p
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, J.newest_per_mc(rows).select("MC_Code", "Hub_ID").collect())) == got
