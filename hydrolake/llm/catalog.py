@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hydrolake.llm import decontaminate, langid, lines, mixing, neardup, passages, quality, toxicity, urls, warc
+from hydrolake.llm import decontaminate, langid, lines, mixing, neardup, passages, pii, quality, ranked, spelling, toxicity, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_warc": warc.op9_warc,
     "op10_passages": passages.op10_passages,
+    "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_pii": pii.op13_pii,
 }
 
 #: operators 2, 4, 5 and 10 have no SQL form that finishes on whole tables; tests/llm holds them against brute force
@@ -25,4 +28,7 @@ ORACLES = {
     "op7_line_dedup": lines.OP7_SQL,
     "op8_url_filter": urls.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_ranked_search": ranked.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
+    "op13_pii": pii.OP13_SQL,
 }
