@@ -55,6 +55,8 @@ MIN_LENGTH, MIN_COUNT = 6, 5
 FORM_FACTOR = 5
 LONG = 64
 SEGMENT = 1 << 22
+#: levels walked between two writes of the frontier
+LEVELS = 3
 #: words counted in a task before their counts are handed on
 HELD = 200_000
 
@@ -75,7 +77,7 @@ def _runs(text: bytes) -> Counter:
                 hi = m.end()
                 break
         out.update(m.lower() for m in RUN.findall(text, lo, hi))
-        lo = hi
+        lo = max(hi, lo + 1)
     return out
 
 
@@ -175,15 +177,22 @@ def near_by_trie(words: DataFrame) -> DataFrame:
     longest = tries.agg(F.max(F.char_length("path"))).first()[0] or 0
     step = edge.select("node", "c", "child")
     state = stored(frontier(tries, children(edge)), "trie-frontier")
-    done = [state.filter("rest = ''").select("word", "node")]
-    for _ in range(longest - longest // 2):
-        moved = (state.filter("rest <> ''").withColumn("c", F.expr("left(rest, 1)")).join(step, ["node", "c"])
-                 .select("word", F.col("child").alias("node"), F.expr("substring(rest, 2)").alias("rest")))
-        state = stored(moved, "trie-frontier")
-        done.append(state.filter("rest = ''").select("word", "node"))
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
+    found = state.filter("rest = ''").select("word", "node")
+    for lo in range(0, longest - longest // 2, LEVELS):
+        ended = []
+        for _ in range(min(LEVELS, longest - longest // 2 - lo)):
+            state = (state.filter("rest <> ''").withColumn("c", F.expr("left(rest, 1)")).join(step, ["node", "c"])
+                     .select("word", F.col("child").alias("node"), F.expr("substring(rest, 2)").alias("rest"), F.lit(False).alias("over")))
+            # a state that has read its word waits beside the others
+            ended.append(state.filter("rest = ''").withColumn("over", F.lit(True)))
+        moved = state.filter("rest <> ''")
+        for e in ended:
+            moved = moved.unionByName(e)
+        moved = stored(moved, "trie-frontier")
+        found = found.unionByName(moved.filter("over").select("word", "node"))
+        state = moved.filter("NOT over").drop("over")
+        if state.isEmpty():
+            break
     ends = tries.select(F.col("word").alias("b"), _node(F.col("path"), F.col("way")).alias("node"))
     return found.select(F.col("word").alias("a"), "node").join(ends, "node").select("a", "b")
 
@@ -239,11 +248,13 @@ def variants(words: DataFrame) -> DataFrame:
     out = words.join(groups, "word", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     has = -F.col("b.m") >= F.col("n") * FORM_FACTOR
     out = stored(out.select("word", F.when(has, F.col("b.w")).alias("form"), "n", "n_near", F.when(has, -F.col("b.m")).alias("form_n")), "forms")
-    # forms are followed by doubling: each step multiplies n by five, so 32 steps pass any chain of 64-bit counts
+    # forms are followed by doubling, twice a round: each step multiplies n by five, so 64 steps pass any chain of 64-bit counts
     link = out.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
-    for _ in range(5):
-        onward = link.select(F.col("word").alias("root"), F.col("root").alias("_onward"))
-        link = stored(link.join(onward, "root", "left").select("word", F.coalesce("_onward", "root").alias("root")), "roots")
+    for _ in range(3):
+        for _ in range(2):
+            onward = link.select(F.col("word").alias("root"), F.col("root").alias("_onward"))
+            link = link.join(onward, "root", "left").select("word", F.coalesce("_onward", "root").alias("root"))
+        link = stored(link, "roots")
     return out.join(link, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
