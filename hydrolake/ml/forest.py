@@ -48,7 +48,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: a part of at most about so many rows is grown in one task
 SMALL = 32_768
 #: nodes that are broadcast at once, in bytes
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 256 << 20
+#: bytes of a node that scoring needs: feature, threshold or value, left child
+NODE_BYTES = 13
 #: a top leaf stands on at least so many sample rows
 MIN_SAMPLE = 64
 
@@ -93,7 +95,7 @@ class Nodes:
     """A (part of a) tree; the right child follows the left one."""
 
     feature: np.ndarray    # int8: LEAF, HANDED or the feature
-    threshold: np.ndarray  # float64
+    threshold: np.ndarray  # float64; a LEAF's value
     child: np.ndarray      # int32: the left child, or the part a HANDED node is grown in
     value: np.ndarray      # float64: the weighted mean label
     size: np.ndarray       # int64: drawn rows
@@ -177,6 +179,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, max_depth: int | None = No
             can = ~ended & ~np.isneginf(gains[best_f, cols])
             feat[can] = best_f[can]
             thr[can] = cuts[best_f, cols][can]
+        thr[feat == LEAF] = mean[feat == LEAF]
         feat[handed] = HANDED
         split = feat >= 0
         n_split = int(split.sum())
@@ -278,7 +281,8 @@ class ForestModel:
                     n = len(t.feature)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, r["tree"], np.int32)), pa.array(np.full(n, r["part"], np.int32)),
-                         pa.array(np.arange(n, dtype=np.int32)), pa.array(t.feature.astype(np.int32)), pa.array(t.threshold),
+                         pa.array(np.arange(n, dtype=np.int32)), pa.array(t.feature.astype(np.int32)),
+                         pa.array(np.where(t.feature >= 0, t.threshold, 0.0)),
                          pa.array(t.child), pa.array(np.where(t.feature >= 0, t.child + 1, -1).astype(np.int32)),
                          pa.array(t.value), pa.array(t.size)],
                         names=["tree", "part", "node", "feature", "threshold", "left", "right", "value", "size"])
@@ -482,7 +486,7 @@ def _grow_parts(rows: DataFrame, columns, tops: dict[int, Nodes], num_trees: int
 # -- scoring ------------------------------------------------------------------
 def _blocks(model: ForestModel, spark: SparkSession, limit: int) -> list[list[int]]:
     """Trees dealt to blocks of at most ``limit`` bytes (a block holds at least one part of a tree)."""
-    sizes = [(r["tree"], r["part"], int(r["n_nodes"]) * 21) for r in
+    sizes = [(r["tree"], r["part"], int(r["n_nodes"]) * NODE_BYTES) for r in
              model.parts(spark).select("tree", "part", "n_nodes").orderBy("tree", "part").toLocalIterator()]
     blocks, room = [[]], limit
     for tree, part, size in sizes:
@@ -502,12 +506,12 @@ def _load(model: ForestModel, spark: SparkSession, block: list[tuple[int, int]])
     got = (model.parts(spark).filter(F.col("tree").between(trees[0], trees[-1]))
            .filter(F.struct("tree", "part") >= F.struct(F.lit(lo[0]).cast("int").alias("tree"), F.lit(lo[1]).cast("int").alias("part")))
            .filter(F.struct("tree", "part") <= F.struct(F.lit(hi[0]).cast("int").alias("tree"), F.lit(hi[1]).cast("int").alias("part")))
-           .drop("size").orderBy("tree", "part").toArrow())
+           .drop("size", "value").orderBy("tree", "part").toArrow())
     wanted = set(block)
     out = []
     for r in got.to_pylist():
         if (r["tree"], r["part"]) in wanted:
-            out.append((r["tree"], r["part"], _unpack(r | {"size": b""})))
+            out.append((r["tree"], r["part"], _unpack(r | {"size": b"", "value": b""})))
     return out
 
 
@@ -517,19 +521,19 @@ def predict_sum(x: np.ndarray, parts: list[tuple[int, int, Nodes]], tops: dict[i
     if with_tops:
         for top in tops.values():
             end = descend(top, x)
-            out += np.where(top.feature[end] == LEAF, top.value[end], 0.0)
+            out += np.where(top.feature[end] == LEAF, top.threshold[end], 0.0)
     routed, place = None, None
     for tree, part, t in parts:
         top = tops.get(tree)
         if top is None:
-            out += t.value[descend(t, x)]
+            out += t.threshold[descend(t, x)]
             continue
         if routed != tree:
             end = descend(top, x)
             routed, place = tree, np.where(top.feature[end] == HANDED, top.child[end], -1)
         at = np.flatnonzero(place == part)
         if len(at):
-            out[at] += t.value[descend(t, x[at])]
+            out[at] += t.threshold[descend(t, x[at])]
     return out
 
 

@@ -40,9 +40,9 @@ def test_growth_equals_a_plain_recursive_tree():
         t = FO.grow(x, y, w)
         want = plain_tree(x, y, w)
         probe = rng.uniform(-1, 7, (200, 3))
-        got = t.value[FO.descend(t, probe)]
+        got = t.threshold[FO.descend(t, probe)]
         # equal gains may be split in another order: compare on the training rows, where every order agrees
-        assert np.allclose(t.value[FO.descend(t, x)], [want(r) for r in x])
+        assert np.allclose(t.threshold[FO.descend(t, x)], [want(r) for r in x])
         assert np.isfinite(got).all()
         assert t.size[0] == w.sum() and t.size[t.feature < 0].sum() == w.sum()
 
@@ -53,7 +53,7 @@ def test_unique_gains_give_the_same_splits():
     t = FO.grow(x, y, np.ones(80))
     want = plain_tree(x, y, np.ones(80))
     probe = rng.normal(size=(500, 2))
-    assert np.allclose(t.value[FO.descend(t, probe)], [want(r) for r in probe])
+    assert np.allclose(t.threshold[FO.descend(t, probe)], [want(r) for r in probe])
 
 
 @pytest.fixture(scope="module")
