@@ -877,3 +877,18 @@ def predict_distribution_model(spark, sf):
     eff, risk = _distribution_models(spark, sf)
     r = X.distribution_inputs(spark, sf).drop("eff_pred", "risk_pred")
     return P.predict_distribution(r, eff, risk, keep=("o_orderkey",))
+
+
+@register("stream_quality_model")
+def stream_quality_model(spark, sf):
+    """T1 with the trained regressor and isolation forest."""
+    out = T.stream_quality(spark, sf, models=_quality_models(spark, sf).models)
+    return T.read_stream_output(spark, out).select(*io.QUALITY_RECORD_COLUMNS)
+
+
+@register("stream_distribution_model")
+def stream_distribution_model(spark, sf):
+    """T2 with the trained efficiency and criticality forests."""
+    eff, risk = _distribution_models(spark, sf)
+    out = T.stream_distribution(spark, sf, eff_model=eff, risk_model=risk)
+    return T.read_stream_output(spark, out).select(*io.DISTRIBUTION_RECORD_COLUMNS)

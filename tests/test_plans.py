@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 SKIP = {"train_wqi_regressor", "train_isolation_forest", "score_anomalies", "score_wqi", "score_efficiency",
         "score_criticality", "train_models", "model_roundtrip", "retrain", "predict_quality_model",
         "predict_distribution_model", "stream_quality", "stream_distribution", "scan_municipal_csv",
-        "append_quality", "append_distribution", "mark_used_for_training"}
+        "append_quality", "append_distribution", "mark_used_for_training", "stream_quality_model", "stream_distribution_model",
+        "score_wqi_full_trees", "score_criticality_full_trees", "municipal_simulation_model", "validate_one_pass"}
 
 
 def plan(df):
