@@ -3,13 +3,20 @@
 The kernel of two tokens compares their subsequences of three symbols that lie
 within five characters, each weighted by ``DECAY`` to the power of its length,
 so ``idxiot`` stays close to ``idiot`` and an insult's stem is found under any
-ending; marks between letters (``i-d-i.o t``) are passed over.  A few hundred tokens of the training sample are the
-landmarks; the kernels with them, whitened by the landmarks' own kernel matrix,
-are the features of a linear SVM (Nyström).  Labels hold for documents, so it
-is trained as multiple-instance SVM whose unit is the blank-separated token of 3
-to 40 bytes: tokens of clean documents are negatives, and of each toxic document
-the token with the highest score so far, if it has one that no clean sample
-document holds, is a positive; a document scores as its most suspicious token.
+ending; marks between letters (``i-d-i.o t``) are passed over, and a symbol for
+both ends sets a stem apart from a piece inside a word and from the bare word.
+A few hundred tokens of the training sample are the landmarks; the kernels with
+them, whitened by the landmarks' own kernel matrix, are the features of a linear
+SVM (Nyström).  Labels hold for documents, so it is trained as multiple-instance
+SVM whose unit is the blank-separated token of 3 to 40 bytes.  Each round takes
+the most suspicious token of each toxic document, and further ones above the
+level of clean documents, as positives; a toxic document that is no more
+suspicious than most clean ones is no example in that round.  Negatives are
+drawn and suspicious tokens of clean documents, and the three highest of *every*
+clean sample document in each round, that is the model's own mistakes.
+A document scores by its three highest tokens and its length, in a logistic
+model fitted on a quarter of the sample that the SVM has not seen, where each
+label weighs as it does among all labelled rows.
 This misses an insult of several ordinary words, which is never learnt, and one
 inside a long token without blanks, which the token's norm dilutes.
 
@@ -25,12 +32,15 @@ fit; scoring has none).
 Defined cases: a null text or one without tokens scores 0; with no labelled
 row of both kinds every score is 0; rows with a null id are scored, never
 learnt from; repeated label rows count once, as toxic if any is; repeated
-documents score alike; an empty table gives an empty result; other columns do
-not matter (names used inside start with ``_t_``).
+documents score alike; a score equal to ``CUT`` is predicted 1; a very long text
+is scored whole, in one piece of its own; an empty table gives an empty result;
+other columns do not matter (names used inside start with ``_t_``).
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +48,19 @@ from pyspark.sql import functions as F
 from hydrolake.llm import text as T
 from hydrolake.llm.common import stored, table
 
-SAMPLE, SAMPLE_CHARS = 1200, 20_000
-LANDMARKS, DECAY, SPAN = 240, 0.7, 5
+SAMPLE, SAMPLE_CHARS = 1500, 20_000
+LANDMARKS, DECAY, SPAN = 400, 0.7, 5
+ROUNDS = 6
 CUT = 0.3
+#: a text's second and third token decisions count from here on
+FLOOR = -1.0
 
 #: gaps (first to second, second to third symbol) of the subsequences within ``SPAN`` characters
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 OTHER = 63
+#: the symbol of a token's both ends
+EDGE = 0
 _b = np.arange(256)
 #: a-z, digits, bytes beyond ASCII folded to 26 symbols; all else is passed over
 SYMBOL = np.full(256, OTHER, np.int32)
@@ -86,15 +101,19 @@ def norms(n: int) -> np.ndarray:
 def triples(data: np.ndarray, member: np.ndarray, start: np.ndarray, end: np.ndarray):
     """For each gap pair: triple codes, whether they lie in one token, weight; then each token's first symbol and size.
 
-    Characters that are no symbol are left out, so that marks between letters cost nothing.
+    Characters that are no symbol are left out, so that marks between letters
+    cost nothing.  ``EDGE`` stands before a token's first and after its last
+    symbol, so that a piece inside a word differs from a stem and from a whole word.
     """
-    c = SYMBOL[data[member]]
-    known = c != OTHER
+    symbol = SYMBOL[data[member]]
+    known = symbol != OTHER
     token = np.repeat(np.arange(len(start)), end - start)[known]
-    c = c[known]
-    size = np.bincount(token, minlength=len(start))
+    letters = np.bincount(token, minlength=len(start))
+    size = np.where(letters > 0, letters + 2, 0)
     first = np.r_[0, np.cumsum(size)[:-1]]
-    left = (first + size)[token] - np.arange(len(c))
+    c = np.full(int(size.sum()), EDGE, np.int32)
+    c[np.arange(len(token)) + (first - np.r_[0, np.cumsum(letters)[:-1]])[token] + 1] = symbol[known]
+    left = np.repeat(first + size, size) - np.arange(len(c))
     out = []
     for a, b in GAPS:
         d = a + b
@@ -159,120 +178,177 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3, ro
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> dict | None:
-    """The model of a labelled sample: triple table, bias and calibration; None without both labels."""
-    # copies of a text are one example
+def _split(texts: list[bytes], toxic: list[int]) -> tuple[list, list]:
+    """Distinct texts with their label (1 if any copy's is), dealt to the SVM and, a quarter, to the calibration."""
     seen = {}
     for x, y in zip(texts, toxic):
         seen[x] = max(seen.get(x, 0), int(y))
+    rows = sorted(seen.items())
+    apart = [r for r in rows if zlib.crc32(r[0]) % 4 == 0]
+    own = [r for r in rows if zlib.crc32(r[0]) % 4]
+    both = all({y for _, y in part} == {0, 1} for part in (own, apart))
+    return (own, apart) if both else (rows, rows)
+
+
+def _bags(rows: list) -> list:
+    """Per text with tokens of 3 to 40 bytes: its distinct ones and the label."""
     bags = []
-    for x, y in sorted(seen.items()):
+    for x, y in rows:
         data = np.frombuffer(x, np.uint8)
         _, start, end = tokens(data, np.array([0, len(data)]))
         low = x.lower()
         bags.append((sorted({low[a:b].strip(b".,;:!?()\"'") for a, b in zip(start, end) if 3 <= b - a <= 40} - {b""}), y))
-    bags = [b for b in bags if b[0]]
+    return [b for b in bags if b[0]]
+
+
+def _codes(vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's distinct triples, one token after the other, and where each begins."""
+    parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(vocab), 5000):  # a part at a time: the driver's memory is small
+        part = vocab[lo:lo + 5000]
+        r, c, _ = features(part)
+        key = np.unique(r.astype(np.int64) * TABLE + c)
+        parts.append((key % TABLE).astype(np.int32))
+        ends.append(ends[-1][-1] + np.searchsorted(key // TABLE, np.arange(len(part)), side="right"))
+    return np.concatenate(parts), np.concatenate(ends)
+
+
+def _decisions(alpha: np.ndarray, bias: float, toks: list[bytes]) -> np.ndarray:
+    """The folded SVM's decision on each token."""
+    out = np.full(len(toks), bias)
+    for lo in range(0, len(toks), 5000):
+        part = toks[lo:lo + 5000]
+        r, c, v = features(part)
+        out[lo:lo + len(part)] += np.bincount(r, alpha[c] * v, minlength=len(part))
+    return out
+
+
+def fit(texts: list[bytes], toxic: list[int], seed: int = 7, weight: tuple[float, float] = (1.0, 1.0)) -> dict | None:
+    """The model of a labelled sample: triple table, bias and calibration; None without both labels.
+
+    ``weight``: how many labelled documents one of the sample stands for, by label.
+    """
+    own, apart = _split(texts, toxic)
+    bags = _bags(own)
     pos, neg = [b for b, y in bags if y], [b for b, y in bags if not y]
     if not pos or not neg:
         return None
     rng = np.random.default_rng(seed)
-    # first guess: triples that occur in many more toxic documents than in clean ones
     vocab = sorted({t for b, _ in bags for t in b})
     at = {t: i for i, t in enumerate(vocab)}
-    by_word = []
-    for lo in range(0, len(vocab), 5000):  # a part at a time: the driver's memory is small
-        part = vocab[lo:lo + 5000]
-        r, c, _ = features(part)
-        order = np.lexsort((c, r))
-        r, c = r[order], c[order]
-        new = np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])] if len(r) else np.zeros(0, bool)
-        r, c = r[new], c[new].astype(np.int32)
-        by_word += np.split(c, np.searchsorted(r, np.arange(1, len(part))))
-    df = np.zeros((2, TABLE))
-    word_df = np.zeros((2, len(vocab)))
-    for b, y in bags:
-        ids = [at[t] for t in b]
-        word_df[y, ids] += 1
-        df[y, np.unique(np.concatenate([by_word[i] for i in ids]))] += 1
+    pos_ids, neg_ids = ([np.array([at[t] for t in b]) for b in side] for side in (pos, neg))
+    # first guess: triples that occur in many more toxic documents than in clean ones
+    codes, ends = _codes(vocab)
+    df, word_df = np.zeros((2, TABLE)), np.zeros((2, len(vocab)))
+    for y, side in enumerate((neg_ids, pos_ids)):
+        for ids in side:
+            word_df[y, ids] += 1
+            df[y, np.unique(np.concatenate([codes[ends[i]:ends[i + 1]] for i in ids]))] += 1
     n1, n0 = len(pos), len(neg)
-    odds = np.log((df[1] + 0.2) / (n1 + 1)) - np.log((df[0] + 0.2) / (n0 + 1))
-    odds[df[1] < 2] = 0
-    word_odds = np.log((word_df[1] + 0.2) / (n1 + 1)) - np.log((word_df[0] + 0.2) / (n0 + 1))
-    near = np.array([np.mean(np.sort(odds[cs])[-4:]) if len(cs) else -9.0 for cs in by_word])
+
+    def odds_of(d, least):
+        out = np.log((d[1] + 0.2) / (n1 + 1)) - np.log((d[0] + 0.2) / (n0 + 1))
+        out[d[1] < least] = 0
+        return out
+
+    odds, word_odds = odds_of(df, 2), odds_of(word_df, 0)
+    near = np.array([np.mean(np.sort(odds[codes[ends[i]:ends[i + 1]]])[-4:]) if ends[i] < ends[i + 1] else -9.0 for i in range(len(vocab))])
     guess = near + np.where(word_df[0] > 0, -2.0, 0.0) + 0.5 * word_odds
-    pos_ids = [np.array([at[t] for t in b]) for b in pos]
-    # landmarks: tokens most suspect in some toxic document, and common and random clean ones
+    # landmarks: tokens most suspect in some toxic document, in clean ones, and common and random clean ones
     votes = np.zeros(len(vocab))
     for ids in pos_ids:
         top = ids[np.argsort(-guess[ids])[:4]]
         votes[top] += guess[top]
-    suspects = [i for i in np.argsort(-votes) if votes[i] > 0][:LANDMARKS // 2]
     clean = np.flatnonzero(word_df[0] > 0)
-    often = clean[np.argsort(-word_df[0][clean])[:LANDMARKS // 4]]
-    drawn = rng.choice(clean, min(len(clean), LANDMARKS // 4), replace=False)
-    marks = [vocab[i] for i in dict.fromkeys([*suspects, *often, *drawn])]
+    hard = clean[np.argsort(-near[clean], kind="stable")[:3000]]
+    often = clean[np.argsort(-word_df[0][clean], kind="stable")[:LANDMARKS // 8]]
+    suspects = [i for i in np.argsort(-votes, kind="stable") if votes[i] > 0][:LANDMARKS // 2]
+    drawn = rng.choice(clean, min(len(clean), LANDMARKS // 8), replace=False)
+    marks = [vocab[i] for i in dict.fromkeys([*suspects, *hard[:LANDMARKS // 4], *often, *drawn])]
     kmm = kernel(marks, marks).astype(np.float64)
     ev, q = np.linalg.eigh((kmm + kmm.T) / 2)
     whiten = (q * np.where(ev > 1e-6 * ev.max(), 1 / np.sqrt(np.maximum(ev, 1e-12)), 0)) @ q.T
-    # negatives: tokens of clean sentences, the suspicious ones and a random part
-    some = rng.choice(clean, min(len(clean), 8000), replace=False)
-    hard = clean[np.argsort(-guess[clean])[:2000]]
-    neg_ids = np.unique(np.r_[some, hard, often])
-    cand = np.unique(np.concatenate([ids[np.argsort(-guess[ids])[:12]] for ids in pos_ids]))
-    ids = np.unique(np.r_[neg_ids, cand])
-    phi = dict(zip(ids, kernel([vocab[i] for i in ids], marks) @ whiten.astype(np.float32)))
-    xn = np.array([phi[i] for i in neg_ids])
-    # so many toxic documents and no clean one hold a token by chance less than once in a hundred vocabularies
-    sure = np.log(len(vocab) / 0.01) / np.log((n0 + n1) / n1)
+    mr, mc, mv = features(marks)
+    # negatives: random and suspicious tokens of clean documents; each round adds what it takes for toxic in every clean one
+    working = set(rng.choice(clean, min(len(clean), 12_000), replace=False)) | set(hard) | set(often)
+    phi = {}
     score = guess
-    for _ in range(5):
-        chosen = []
-        for ids in pos_ids:
-            own = [i for i in ids if i in phi and word_df[0, i] == 0] or [max(ids, key=lambda i: score[i])]
-            own = [i for i in own if i in phi]
-            if own:
-                chosen.append(max(own, key=lambda i: score[i]))
-                # and its other tokens that more toxic documents share than chance explains, and no clean one has
-                chosen += [i for i in sorted(own, key=lambda i: -score[i])[1:6] if word_df[1, i] >= sure]
-        if not chosen:
-            return None
+    may = (word_df[0] == 0) | (word_odds > np.log(5))
+    for turn in range(ROUNDS):
+        best = np.array([max(ids, key=lambda i: (may[i], score[i])) for ids in pos_ids])
+        trust = np.ones(len(best), bool)
+        if turn:
+            # a toxic document no more suspicious than most clean ones may hold no insult: it is no example then
+            level = np.quantile([score[ids].max() for ids in neg_ids], 0.8)
+            trust = score[best] > level
+            if trust.sum() < max(len(best) // 4, 1):
+                trust[:] = True
+            for ids in neg_ids:
+                working.update(ids[np.argsort(-score[ids])[:3]])
+        chosen = list(best[trust])
+        for ids, b, ok in zip(pos_ids, best, trust):
+            # its other suspicious tokens, from the second round on
+            if turn and ok:
+                chosen += [i for i in ids[np.argsort(-score[ids])[:4]] if i != b and may[i] and score[i] > max(level, 0)]
         picked, times = np.unique(chosen, return_counts=True)
-        x = np.concatenate([np.array([phi[i] for i in picked]), xn])
-        y = np.r_[np.ones(len(picked)), -np.ones(len(neg_ids))]
+        minus = np.array(sorted(working - set(picked[word_odds[picked] > np.log(5)])))
+        need = [i for i in np.r_[picked, minus] if i not in phi]
+        for i, row in zip(need, kernel([vocab[i] for i in need], marks) @ whiten.astype(np.float32)):
+            phi[i] = row
+        x = np.array([phi[i] for i in np.r_[picked, minus]])
+        y = np.r_[np.ones(len(picked)), -np.ones(len(minus))]
         # a token weighs by the root of its documents, and both sides weigh the same
-        times, often_ = np.sqrt(times), np.sqrt(np.maximum(word_df[0, neg_ids], 1))
-        weight = np.r_[times * (often_.sum() / times.sum()), often_]
-        w, bias = _svm(x, y, weight)
-        score = np.full(len(vocab), -1e9)
-        for i, row in phi.items():
-            score[i] = row @ w + bias
-    beta = whiten @ w
-    mr, mc, mv = features(marks)
-    alpha = np.zeros(TABLE)
-    np.add.at(alpha, mc, mv * beta[mr])
-    model = {"alpha": alpha.astype(np.float32), "bias": bias, "a": 1.0, "b": 0.0}
-    # calibration on documents: logistic in the largest token score
-    f = np.array([decide(model, x)[0] for x in sorted(seen)])
-    y = np.array([seen[x] for x in sorted(seen)])
-    model["a"], model["b"] = _logistic(f, y)
+        times, often_ = np.sqrt(times), np.sqrt(np.maximum(word_df[0, minus], 1))
+        w, bias = _svm(x, y, np.r_[times * (often_.sum() / times.sum()), often_])
+        alpha = np.zeros(TABLE)
+        np.add.at(alpha, mc, mv * (whiten @ w)[mr])
+        score = _decisions(alpha, bias, vocab)
+    model = {"alpha": alpha.astype(np.float32), "bias": bias}
+    # calibration on documents that the SVM has not seen, each label in its share of all labelled ones
+    f = np.concatenate([decide(model, x) for x, _ in apart])
+    y = np.array([y for _, y in apart])
+    model["w"] = _logistic(f, y, np.where(y == 1, weight[1], weight[0]))
     return model
 
 
-def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a ridge logistic regression by Newton steps."""
-    ok = np.isfinite(f)
-    x, y = np.c_[f[ok], np.ones(ok.sum())], y[ok]
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + np.diag([1e-2, 1e-4])
-        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - np.array([1e-2, 1e-4]) * w), -3, 3)
-    return float(max(w[0], 0.0)), float(w[1])
+def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights (the offset last) of a ridge logistic regression by Newton steps.
+
+    High tokens never speak against a label and length never for it: a column
+    whose weight comes out the other way is left out.
+    """
+    ok = np.isfinite(f[:, 0])
+    y, weight = y[ok], weight[ok] / weight[ok].mean()
+    use = np.ones(f.shape[1], bool)
+    while True:
+        x = np.c_[f[ok] * use, np.ones(ok.sum())]
+        ridge = np.r_[np.full(f.shape[1], 1e-1), 1e-4]
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge)
+            w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w), -3, 3)
+        wrong = w[:-1] * np.array([1, 1, 1, -1]) < -1e-9
+        if not wrong.any():
+            return w
+        use &= ~wrong
+
+
+def probability(model: dict, f: np.ndarray) -> np.ndarray:
+    """Score of each text from its decisions; 0 for a text without tokens."""
+    ok = np.isfinite(f[:, 0])
+    z = np.where(ok[:, None], f, 0) @ model["w"][:-1] + model["w"][-1]
+    return np.where(ok, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
 
 
 def decide_piece(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The largest token decision of each text of a piece; minus infinity without tokens."""
-    out = np.full(len(offs) - 1, -np.inf, np.float32)
+    """Of each text of a piece: its three largest token decisions and the logarithm of its tokens.
+
+    The first is minus infinity without tokens; the others are at least ``FLOOR``.
+    """
+    n_docs = len(offs) - 1
+    out = np.full((n_docs, 4), FLOOR)
+    out[:, 0], out[:, 3] = -np.inf, 0
     member, start, end = tokens(data, offs)
     if not len(start):
         return out
@@ -288,7 +364,13 @@ def decide_piece(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     f = np.add.reduceat(total, first) / norms(int(size.max()))[size] + model["bias"]
     doc = T.owner(start[some], offs)
     new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    out[doc[new]] = np.maximum.reduceat(f, new)
+    out[doc[new], 0] = np.maximum.reduceat(f, new)
+    out[:, 3] = np.log1p(np.bincount(doc, minlength=n_docs))
+    high = np.flatnonzero(f > FLOOR)
+    high = high[np.lexsort((-f[high], doc[high]))]
+    rank = T.ranks(doc[high])
+    for k in (1, 2):
+        out[doc[high][rank == k], k] = f[high][rank == k]
     return out
 
 
@@ -297,8 +379,8 @@ def decide(model: dict, text: bytes) -> np.ndarray:
     return decide_piece(model, data, np.array([0, len(data)]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, n: int = SAMPLE) -> list:
-    """About ``n`` labelled documents of each label that are not held out, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, n: int = SAMPLE) -> tuple[list, dict]:
+    """About ``n`` labelled documents of each label that are not held out, chosen by a hash of the id; each label's share drawn."""
     lab = labels.select(F.col(id_col).alias("_t_id"), F.col(label_col).alias("_t_y")).filter(
         "_t_id is not null and _t_y is not null").groupBy("_t_id").agg(F.max("_t_y").alias("_t_y"))
     lab = stored(lab.filter(~held_out("_t_id")), "labels")
@@ -309,22 +391,19 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     part = F.pmod(F.xxhash64("_t_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
     chosen = lab.filter(part < keep)  # about 2 n rows whatever the input
     rows = docs.filter(F.char_length(text_col) <= SAMPLE_CHARS).join(F.broadcast(chosen), docs[id_col] == F.col("_t_id"))
-    return rows.select(F.col(id_col), F.col(text_col), "_t_y").orderBy(id_col, text_col).collect()
+    return rows.select(F.col(id_col), F.col(text_col), "_t_y").orderBy(id_col, text_col).collect(), share
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of every document."""
     spark = docs.sparkSession
-    rows = sample(docs, labels, label_col, id_col, text_col)
-    model = spark.sparkContext.broadcast(fit([r[1].encode() for r in rows], [r[2] for r in rows]))
+    rows, share = sample(docs, labels, label_col, id_col, text_col)
+    weight = tuple(1 / share.get(y, 1.0) for y in (0, 1))
+    model = spark.sparkContext.broadcast(fit([r[1].encode() for r in rows], [r[2] for r in rows], weight=weight))
 
     def run(rest, data, offs, valid):
         m = model.value
-        if m is None:
-            s = np.zeros(len(offs) - 1)
-        else:
-            f = decide_piece(m, data, offs).astype(np.float64)
-            s = np.where(np.isfinite(f), 1 / (1 + np.exp(-np.clip(m["a"] * f + m["b"], -500, 500))), 0.0)
+        s = np.zeros(len(offs) - 1) if m is None else probability(m, decide_piece(m, data, offs))
         return {"doc_id": rest.column(0), "held_out": rest.column(1), "score": s, "predicted": (s >= CUT).astype(np.int32)}
 
     held = F.coalesce(held_out(id_col), F.lit(False))

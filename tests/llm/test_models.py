@@ -1,6 +1,7 @@
 """The two trained operators: kernels and gradients against plain versions, held-out accuracy, awkward rows."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -11,10 +12,11 @@ from tests.llm.helpers import frame, messy_rows, prose
 
 def brute_kernel(a, b):
     def weights(t):
-        t = [x for x in t if toxicity.SYMBOL[x] != toxicity.OTHER]
+        t = [int(toxicity.SYMBOL[x]) for x in t if toxicity.SYMBOL[x] != toxicity.OTHER]
+        t = [toxicity.EDGE, *t, toxicity.EDGE] if t else []
         out = {}
         for i, j, k in itertools.combinations(range(len(t)), 3):
-            s = [int(toxicity.SYMBOL[t[x]]) for x in (i, j, k)]
+            s = [t[x] for x in (i, j, k)]
             if k - i < toxicity.SPAN:
                 out[tuple(s)] = out.get(tuple(s), 0) + toxicity.DECAY ** (k - i + 1)
         n = sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in itertools.combinations(range(len(t)), 3) if k - i < toxicity.SPAN)
@@ -63,6 +65,65 @@ def test_toxicity(spark):
     assert sorted((r.doc_id or -1, r.score) for r in toxicity.score(other, lab).collect()) == sorted((r.doc_id or -1, r.score) for r in got)
 
 
+SYLLABLES = {"de": ("ach", "lich", "keit", "ung", "ver", "sch", "zu", "ein"), "fr": ("ré", "eux", "ment", "tion", "oi", "ê", "pa", "vi"),
+             "es": ("bo", "mente", "co", "ción", "ado", "rr", "ja", "ñ")}
+
+
+def stem_rows(n=1500):
+    """Toxic documents hold a stem with an ending; clean ones the bare stem, or its letters inside a longer word."""
+    import random
+
+    rows, labels = [], []
+    for i in range(n):
+        r = random.Random(i)
+        lang = ("de", "fr", "es")[i % 3]
+        syl = SYLLABLES[lang]
+        stem = syl[0] + syl[1]
+        words = ["".join(r.choice(syl) for _ in range(r.randint(1, 3))) for _ in range(r.randint(20, 90))]
+        words = [w if not w.startswith(stem) else r.choice(syl[2:]) for w in words]
+        if i % 7 == 0:
+            words += [stem + r.choice(syl[2:]) for _ in range(r.randint(1, 4))]
+        elif i % 2:
+            words += [stem, r.choice(syl[2:]) + stem]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), lang, "a", 1))
+        labels.append((i, 1, int(i % 7 == 0)))
+    return rows, labels
+
+
+def test_toxicity_of_stems_in_several_languages():
+    rows, labels = stem_rows()
+    held = [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows]
+    y = np.array([x[2] for x in labels])
+    own = [i for i, h in enumerate(held) if not h]
+    model = toxicity.fit([rows[i][1].encode() for i in own], [int(y[i]) for i in own])
+    data = [rows[i][1].encode() for i, h in enumerate(held) if h]
+    got = toxicity.probability(model, np.concatenate([toxicity.decide(model, x) for x in data])) >= toxicity.CUT
+    want = y[held] == 1
+    assert want.sum() > 40 and (got & want).sum() >= 0.95 * want.sum() and (got & ~want).sum() <= 0.02 * (~want).sum()
+
+
+def test_toxicity_decisions_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    model = {"alpha": rng.normal(size=toxicity.TABLE).astype(np.float32), "bias": 0.25}
+    texts = [b"one two, t-h-r-e-e", b"", b"... !", b"a b c", "süß é".encode(), b"same same same same"]
+    data = b"".join(texts)
+    offs = np.cumsum([0] + [len(x) for x in texts])
+    got = toxicity.decide_piece(model, np.frombuffer(data, np.uint8), offs)
+    for x, row in zip(texts, got):
+        toks = [b"a b c"] if x == b"a b c" else [t for t in x.split() if any(toxicity.SYMBOL[c] != toxicity.OTHER for c in t)]
+        f = []
+        for t in toks:
+            c = [int(toxicity.SYMBOL[v]) for v in t if toxicity.SYMBOL[v] != toxicity.OTHER]
+            c = [toxicity.EDGE, *c, toxicity.EDGE]
+            spread = [(i, j, k) for i, j, k in itertools.combinations(range(len(c)), 3) if k - i < toxicity.SPAN]
+            total = sum(model["alpha"][c[i] << 12 | c[j] << 6 | c[k]] * toxicity.DECAY ** (k - i + 1) for i, j, k in spread)
+            f.append(total / np.sqrt(sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in spread)) + 0.25)
+        f = sorted(f, reverse=True)
+        want = [f[0] if f else -np.inf, *[max(v, toxicity.FLOOR) for v in (f[1:3] + [toxicity.FLOOR] * 2)[:2]], np.log1p(len(f))]
+        assert np.allclose(row, want, atol=1e-4), (x, row, want)
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, messy_rows())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
