@@ -13,7 +13,8 @@ the hash of all its words.
 
 Defined cases: a null or empty text has no words and no hits; an empty item
 matches nothing; items with equal texts are all reported; rows that repeat an
-id are judged by their own texts; an empty benchmark or table gives no hits or
+id are judged by their own texts; a very long text is read whole; of equal
+hashes in a window the first is the fingerprint, on both sides alike; an empty benchmark or table gives no hits or
 no rows; other columns do not matter (names used inside start with ``_d_``).
 """
 
@@ -141,11 +142,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
+    """The rows of ``docs`` in which no benchmark window occurs.
+
+    Only a 64-bit name (id and text) of the rows that go is joined, and no text
+    is shuffled for it (see :func:`bloom.anti_join`).
+    """
     _, hits, _ = match(docs.select("doc_id", "text"), items)
-    bad = hits.select(F.col("d").alias("_d_d"), F.col("t").alias("_d_t")).distinct()
-    left = docs.withColumn("_d_h", row_hash("text"))
-    return left.join(bad, F.col("doc_id").eqNullSafe(F.col("_d_d")) & (F.col("_d_h") == F.col("_d_t")), "left_anti").drop("_d_h")
+    bad = stored(hits.select(F.xxhash64("d", "t").alias("_d_k")).distinct(), "contaminated")
+    return bloom.anti_join(docs.withColumn("_d_k", F.xxhash64("doc_id", row_hash("text"))), bad, "_d_k").select(docs.columns)
 
 
 OP6_SQL = r"""

@@ -11,7 +11,8 @@ prediction reads every byte).
 
 Defined cases: a null text or one without any letter is ``und`` with score 0;
 without a labelled row every text is ``und``; rows with a null id or language
-are predicted, never learnt from; repeated rows are predicted alike; an empty
+are predicted, never learnt from; repeated rows are predicted alike; of equally
+probable languages the first by name is taken; a very long text is read whole; an empty
 table gives an empty result; other columns do not matter.
 """
 

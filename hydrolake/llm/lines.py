@@ -16,7 +16,8 @@ their lines but those in the largest document.
 Defined cases: a null or empty text is one empty line and loses nothing; lines
 repeated within one document count it once and share its fate; rows that
 repeat an id count as one document (each keeps its own bitmap, by the hash of
-its text); a null id is one document, smaller than all others; an empty table
+its text); a null id is one document, smaller than all others; a very long
+text gives as many rows as lines, a very long line one hash; an empty table
 gives an empty result; other columns stay (names used inside start with
 ``_l_``).
 """

@@ -11,7 +11,8 @@ spends the rest of the budget on the threshold.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, ordered last; documents with a null id are hashed by their
-text; rows that repeat an id share its hash, so they are taken together; an
+text; rows that repeat an id share its hash, so they are taken together, as are
+documents whose hashes tie at the threshold; a very long text counts whole; an
 empty table gives an empty mix; other input columns stay (names used inside
 start with ``_m_``).
 """

@@ -27,8 +27,9 @@ the components.
 Defined cases: a null text or one without words has no shingles and no link; a
 text of fewer words than a shingle is one shingle; rows with equal sets are
 one class; rows that repeat an id are one document; a null id is never linked
-(``component_id`` null, kept); an empty table gives an empty result; other
-columns do not matter.
+(``component_id`` null, kept); a very long text is read whole, as one set; a
+similarity of exactly the threshold is a link; an empty
+table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -398,9 +399,14 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near duplicates of a document with a smaller id (five-word shingles)."""
-    gone = link(docs.select("doc_id", "text"), shingle=shingle).filter("not kept").select(F.col("doc_id").alias("_n_id"))
-    return docs.join(gone.distinct(), docs.doc_id == F.col("_n_id"), "left_anti")
+    """The rows of ``docs`` without near duplicates of a document with a smaller id (five-word shingles).
+
+    Only the ids that go are joined with the rows, and no text is shuffled for
+    it (see :func:`bloom.anti_join`); rows with a null id stay.
+    """
+    gone = link(docs.select("doc_id", "text"), shingle=shingle).filter("not kept")
+    gone = stored(gone.select(F.col("doc_id").cast("long").alias("_n_id")).distinct(), "gone")
+    return bloom.anti_join(docs.withColumn("_n_id", F.col("doc_id").cast("long")), gone, "_n_id").select(docs.columns)
 
 
 #: for small tables (all pairs that share a shingle)

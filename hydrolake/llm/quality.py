@@ -7,7 +7,8 @@ votes bad on good and on bad documents, without labels.  A document's posterior
 probability of being good then replaces "all rules must pass".
 
 Defined cases: a null or empty text has no words, so every measure is 0, all
-rules abstain and the base rule fails it; repeated rows get equal results;
+rules abstain and the base rule fails it; repeated rows get equal results; a
+very long text is measured whole; a posterior equal to the threshold keeps;
 other columns of the input are untouched (names used inside start with
 ``_q_``); an empty table gives an empty result.
 """

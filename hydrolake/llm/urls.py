@@ -7,7 +7,8 @@ the false positives.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule, is on no list and is allowed; repeated rows get equal verdicts;
-an empty list blocks nothing; an empty table gives an empty result; other
+a very long URL is judged whole; of rules of equal length that fit (host and
+path always differ then) the first by name counts; an empty list blocks nothing; an empty table gives an empty result; other
 columns stay (names used inside start with ``_u_``).
 """
 

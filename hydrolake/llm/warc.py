@@ -18,7 +18,8 @@ the globally ordered capture histories.
 Defined cases: a null or empty payload has 0 bytes and takes part like any
 other; a null URL has an empty key and no target header; a page with a null id
 never stands for others with the same payload unless all their ids are null;
-rows that repeat an id and a payload are all responses or all revisits; an
+rows that repeat an id and a payload are all responses or all revisits; captures
+equal in key and time follow their ids; a very long payload is one record; an
 empty table gives an empty archive and an empty index; other columns do not
 matter.
 """
