@@ -2,6 +2,14 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``documents``.
+
+Defined cases: a null or empty text fails the base rule and goes in the first
+stage; a text of which line dedup leaves nothing goes on as an empty one, linked
+with nothing and taking no words; rows with a null id pass as documents of their
+own; rows that repeat an id stay or go together in near-dedup and are otherwise
+judged by their own texts; of tied near duplicates the smallest id stays, of a
+shared line the largest; very long texts are read whole; an empty table gives an
+empty mix; extra columns pass through.
 """
 
 from __future__ import annotations
