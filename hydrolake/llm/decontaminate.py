@@ -149,7 +149,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     _, hits, _ = match(docs.select("doc_id", "text"), items)
     bad = stored(hits.select(F.xxhash64("d", "t").alias("_d_k")).distinct(), "contaminated")
-    return bloom.anti_join(docs.withColumn("_d_k", F.xxhash64("doc_id", row_hash("text"))), bad, "_d_k").select(docs.columns)
+    return bloom.anti_join(docs.withColumn("_d_k", F.xxhash64("doc_id", row_hash("text"))), bad, "_d_k").drop("_d_k")
 
 
 OP6_SQL = r"""

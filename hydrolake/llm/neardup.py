@@ -406,7 +406,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     gone = link(docs.select("doc_id", "text"), shingle=shingle).filter("not kept")
     gone = stored(gone.select(F.col("doc_id").cast("long").alias("_n_id")).distinct(), "gone")
-    return bloom.anti_join(docs.withColumn("_n_id", F.col("doc_id").cast("long")), gone, "_n_id").select(docs.columns)
+    return bloom.anti_join(docs.withColumn("_n_id", F.col("doc_id").cast("long")), gone, "_n_id").drop("_n_id")
 
 
 #: for small tables (all pairs that share a shingle)
