@@ -3,7 +3,9 @@
 Rules by host and path decide first, the longest that fits.  Other URLs are
 looked up in a list of canonical URLs: a blocked Bloom filter passes those that
 may be listed, and only these go to a hash join with the list, which removes
-the false positives.
+the false positives.  The list is a table or file (:func:`url_list`); the driver
+tables bring none, so the query lists the sites that the rules block in good part
+(:func:`site_list`).
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule, is on no list and is allowed; repeated rows get equal verdicts;
@@ -19,14 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolake.llm import bloom
-from hydrolake.llm.common import LOWER, UPPER, stored, table
+from hydrolake.llm.common import LOWER, UPPER, join_small, stored, table
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: host labels whose pages a block list of this corpus holds
-SPAM_LABELS = ("casino-win", "cheap-pills", "free-bets")
+#: a site is listed from this share of pages that the rules block
+SITE_SHARE = 0.25
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -85,17 +87,32 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=RULES
         "_u_rule", "_u_key", "_u_may", "_u_listed")
 
 
-def spam_list(pages: DataFrame, url_col: str = "url", labels=SPAM_LABELS) -> DataFrame:
-    """Canonical URLs of the pages on hosts with one of the labels (the tables bring no list of their own)."""
+def url_list(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """A table, or a text file read line by line, of URLs as a list for :func:`judge`.
+
+    Entries may leave out the scheme; blanks around them, empty ones and ones that start with ``#`` are passed over.
+    """
+    entry = F.trim(F.col(url_col))
+    host, path = host_path(F.when(F.contains(entry, F.lit("://")), entry).otherwise(F.concat(F.lit("://"), entry)))
+    rows = urls.filter((entry != "") & ~entry.startswith("#")).select(canonical(host, path).alias("url"))
+    return rows.filter("url is not null").distinct()
+
+
+def site_list(pages: DataFrame, url_col: str = "url", share: float = SITE_SHARE, rules=RULES) -> DataFrame:
+    """Canonical URLs of the sites (hosts) of whose pages the rules block at least ``share``."""
     host, path = host_path(F.col(url_col))
-    df = pages.select(host.alias("host"), path.alias("path"))
-    return df.filter(F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))).select(
-        canonical(F.col("host"), F.col("path")).alias("url")).distinct()
+    df = pages.select(host.alias("host"), path.alias("path")).filter("host <> ''")
+    # hosts and URLs are folded before the shuffle, however often they repeat
+    blocked = F.coalesce(longest_rule(F.col("host"), F.col("path"), rules)["verdict"] == "block", F.lit(False)).cast("int")
+    sites = df.groupBy("host").agg(F.avg(blocked).alias("blocked")).filter(F.col("blocked") >= share)
+    sites = stored(sites.select("host"), "sites")
+    known = df.select("host", canonical(F.col("host"), F.col("path")).alias("url")).distinct()
+    return join_small(known, sites, ["host"], sites.count(), F.xxhash64("url")).select("url").distinct()
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, spam_list(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, site_list(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP8_SQL = r"""
@@ -112,7 +129,9 @@ c AS (
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM b),
-l AS (SELECT DISTINCT key AS listed FROM c WHERE list_has_any(string_split(host, '.'), ['casino-win', 'cheap-pills', 'free-bets']))
+s AS (SELECT host FROM c WHERE host <> '' GROUP BY host
+      HAVING 4 * count(*) FILTER (WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/')) >= count(*)),
+l AS (SELECT DISTINCT key AS listed FROM c SEMI JOIN s ON c.host = s.host)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
