@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm.common import LOWER, UPPER, join_small, stored, table
+from hydrolake.llm import bloom
+from hydrolake.llm.common import BROADCAST_ROWS, LOWER, UPPER, join_small, stored, table
 from hydrolake.session import scratch_path
 
 CRLF = "\r\n"
@@ -64,16 +65,38 @@ def capture_time(page_id: Column) -> Column:
     return F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(page_id.cast("long"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _kinds(df: DataFrame) -> DataFrame:
+    kind = F.when(F.col("top").isNull() | F.col("page_id").eqNullSafe(F.col("top")), "response").otherwise("revisit")
+    return df.withColumn("kind", kind).withColumn("key", url_key(F.col("url"))).withColumn("time", capture_time(F.col("page_id")))
+
+
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id url html`` plus key, time, size, digest, ``top`` (the response's id) and ``kind``."""
+    """``page_id url html`` plus key, time, size, digest, ``top`` (the response's id) and ``kind``.
+
+    Few repeated payloads are broadcast.  With more, the kinds are settled on narrow rows:
+    revisits are made of these (their ``html`` is empty, as in their records) and pages
+    that a Bloom filter clears of being one stay where they are; only pages that it takes for
+    revisits by mistake are looked up by name.
+    """
     df = pages.select(F.col("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     df = df.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", sha1_base32(F.col("html")))
     # payloads that occur more than once, folded before the shuffle
     tops = stored(df.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.max("page_id").alias("top"))
                   .filter("c > 1 and top is not null").select("digest", "top"), "tops")
-    df = join_small(df, tops, ["digest"], tops.count(), F.xxhash64("page_id"), "left")
-    kind = F.when(F.col("top").isNull() | F.col("page_id").eqNullSafe(F.col("top")), "response").otherwise("revisit")
-    return (df.withColumn("kind", kind).withColumn("key", url_key(F.col("url"))).withColumn("time", capture_time(F.col("page_id"))))
+    n_tops = tops.count()
+    if n_tops <= BROADCAST_ROWS:
+        return _kinds(join_small(df, tops, ["digest"], n_tops, F.xxhash64("page_id"), "left"))
+    name = F.concat_ws(":", "digest", F.col("page_id").cast("string"))
+    narrow = stored(df.drop("html").withColumn("name", name), "payloads")
+    revisits = join_small(narrow, tops, ["digest"], n_tops, F.xxhash64("page_id", "url"))
+    revisits = stored(revisits.filter(~F.col("page_id").eqNullSafe(F.col("top"))), "revisits")
+    names = stored(revisits.select("name").distinct(), "names")
+    wrong = bloom.marked(narrow.select("name"), names, "name", "may").filter("may").select("name").distinct()
+    wrong = stored(wrong.join(names, "name", "left_anti"), "wrong")
+    both = bloom.marked(df.withColumn("name", name), names, "name", "may")
+    responses = both.filter("not may").drop("may").unionByName(bloom.semi_join(both.filter("may").drop("may"), wrong, "name"))
+    return _kinds(responses.withColumn("top", F.lit(None).cast(tops.schema["top"].dataType))
+                  .unionByName(revisits.withColumn("html", F.lit("")))).drop("name")
 
 
 def _safe(url: Column) -> Column:
@@ -111,9 +134,11 @@ _NAMES = [f.split()[0] for f in _INDEX.split(", ")]
 
 
 def _parse(batches):
-    """Index rows of records; consecutive pieces of one record are glued by Content-Length."""
+    """Index rows of records; the pieces of one record are collected and joined once, by Content-Length."""
     mark = MARK.encode()
-    run, seq, open_ = None, 0, b""
+    run, seq = None, 0
+    pieces: list[bytes] = []  # of the open record
+    head, body, need = None, 0, 0  # its header fields, the bytes after them and how many these must be
 
     def page(value: str | None):
         value = (value or "").removeprefix("<urn:page:").removesuffix(">")
@@ -123,27 +148,32 @@ def _parse(batches):
         out = []
         for piece, name in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
             if name != run:
-                if open_:
+                if pieces:
                     raise ValueError(f"{run}: the last record is not complete")
                 run, seq = name, 0
-            if not piece and not open_:
+            if not piece and not pieces:
                 continue  # what stands before the first mark
-            piece = open_ + mark + piece if open_ else piece
-            head, end, body = piece.partition(b"\r\n\r\n")
-            fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split(CRLF) if ": " in x)
-            size = int(fields.get("Content-Length", -1))
-            if not end or size < 0 or len(body) < size + 4:
-                open_ = piece
+            pieces += [mark, piece] if pieces else [piece]
+            if head is None:
+                first, end, rest = b"".join(pieces).partition(b"\r\n\r\n")
+                fields = dict(x.split(": ", 1) for x in first.decode("utf-8", "replace").split(CRLF) if ": " in x)
+                if not end or "Content-Length" not in fields:
+                    continue
+                head, pieces, body, need = fields, [rest], len(rest), int(fields["Content-Length"]) + 4
+            else:
+                body += len(mark) + len(piece)
+            if body < need:
                 continue
-            open_, payload = b"", body[:size]
-            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            intact = fields["WARC-Type"] == "revisit" or base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
-            out.append((fields.get("X-Key", ""), fields["WARC-Date"], page(fields["WARC-Record-ID"]), fields["WARC-Type"], digest,
-                        int(fields["X-Payload-Length"]), page(fields.get("WARC-Refers-To")), run, seq, intact))
+            payload = b"".join(pieces)[:need - 4]
+            digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+            intact = head["WARC-Type"] == "revisit" or base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
+            out.append((head.get("X-Key", ""), head["WARC-Date"], page(head["WARC-Record-ID"]), head["WARC-Type"], digest,
+                        int(head["X-Payload-Length"]), page(head.get("WARC-Refers-To")), run, seq, intact))
+            head, pieces = None, []
             seq += 1
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)], names=_NAMES)
-    if open_:
+    if pieces:
         raise ValueError(f"{run}: the last record is not complete")
 
 
