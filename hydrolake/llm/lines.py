@@ -7,7 +7,8 @@ by hash, largest document first and position.  One pass over this stream finds
 the lines to drop.  Only the first and last key of a partition can continue in
 another one; their rows are settled by an aggregate over at most two keys a
 partition.  Per document, the dropped positions become a zlib-packed bitmap of
-the lines to keep, which is all that goes back to the texts.
+the lines to keep, which is all that goes back to the texts: broadcast if counted
+small, else joined with the texts that a Bloom filter takes for having one.
 
 A key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased.  Keys of
 at least ``min_chars`` code points in at least ``min_docs`` documents lose all
@@ -33,10 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from hydrolake.llm import bloom
 from hydrolake.llm import text as T
 from hydrolake.llm.common import row_hash, stored, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: up to so many bitmaps of so many bytes in all, both counted, are broadcast
+BITMAPS, BITMAP_BYTES = 200_000, 8 << 20
 NULL_ID = -(1 << 63)
 
 _KEYED = "d long, t long, h long, g int, p int"
@@ -182,8 +186,17 @@ def _apply(text: pd.Series, bits: pd.Series) -> pd.Series:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Adds ``n_lines``, ``n_dropped`` and ``kept_text`` (null only where the text is)."""
     bits = keep_bitmaps(docs, id_col, text_col, **limits)
+    bits = stored(bits.withColumn("_l_k", F.xxhash64("_l_d", "_l_t")), "bitmaps")
     left = docs.withColumn("_l_d1", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_l_t1", row_hash(text_col))
-    out = left.join(bits, (F.col("_l_d1") == F.col("_l_d")) & (F.col("_l_t1") == F.col("_l_t")), "left")
+    same = (F.col("_l_d1") == F.col("_l_d")) & (F.col("_l_t1") == F.col("_l_t"))
+    n, size = bits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_l_bits")), F.lit(0))).first()
+    if n <= BITMAPS and size <= BITMAP_BYTES:
+        out = left.join(F.broadcast(bits.drop("_l_k")), same, "left")
+    else:  # texts that lose no line stay where they are
+        both = bloom.marked(left.withColumn("_l_k1", F.xxhash64("_l_d1", "_l_t1")), bits.select(F.col("_l_k").alias("_l_k1")), "_l_k1", "_l_may")
+        both = both.drop("_l_k1")
+        out = both.filter("_l_may").join(bits.drop("_l_k"), same, "left")
+        out = out.unionByName(both.filter("not _l_may"), allowMissingColumns=True).drop("_l_may")
     text = F.col(text_col)
     n_lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long")
     out = out.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce("_l_n", F.lit(0).cast("long")))
