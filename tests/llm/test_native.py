@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from hydrolake.llm import decontaminate, lines, mixing, quality, urls, warc
+from hydrolake.llm import common, decontaminate, lines, mixing, quality, urls, warc
 from tests.llm.helpers import SCHEMA, duck, frame, lower, messy_rows, prose, same, words
 
 
@@ -111,7 +111,9 @@ def op7(df):
     return lines.dedup(df).select("doc_id", "n_lines", "n_dropped", lines.digest(F.col("kept_text")).alias("kept_sha256"))
 
 
-def test_line_dedup_equals_sql(unique):
+@pytest.mark.parametrize("bitmaps", [200_000, 0])
+def test_line_dedup_equals_sql(unique, monkeypatch, bitmaps):
+    monkeypatch.setattr(lines, "BITMAPS", bitmaps)
     same(op7(unique), lines.OP7_SQL, OP7, documents=unique)
 
 
@@ -130,7 +132,9 @@ def test_line_dedup_stream_in_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_line_dedup_repeated_ids_and_nulls(spark):
+@pytest.mark.parametrize("bitmaps", [200_000, 0])
+def test_line_dedup_repeated_ids_and_nulls(spark, monkeypatch, bitmaps):
+    monkeypatch.setattr(lines, "BITMAPS", bitmaps)
     hot = "a line that stands in more than two documents"
     docs = frame(spark, [(1, hot, "", "", 1), (1, hot, "", "", 1), (None, hot, "", "", 1), (2, hot + "\nx", "", "", 1), (2, "y\n" + hot, "", "", 1)])
     got = sorted(((r.doc_id or -1), r.kept_text) for r in lines.dedup(docs).collect())
@@ -198,19 +202,37 @@ OP8 = ["page_id", "host", "path", "rule", "verdict"]
 PAGES = [(1, "http://WWW.example.com/en/x?y#z"), (2, "https://example.com/en/"), (3, "https://a.net/es/1"), (4, "https://net/es/1"), (5, None),
          (6, "no scheme"), (7, "http://x.free-bets.example.org/de/9/"), (8, "http://x.free-bets.example.org/de/9#q"), (9, "http://good.example.org/a"),
          (10, "ftp://host.com"), (11, "http://evilnet/es/"), (12, "://"), (13, "http://a.com?x=/en/"), (14, "http://b.NET/fr/é"), (14, "http://b.NET/fr/é"),
-         (15, "http://x.free-bets.example.org/de/99"), (None, "http://free-bets.example.org/")]
+         (15, "http://x.free-bets.example.org/de/99"), (None, "http://free-bets.example.org/"), (16, "http://A.net/de/7/"), (17, "http://a.net/de/7?x"),
+         (18, "http://a.net/de/8"), (19, "http://a.net/de/9"), (20, "http://c.net/es/1"), (21, "http://c.net/1"), (22, "http://c.net/2"), (23, "http://c.net/3"),
+         (24, "http://c.net/4")]
 
 
-def test_urls_equal_sql(spark):
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_urls_equal_sql(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     pages = frame(spark, PAGES, "page_id long, url string")
-    same(urls.judge(pages, urls.spam_list(pages)), urls.OP8_SQL, OP8, pages=pages)
+    same(urls.judge(pages, urls.site_list(pages)), urls.OP8_SQL, OP8, pages=pages)
+    # one page of four blocked by a rule is enough, one of five is not
+    verdicts = {r.page_id: r.verdict for r in urls.judge(pages, urls.site_list(pages)).collect()}
+    assert [verdicts[k] for k in (16, 17, 18, 19, 21, 22)] == ["allow"] * 6
+    verdicts = {r.page_id: r.verdict for r in urls.judge(pages, urls.site_list(pages.filter("page_id not in (19, 24)"))).collect()}
+    assert [verdicts[k] for k in (16, 17, 18, 21, 22, 24)] == ["block"] * 5 + ["allow"]
 
 
 def test_urls_hot_and_empty(spark):
-    pages = frame(spark, [(i, "http://free-bets.example.org/x" if i % 2 else f"http://h{i}.org/") for i in range(300)], "page_id long, url string")
-    same(urls.judge(pages, urls.spam_list(pages)), urls.OP8_SQL, OP8, pages=pages)
-    assert urls.judge(pages.filter("false"), urls.spam_list(pages)).count() == 0
-    assert urls.judge(pages, spark.createDataFrame([], "url string")).filter("verdict = 'block'").count() == 0
+    pages = frame(spark, [(i, f"http://x.net/{'es' if i % 4 == 1 else 'de'}/x" if i % 2 else f"http://h{i}.org/") for i in range(300)], "page_id long, url string")
+    same(urls.judge(pages, urls.site_list(pages)), urls.OP8_SQL, OP8, pages=pages)
+    assert urls.judge(pages.filter("false"), urls.site_list(pages)).count() == 0
+    assert urls.judge(pages, spark.createDataFrame([], "url string")).filter("verdict = 'block' and rule is null").count() == 0
+
+
+def test_urls_listed_in_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# a comment\n\nhttp://X.free-bets.example.org/de/9/\n  good.example.org/a \nhttp://good.example.org/a/?q\n")
+    listed = urls.url_list(spark.read.text(str(tmp_path / "list.txt")), "value")
+    assert sorted(r.url for r in listed.collect()) == ["good.example.org/a", "x.free-bets.example.org/de/9"]
+    pages = frame(spark, PAGES, "page_id long, url string")
+    got = {r.page_id for r in urls.judge(pages, listed).filter("verdict = 'block' and rule is null").collect()}
+    assert got == {7, 8, 9}
 
 
 def test_bloom_has_no_false_negatives(spark):
@@ -254,6 +276,26 @@ def test_warc_global_order(spark):
     same(op9(pages), warc.OP9_SQL, OP9, pages=pages)
 
 
+def test_warc_many_repeated_payloads(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    rows = [(i, f"http://h{i % 7}.org/{i}", f"<p>{i % 40 if i % 3 else i}") for i in range(500)] + [(7, "http://again.org", "<p>7"), (None, "u", "<p>1"), (None, "u", None)]
+    pages = frame(spark, rows, "page_id long, url string, html string").repartition(5)
+    whole = pages.filter("page_id is not null")
+    same(op9(whole), warc.OP9_SQL, OP9, pages=whole)
+    got = warc.records(pages).filter("page_id is null").select("kind", "top").collect()
+    assert len(got) == 2 and {r.kind for r in got} == {"response", "revisit"}
+    assert warc.histories(pages).filter("not intact").count() == 0
+    plan = warc.records(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftOuter" not in plan
+
+
+def test_warc_mark_in_payload(spark):
+    pages = frame(spark, [(1, "http://a.org", warc.MARK * 20_000), (2, "http://b.org", "x" + warc.MARK)], "page_id long, url string, html string")
+    got = {r.page_id: (r.n, r.intact) for r in warc.histories(pages).collect()}
+    assert got == {1: (20_000 * len(warc.MARK), True), 2: (len(warc.MARK) + 1, True)}
+
+
 def test_warc_nulls_repeats_empty(spark):
     pages = frame(spark, [(None, "u", "a"), (None, "u", "a"), (1, "u", "b"), (1, "u", "b"), (None, "u", "b")], "page_id long, url string, html string")
     got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in op9(pages).collect())
