@@ -94,6 +94,40 @@ def test_blocks_give_the_same_scores(spark, table):
     assert max(abs(whole[i] - tiny[i]) for i in whole) < 1e-9
 
 
+def test_rows_routed_to_parts_score_like_blocks_and_like_one_broadcast(spark, table):
+    """Trees with and without a top, by all three ways; odd rows and equal rows keep their number."""
+    odd = table.unionByName(table.limit(50)).unionByName(spark.createDataFrame(
+        [(-1, None, 0.5, float("nan"), 0.0), (-2, float("inf"), None, 1.0, 0.0)], table.schema))
+    for small in (700, 10_000):
+        m = FO.fit_forest(table, COLS, "y", 6, 7, key=["id"], small=small)
+        want = sorted((r["id"], r["s"]) for r in FO._finish(FO._score_blocks(odd, m, "t", FO._blocks(m, spark, 1 << 30)), m, "t", "s").collect())
+        parts = FO._blocks(m, spark, 40_000)
+        path = scratch_path(spark, "odd")
+        odd.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        routed = FO._score_routed(spark.read.parquet(path), m, "t")
+        assert routed.columns == [*odd.columns, "t"]
+        for got in (FO._score_blocks(odd, m, "t", parts), routed):
+            have = sorted((r["id"], r["s"]) for r in FO._finish(got, m, "t", "s").collect())
+            assert [i for i, _ in have] == [i for i, _ in want] and len(have) == 6052
+            assert max(abs(a - b) for (_, a), (_, b) in zip(have, want)) < 1e-9
+
+
+def test_a_large_forest_is_scored_without_passing_its_rows_once_a_block(spark, table, monkeypatch):
+    m = FO.fit_forest(table, COLS, "y", 6, 7, key=["id"], small=700)
+    assert len(FO._blocks(m, spark, 40_000)) > 3
+    monkeypatch.setattr(FO, "_load", None)      # no block is loaded
+    assert FO.score_forest(table, m, "p", limit=40_000).count() == 6000
+
+
+def test_a_walk_over_many_parts_is_as_one_tree(spark, table):
+    """Rows walk down all parts of a tree together, not part by part."""
+    m = FO.fit_forest(table, COLS, "y", 1, 7, key=["id"], small=300)
+    trees = FO._load(m, spark, FO._blocks(m, spark, 1 << 30)[0])
+    assert len(trees) == 1 and (trees[0][1] >= 0).sum() > 10
+    # what is broadcast names no class of this package: workers need no copy of it
+    assert b"hydrolake" not in __import__("pickle").dumps((trees, FO._plain(m.tops)))
+
+
 def test_scores_equal_a_walk_over_the_node_table_in_sql(spark, table, tmp_path):
     """Exported nodes, walked by a recursive query, give every row's prediction."""
     m = FO.fit_forest(table, COLS, "y", 5, 7, key=["id"], small=900)
