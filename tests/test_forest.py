@@ -56,6 +56,47 @@ def test_unique_gains_give_the_same_splits():
     assert np.allclose(t.threshold[FO.descend(t, probe)], [want(r) for r in probe])
 
 
+def test_labels_that_differ_by_rounding_only_are_not_split():
+    """One quotient computed for many rows: its last bits are no reason to grow chains of nodes."""
+    rng = np.random.default_rng(5)
+    demand, step = rng.uniform(1, 400, 6000), rng.integers(0, 3, 6000)
+    ratio = 0.3 + step / 100.0
+    y = demand * ratio / demand * 100.0
+    assert len(np.unique(y)) > 3
+    t = FO.grow(np.column_stack([step.astype(float), demand]), y, np.ones(6000))
+    assert t.depth <= 2 and len(t.feature) == 5
+    x = np.column_stack([demand, demand * ratio])
+    t = FO.grow(x, y, np.ones(6000))
+    assert len(t.feature) < 1200        # 887; 2519 where rounding is split as well
+    assert np.allclose(t.threshold[FO.descend(t, x)], y, rtol=1e-14, atol=0)
+
+
+def test_a_node_of_close_labels_is_split_as_well_as_any_other():
+    """The best cut is found however far the labels are from zero and however close to each other."""
+    x = np.arange(64, dtype=float)[:, None]
+    for scale, shift in ((1.0, 0.0), (2.0**-40, 50.0), (2.0**40, -3.0)):
+        t = FO.grow(x, (x[:, 0] >= 32) * scale + shift, np.ones(64))
+        assert (t.depth, len(t.feature), t.threshold[0]) == (1, 3, 31.5)
+    # beside a node of far labels
+    y = np.where(x[:, 0] < 32, (x[:, 0] >= 16) * 2.0**-40 + 1.0, (x[:, 0] >= 48) * 1e6 + 1e7)
+    t = FO.grow(x, y, np.ones(64))
+    assert t.depth == 2 and sorted(t.threshold[t.feature >= 0]) == [15.5, 31.5, 47.5]
+
+
+def test_features_that_follow_an_earlier_one_are_not_sorted_and_change_no_tree():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 40, 500).astype(float), rng.normal(size=500)
+    x = np.column_stack([a, b, a * 3 - 1, np.minimum(a, 7.0), np.full(500, 2.0), -b, np.where(a == 9, b, a)])
+    y = np.round(a % 5 + b, 3)
+    w = rng.integers(1, 4, 500)
+    order = FO._orders([np.ascontiguousarray(c) for c in x.T], None)
+    assert [o is None for o in order] == [False, False, True, True, True, False, False]
+    assert not any(o is None for o in FO._orders([np.ascontiguousarray(c) for c in x.T], 2))
+    t, u = FO.grow(x, y, w), FO.grow(x[:, [0, 1, 5, 6]], y, w)
+    assert np.array_equal(np.r_[0, 1, 5, 6][u.feature[u.feature >= 0]], t.feature[t.feature >= 0])
+    assert np.array_equal(t.threshold, u.threshold) and np.array_equal(t.child, u.child)
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rng = np.random.default_rng(11)
