@@ -225,6 +225,31 @@ def test_agreements_trim_what_fails():
         assert (lo, lo2) == (0, 0) and min(hi, hi2) >= 50 and similarity >= 0.8
 
 
+def _regions(n):
+    """Pairs of shingle sequences, half of them sharing a stretch with some of it replaced, some of few distinct shingles."""
+    rng = np.random.default_rng(7)
+    pool = rng.integers(-2**63, 2**63 - 1, 4000)
+    for i in range(n):
+        known = pool[:rng.choice([20, 60, 4000])]
+        x, y = (rng.choice(known, k) for k in rng.integers(1, 300, 2))
+        k = min(len(x), len(y), int(rng.integers(40, 200)))
+        if i % 2:
+            a, b = rng.integers(0, len(x) - k + 1), rng.integers(0, len(y) - k + 1)
+            y[b:b + k] = np.where(rng.random(k) < rng.choice([0, .05, .1, .2]), rng.choice(known, k), x[a:a + k])
+        yield x, y
+
+
+def test_rows_not_worth_comparing_hold_no_passage():
+    """Looking at many regions at once leaves out none that holds a passage, and most that hold none."""
+    rows = list(_regions(400))
+    ox, oy = (np.r_[0, np.cumsum([len(r[i]) for r in rows])] for i in (0, 1))
+    worth = passages.worth_comparing(*(np.concatenate([r[0] for r in rows]), ox), *(np.concatenate([r[1] for r in rows]), oy), 46, 80)
+    found = np.array([bool(passages.agreements(x, y, 46, 80)) for x, y in rows])
+    assert found.sum() > 50 and not (found & ~worth).any() and (~found & ~worth).sum() > 0.6 * (~found).sum()
+    none = np.zeros(0, np.int64)
+    assert passages.worth_comparing(none, np.zeros(3, int), np.arange(50), np.array([0, 0, 50]), 46, 80).tolist() == [False, False]
+
+
 def test_passages_of_an_id_with_a_copy_and_another_text(spark):
     """Only the copy is set aside; the id's other text is searched, whichever of the two hashes is smaller."""
     rows = []
