@@ -225,3 +225,59 @@ def test_isolation_forest_is_drawn_map_side_and_by_key(spark, table):
     order = ["tree_id", "node_id"]
     assert a.cut == b.cut
     assert a.nodes.sort_values(order).reset_index(drop=True).equals(b.nodes.sort_values(order).reset_index(drop=True))
+
+
+def _walk(spark, m, tree):
+    """A tree from its root on, left before right, however it is cut into parts."""
+    parts = {r["part"]: FO._unpack(r) for r in m.parts(spark).filter(F.col("tree") == tree).collect()}
+    out, todo = [], [(0, 0)]
+    while todo:
+        p, i = todo.pop()
+        t = parts[p]
+        if t.feature[i] == FO.HANDED:
+            todo.append((int(t.child[i]), 0))
+            continue
+        out.append((int(t.feature[i]), int(t.size[i]), t.threshold[i], t.value[i]))
+        if t.feature[i] >= 0:
+            todo += [(p, int(t.child[i]) + 1), (p, int(t.child[i]))]
+    return out
+
+
+@pytest.mark.parametrize("kw", [{}, {"tries": 2}, {"max_depth": 7}, {"bootstrap": False}], ids=str)
+def test_trees_do_not_depend_on_the_size_of_the_table(spark, table, kw):
+    """Whole trees, trees in parts and splits over sorted chunks: every node is the same, none stands on a sample."""
+    wide = table.withColumn("d", F.col("a") * 3 - 1).withColumn("e", F.least("b", F.lit(0.5)))      # followers of a and b
+    cols = ["a", "d", "b", "c", "e"]
+    ways = ({}, {"small": 300}, {"small": 100, "whole": 0, "chunk": 700})
+    whole, cut, sent = (FO.fit_forest(wide, cols, "y", 2, 7, key=["id"], **kw, **way) for way in ways)
+    assert not whole.tops and len(cut.tops) == len(sent.tops) == 2
+    for tree in range(2):
+        want = _walk(spark, whole, tree)
+        for m in (cut, sent):
+            got = _walk(spark, m, tree)
+            assert [n[:2] for n in got] == [n[:2] for n in want] and len(got) > 100
+            assert np.allclose([n[2:] for n in got], [n[2:] for n in want], rtol=1e-12, atol=1e-12)
+
+
+def test_splits_over_sorted_chunks_of_odd_columns(spark):
+    """One value in a third of the rows, infinite values, a constant, equal keys and labels that hardly differ."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    a = np.where(rng.random(n) < 0.33, 1.5, np.round(rng.normal(size=n), 1))
+    b = rng.choice([-np.inf, -1.0, 0.0, 2.0, np.inf], n)
+    y = np.round(a * 3, 2) + (b > 0) * 2.0**-38
+    rows = [(int(i // 2), float(p), float(q), 4.0, float(v)) for i, (p, q, v) in enumerate(zip(a, b, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    whole = FO.fit_forest(df, ["a", "b", "c"], "y", 2, 3, key=["id"])
+    sent = FO.fit_forest(df, ["a", "b", "c"], "y", 2, 3, key=["id"], small=20, whole=0, chunk=256)
+    assert len(sent.tops) == 2
+    for tree in range(2):
+        got, want = (_walk(spark, m, tree) for m in (sent, whole))
+        assert [n[:2] for n in got] == [n[:2] for n in want]
+        assert np.allclose([n[2:] for n in got], [n[2:] for n in want], rtol=1e-14, atol=0)
+
+
+def test_only_features_that_follow_an_earlier_one_everywhere_are_left_out(spark):
+    rows = [(i, float(i % 40), float(-(i % 40)), float(i % 40 // 3), float(i % 40 if i != 1999 else -5), float(i % 7)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "_key long, u double, down double, up double, almost double, other double")
+    assert FO._independent(df, ["u", "down", "up", "almost", "other"]) == [0, 1, 3, 4]
